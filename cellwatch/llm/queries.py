@@ -4,21 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cellwatch.llm.bpe import round_trip
 from cellwatch.llm.near_dedup import near_duplicates
+from cellwatch.llm.winnow import contamination
+
+#: The rank file and pattern that op4 and the pipeline use.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
+
+
 def op7_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), similar_pct=85)
 
 
+def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_rank_queue_bpe": op4_rank_queue_bpe,
     "op7_chosen_path_dedup": op7_chosen_path_dedup,
+    "op8_winnowing_decontamination": op8_winnowing_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
