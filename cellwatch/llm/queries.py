@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellwatch.llm.bpe import round_trip
 from cellwatch.llm.near_dedup import near_duplicates
+from cellwatch.llm.pii import personal_data_report
+from cellwatch.llm.warc import archived_pages
 from cellwatch.llm.winnow import contamination
 
 #: The rank file and pattern that op4 and the pipeline use.
@@ -20,6 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(_table(spark, sf_dir, "documents"))
+
+
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
@@ -33,6 +43,8 @@ def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bootstrapped_pii": op1_bootstrapped_pii,
+    "op3_warc_salvage": op3_warc_salvage,
     "op4_rank_queue_bpe": op4_rank_queue_bpe,
     "op7_chosen_path_dedup": op7_chosen_path_dedup,
     "op8_winnowing_decontamination": op8_winnowing_decontamination,
