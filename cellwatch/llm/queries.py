@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cellwatch.llm.bpe import round_trip
+from cellwatch.llm.line_templates import LINES_SQL, line_report
 from cellwatch.llm.near_dedup import near_duplicates
 from cellwatch.llm.pii import personal_data_report
+from cellwatch.llm.snapshots import RENDER_SQL, render_conversations
+from cellwatch.llm.tiled_cosine import near_vectors
 from cellwatch.llm.warc import archived_pages
 from cellwatch.llm.winnow import contamination
 
@@ -26,6 +29,10 @@ def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(_table(spark, sf_dir, "pages"))
 
@@ -42,12 +49,23 @@ def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
+    "op2_snapshot_collapse": op2_snapshot_collapse,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_rank_queue_bpe": op4_rank_queue_bpe,
     "op7_chosen_path_dedup": op7_chosen_path_dedup,
     "op8_winnowing_decontamination": op8_winnowing_decontamination,
+    "op9_line_templates": op9_line_templates,
+    "op10_tiled_cosine": op10_tiled_cosine,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_snapshot_collapse": RENDER_SQL, "op9_line_templates": LINES_SQL}
