@@ -170,23 +170,26 @@ def _added(spark: SparkSession, path: str) -> str:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``(doc_id, ids array<int>, n_tokens)`` of each row's whole text.
+    """``(doc_id, ids array<int>, n_tokens, decodes)`` of each row's whole text; ``decodes``: the ids decode to the text's bytes.
 
     A null or empty text has no ids. Repeated rows and null ids are kept as rows; other columns are ignored.
     """
     name = _added(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _coder(name, pattern).encode
+        coder = _coder(name, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):  # bounds the memory of one batch's ids
                 part = batch.slice(lo, 256)
-                ids = [encode(t or "") for t in part.column("text").to_pylist()]
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                ids = [coder.encode(t) for t in texts]
+                same = [coder.decode(i) == t.encode("utf-8", "surrogatepass") for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], ["doc_id", "ids", "n_tokens"]
+                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "decodes"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens bigint")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens bigint, decodes boolean")
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from cellwatch.llm.bpe import round_trip
 from cellwatch.llm.line_templates import LINES_SQL, line_report
 from cellwatch.llm.near_dedup import near_duplicates
+from cellwatch.llm.ordinal_quality import quality
 from cellwatch.llm.pii import personal_data_report
 from cellwatch.llm.snapshots import RENDER_SQL, render_conversations
 from cellwatch.llm.tiled_cosine import near_vectors
+from cellwatch.llm.toxicity import toxicity
 from cellwatch.llm.warc import archived_pages
 from cellwatch.llm.winnow import contamination
 
@@ -41,6 +43,14 @@ def op4_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), similar_pct=85)
 
@@ -57,15 +67,24 @@ def op10_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op2_snapshot_collapse": op2_snapshot_collapse,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_rank_queue_bpe": op4_rank_queue_bpe,
+    "op5_ordinal_quality": op5_ordinal_quality,
+    "op6_compression_toxicity": op6_compression_toxicity,
     "op7_chosen_path_dedup": op7_chosen_path_dedup,
     "op8_winnowing_decontamination": op8_winnowing_decontamination,
     "op9_line_templates": op9_line_templates,
     "op10_tiled_cosine": op10_tiled_cosine,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {"op2_snapshot_collapse": RENDER_SQL, "op9_line_templates": LINES_SQL}

@@ -188,15 +188,9 @@ def digest_of(items) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``, one row per row of ``docs(doc_id, text, ...)``.
-
-    Windows come from ``items(item_id, text, ...)``. Null and empty texts have no words and no hits; items without
-    words or id have no windows. Repeated rows and null document ids keep their own result rows, repeated item
-    rows count once by id. Other columns are ignored. No documents give no rows; no items, rows without hits.
-    """
+def _found_and_spans(docs: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """A row for each document row, with its text only where fingerprints hit; and the hits' counts by ``row_key``."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "winnow")
     items = items.where("item_id IS NOT NULL").select("item_id", "text").distinct()
     items = scratch.save(items.withColumn("item_key", F.monotonically_increasing_id()), "items")
     prints = scratch.save(items.select("item_key", "text").mapInArrow(_of_items, "item_key bigint, fp bigint, item_at int, size int"), "prints")
@@ -216,9 +210,26 @@ def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch | None = N
     hits = hits.join(items, "item_key").select("row_key", F.struct("item_id", "text", F.col("h.at").alias("at"), F.col("h.item_at").alias("item_at")).alias("hit"))
     hits = hits.groupBy("row_key").agg(F.collect_list("hit").alias("hits"))
     joined = found.where("text IS NOT NULL").select("row_key", "text").join(hits, "row_key")
-    spans = joined.mapInArrow(_extend_hits, "row_key bigint, n_hit bigint, n_items bigint, items_sha256 string")
+    return found, joined.mapInArrow(_extend_hits, "row_key bigint, n_hit bigint, n_items bigint, items_sha256 string")
+
+
+def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``, one row per row of ``docs(doc_id, text, ...)``.
+
+    Windows come from ``items(item_id, text, ...)``. Null and empty texts have no words and no hits; items without
+    words or id have no windows. Repeated rows and null document ids keep their own result rows, repeated item
+    rows count once by id. Other columns are ignored. No documents give no rows; no items, rows without hits.
+    """
+    found, spans = _found_and_spans(docs, items, scratch or Scratch(docs.sparkSession, "winnow"))
     out = found.select("row_key", "doc_id", "n_words").join(spans, "row_key", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(
         "doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.lit(digest_of([]))).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` without the rows whose text shares a window with an item; all columns stay. The cases are those of ``contamination``."""
+    found, spans = _found_and_spans(docs, items, scratch or Scratch(docs.sparkSession, "winnow"))
+    bad = found.join(spans.where("n_hit > 0"), "row_key").select(F.col("doc_id").alias("bad_id"), F.xxhash64("text").alias("bad_text")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_text")), "left_anti")
