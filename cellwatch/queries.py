@@ -1,10 +1,6 @@
-"""Queries over the driver's tables and their SQL."""
+"""All queries over the driver's tables, and their SQL."""
 
-from __future__ import annotations
+from cellwatch.plans import batch, model, signals
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = batch.QUERIES | signals.QUERIES | model.QUERIES
+ORACLES = batch.ORACLES | signals.ORACLES | model.ORACLES
