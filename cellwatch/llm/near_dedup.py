@@ -10,19 +10,23 @@ the target recall. Links are confirmed on the full sets.
 
 Only components are asked for, so a pair that is already known to be connected is never compared:
 first every class of a node is compared with the node's leaders, then, in nodes that still hold several
-components, pairs of different components, screened by their minwise tokens. A large group of near
-copies costs a number of comparisons in proportion to its size.
+components, pairs of different components. A shingle that no other class of such nodes has can't be shared,
+so the others of each class bound the similarity of a pair from above, exactly. In a large group of near copies the
+copies that were changed too much to be linked have too many shingles of their own, and pair with nothing;
+the bound and the minwise tokens leave few pairs to confirm.
 """
 
 from __future__ import annotations
 
 import math
 from collections import OrderedDict
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cellwatch.llm.components import components
 from cellwatch.llm.scratch import Scratch
@@ -32,6 +36,8 @@ LEAF = 16
 DEPTH = 3
 BRANCH = 2
 RECALL = 0.99999
+#: Minwise tokens of a class at least; those that steer no path still screen pairs.
+SCREEN = 96
 #: Entries of a worker's word cache; a miss only costs time.
 WORD_CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -104,6 +110,14 @@ def _sketches(k: int):
     return run
 
 
+def _shingle_rows(batches):
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(owner)), pa.array(flat)], ["cid", "shingle"])
+
+
 def _confirm(similar_pct: int):
     def run(batches):
         seen: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -135,11 +149,11 @@ def _nodes(scratch: Scratch, classes: DataFrame, trees: int) -> DataFrame:
     position = lambda tree, level, j: (tree * DEPTH + level) * BRANCH + j
 
     def children(rows: DataFrame, path, level: int) -> DataFrame:
-        at = F.explode(F.sequence(F.lit(0), F.lit(BRANCH - 1)))
-        rows = rows.withColumn("j", at).withColumn("p", position(F.col("tree"), F.lit(level), F.col("j")))
-        return rows.select("tree", F.xxhash64(path, F.col("p"), F.get(F.col("tokens"), F.col("p"))).alias("path"), "cid", "n")
+        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BRANCH - 1)))).withColumn("p", position(F.col("tree"), F.lit(level), F.col("j")))
+        return rows.select("tree", F.concat("turns", F.array("j")).alias("turns"), F.xxhash64(path, F.col("p"), F.get(F.col("tokens"), F.col("p"))).alias("path"), "cid", "n")
 
-    level = children(classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))), F.lit(0), 0)
+    roots = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("turns", F.array().cast("array<int>"))
+    level = children(roots, F.lit(0), 0)
     leaves = []
     for d in range(DEPTH):
         size = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
@@ -152,7 +166,21 @@ def _nodes(scratch: Scratch, classes: DataFrame, trees: int) -> DataFrame:
     out = leaves[0]
     for leaf in leaves[1:]:
         out = out.union(leaf)
-    return out.select("path", "cid", "n", "size")
+    return out.select("path", "cid", "n", "size", "tree", "turns")
+
+
+def _first_meeting(trees: int, met: Column) -> Column:
+    """Whether a pair's node is the first in which it must meet, so that it is compared once.
+
+    ``met`` tells at which positions two classes share a token. A pair that shares one at every level of a tree
+    meets in a leaf of that tree, on the path of its first shared tokens. It is compared there in the first such tree,
+    and in earlier trees, where it meets only in leaves that end above the last level.
+    """
+    equal = lambda tree, level, j: F.get(met, tree * (DEPTH * BRANCH) + level * BRANCH + j)
+    meets = lambda t: reduce(and_, (reduce(or_, (equal(F.lit(t), d, j) for j in range(BRANCH))) for d in range(DEPTH)))
+    first = F.coalesce(*(F.when(meets(t), t) for t in range(trees)), F.lit(trees))
+    earlier = [F.coalesce(F.get("turns", F.lit(d)), F.lit(0)) <= F.least(*(F.when(equal(F.col("tree"), d, j), j).otherwise(BRANCH) for j in range(BRANCH))) for d in range(DEPTH)]
+    return (F.col("tree") < first) | ((F.col("tree") == first) & reduce(and_, earlier))
 
 
 def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
@@ -165,7 +193,7 @@ def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     trees = trees_for(similar_pct / 100)
-    k = trees * DEPTH * BRANCH
+    k = max(SCREEN, trees * DEPTH * BRANCH)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     rows = scratch.save(
         source.mapInArrow(_sketches(k), "doc_id long, text_key long, n_shingles long, set_key binary, tokens array<int>"), "rows"
@@ -185,25 +213,36 @@ def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
     stars = leaves.join(leaders, "path").select("cid", F.explode("leaders").alias("leader")).where("cid <> leader")
     stars = scratch.save(stars.select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct(), "stars")
     fits = f"100 * least(na, nb) >= {similar_pct} * greatest(na, nb)"
-    first = _links(scratch, source, classes, stars, similar_pct, fits, "first")
+    need = leaves.select("cid").distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
+    texts = source.join(need, ["doc_id", "text_key"]).groupBy("cid").agg(F.first("text").alias("text"))
+    texts = scratch.save(texts, "texts")
+    first = _links(scratch, texts, classes, stars, similar_pct, fits, "first")
 
     known = components(scratch, first, "c1")
     placed = leaves.join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     open_nodes = placed.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("path")
     placed = scratch.save(placed.join(open_nodes, "path").join(classes.select("cid", "tokens"), "cid"), "placed")
+    shingles = texts.join(placed.select("cid").distinct(), "cid").mapInArrow(_shingle_rows, "cid bigint, shingle bigint")
+    single = shingles.groupBy("shingle").agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c = 1")
+    own = scratch.save(single.groupBy("cid").agg(F.count("*").alias("own")), "own")
+    # m, the shingles that others have as well, bounds an intersection; in itself a class needs m of s times its size
+    placed = placed.join(own, "cid", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("m") * 100 >= F.col("n") * similar_pct)
+    placed = scratch.save(placed, "bounded")
     # the largest component of a node needs no comparison within itself, nor another as its left side
     sizes = placed.groupBy("path", "root").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
-    left = placed.join(largest, "path").where("root <> largest").select("path", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "root", "tokens")))
-    right = placed.select("path", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "root", "tokens")))
+    left = placed.join(largest, "path").where("root <> largest").select("path", "tree", "turns", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "m", "root", "tokens")))
+    right = placed.select("path", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "m", "root", "tokens")))
     s = similar_pct / 100
     least = math.floor(k * s - 4.5 * math.sqrt(k * s * (1 - s)))
-    same = F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x))
-    cross = left.join(right, (left.path == right.path) & (F.col("root_a") != F.col("root_b")) & F.expr(fits.replace("na", "n_a").replace("nb", "n_b")) & (same >= least))
+    bound = F.least("m_a", "m_b") * (100 + similar_pct) >= (F.col("n_a") + F.col("n_b")) * similar_pct
+    met = F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y)
+    # all of it in the join's condition, so that no other pair leaves the join
+    cross = left.join(right, (left.path == right.path) & (F.col("root_a") != F.col("root_b")) & bound & (F.size(F.filter(met, lambda x: x)) >= least) & _first_meeting(trees, met))
     cross = cross.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
     cross = scratch.save(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        second = _links(scratch, source, classes, cross, similar_pct, fits, "second")
+        second = _links(scratch, texts, classes, cross, similar_pct, fits, "second")
         known = components(scratch, first.union(second), "c2")
 
     found = classes.select("set_key", "doc_id", "cid").join(known.withColumnRenamed("node", "cid"), "cid", "left")
@@ -214,19 +253,12 @@ def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _links(scratch: Scratch, source: DataFrame, classes: DataFrame, pairs: DataFrame, similar_pct: int, fits: str, name: str) -> DataFrame:
+def _links(scratch: Scratch, texts: DataFrame, classes: DataFrame, pairs: DataFrame, similar_pct: int, fits: str, name: str) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets are similar enough."""
     n = classes.select("cid", "n")
     pairs = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").where(fits).select("a", "b")
-    pairs = scratch.save(pairs, f"{name}-pairs")
-    need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    need = need.join(classes.select("cid", "doc_id", "text_key"), "cid")
-    texts = source.join(need, ["doc_id", "text_key"]).groupBy("cid").agg(F.first("text").alias("text"))
-    texts = scratch.save(texts, f"{name}-texts")
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    links = scratch.save(joined.mapInArrow(_confirm(similar_pct), "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-texts")
-    return links
+    return scratch.save(joined.mapInArrow(_confirm(similar_pct), "a bigint, b bigint"), f"{name}-links")
 
 
 def drop_near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
