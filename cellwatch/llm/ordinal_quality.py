@@ -20,9 +20,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from cellwatch.llm.labelled import held_out, labelled_sample
+
 #: Hashed dimensions; the upper half holds shapes.
 DIMENSIONS = 1 << 15
-#: Rated rows of each grade that training reads, those of the least text hashes.
+#: Rated rows of each grade that training reads.
 TRAIN_ROWS = 3000
 STEPS = 250
 RATE = 0.3
@@ -113,24 +115,17 @@ def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"rating": frame["rating"], "slots": [r[0] for r in rows], "vals": [r[1] for r in rows]})
 
 
-def train(rated: DataFrame) -> Model:
-    """A model from ``rated(text, rating, ...)`` with integer ratings; null texts and ratings are ignored.
-
-    At most ``TRAIN_ROWS`` rows of each grade are read, and weighted so that the grades keep their shares. With
-    fewer than two grades every text gets the only one there is, or 0.
+def train(rows: DataFrame, share: dict[int, int]) -> Model:
+    """A model from a bounded sample ``rows(text, label)`` with integer ratings, weighted so that the grades have their
+    ``share`` in all rated rows. With fewer than two grades every text gets the only one there is, or 0.
     """
-    rows = rated.where("text IS NOT NULL AND rating IS NOT NULL").select("text", F.col("rating").cast("int").alias("rating"))
-    share = {r["rating"]: r["n"] for r in rows.groupBy("rating").agg(F.count("*").alias("n")).collect()}
-    grades = tuple(sorted(share))
+    told = rows.where("text IS NOT NULL AND label IS NOT NULL").select("text", F.col("label").cast("int").alias("rating"))
+    told = told.repartition(12).mapInPandas(_featured, "rating int, slots array<int>, vals array<double>").toPandas()
+    read = Counter(told["rating"])
+    grades = tuple(sorted(read))
     if len(grades) < 2:
         return Model(grades or (0,), (), np.zeros(DIMENSIONS))
-    sample = None
-    for g in grades:
-        part = rows.where(F.col("rating") == g).orderBy(F.xxhash64("text"), "text").limit(TRAIN_ROWS)
-        sample = part if sample is None else sample.union(part)
-    told = sample.repartition(12).mapInPandas(_featured, "rating int, slots array<int>, vals array<double>").toPandas()
     y = told["rating"].map({g: i for i, g in enumerate(grades)}).to_numpy()
-    read = Counter(told["rating"])
     weight = told["rating"].map({g: share[g] / read[g] for g in read}).to_numpy(float)
     th, w = fit([(np.asarray(s), np.asarray(v)) for s, v in zip(told["slots"], told["vals"])], y, len(grades), weight)
     return Model(grades, tuple(float(t) for t in th), w)
@@ -157,15 +152,9 @@ def rate(docs: DataFrame, model: Model, at_least: int = 1) -> DataFrame:
     return rest.withColumn("_rated", rated("text")).select(*rest.columns, "_rated.*")
 
 
-def held_out(doc_id: str = "doc_id"):
-    """Rows that training never sees: the remainder of crc32 of the id as text by 5 is 0; false for a null id."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, expected_grade, tail_probability, keep)`` of every row of ``docs(doc_id, text, ...)``, trained on
     ``labels(doc_id, quality, ...)``; keep: the top half of the scale is likelier than not."""
-    known = labels.where(~held_out()).select("doc_id", F.col("quality").alias("rating"))
-    model = train(docs.select("doc_id", "text").join(known, "doc_id").select("text", "rating"))
+    model = train(*labelled_sample(docs, labels, "quality", TRAIN_ROWS))
     rated = rate(docs.select("doc_id", "text"), model, at_least=max(1, (model.grades[-1] + 1) // 2))
     return rated.select("doc_id", held_out().alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("keep"))

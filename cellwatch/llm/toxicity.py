@@ -23,7 +23,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-#: Labelled rows of each class that training reads, those of the least text hashes.
+from cellwatch.llm.labelled import held_out, labelled_sample
+
+#: Labelled rows of each class that training reads.
 TRAIN_ROWS = 4000
 #: A word marks toxic text if it has so many distinct neighbourhoods there, and so many times its share in ordinary text.
 MIN_CONTEXTS = 8
@@ -152,16 +154,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return tuple(float(v) for v in w)
 
 
-def train(labelled: DataFrame) -> Model:
-    """A model from ``labelled(text, toxic, ...)`` with toxic 0 or 1; rows with other labels or null texts are ignored.
-
-    At most ``TRAIN_ROWS`` rows of each class are read, and weighted so that the classes keep their shares. With
-    no rows of a class, every text scores the same.
+def train(rows: DataFrame, share: dict[int, int]) -> Model:
+    """A model from a bounded sample ``rows(text, label)`` with labels 0 and 1, weighted so that the classes have their
+    ``share`` in all labelled rows. Without rows of a class, every text scores the same.
     """
-    rows = labelled.where("text IS NOT NULL AND toxic IN (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
-    share = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    part = lambda k: rows.where(F.col("toxic") == k).orderBy(F.xxhash64("text"), "text").limit(TRAIN_ROWS)
-    sample = part(0).union(part(1)).repartition(12).persist()
+    sample = rows.where("text IS NOT NULL AND label IN (0, 1)").select("text", F.col("label").cast("int").alias("toxic")).repartition(12).persist()
     try:
         toxic, ordinary = train_dictionaries(sample)
         told = sample.mapInPandas(_told(Model(toxic, ordinary, ())), "toxic int, a double, b double, c double").toPandas()
@@ -204,18 +201,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rest.withColumn("score", rated("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def held_out(doc_id: str = "doc_id"):
-    """Rows that training never sees: the remainder of crc32 of the id as text by 5 is 0; false for a null id."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(text, toxic)`` of the labelled rows that are not held out."""
-    known = labels.where(~held_out()).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+def train_on(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from at most ``TRAIN_ROWS`` labelled rows of each class that are not held out."""
+    return train(*labelled_sample(docs, labels.where("toxic IN (0, 1)"), "toxic", TRAIN_ROWS))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs(doc_id, text, ...)``, trained on ``labels(doc_id, toxic, ...)``."""
-    scored = score(docs.select("doc_id", "text"), train(training_rows(docs, labels)))
+    scored = score(docs.select("doc_id", "text"), train_on(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -13,7 +13,7 @@ from cellwatch.llm.line_templates import drop_recurring_lines
 from cellwatch.llm.near_dedup import drop_near_duplicates
 from cellwatch.llm.queries import PATTERN, RANKS
 from cellwatch.llm.scratch import Scratch
-from cellwatch.llm.toxicity import score, train, training_rows
+from cellwatch.llm.toxicity import score, train_on
 from cellwatch.llm.winnow import drop_contaminated
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,8 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = train(training_rows(docs, _table(spark, sf_dir, "labels")))
-    return score(docs, model).where("predicted = 0").select(*COLUMNS)
+    return score(docs, train_on(docs, _table(spark, sf_dir, "labels"))).where("predicted = 0").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
