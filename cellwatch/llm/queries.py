@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cellwatch.llm.bpe import round_trip
 from cellwatch.llm.line_templates import LINES_SQL, line_report
 from cellwatch.llm.near_dedup import near_duplicates
+from cellwatch.llm.oracles import COSINE_SQL, NEAR_SQL, WARC_SQL, WINDOWS_SQL
 from cellwatch.llm.ordinal_quality import quality
 from cellwatch.llm.pii import personal_data_report
 from cellwatch.llm.snapshots import RENDER_SQL, render_conversations
@@ -87,4 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op2_snapshot_collapse": RENDER_SQL, "op9_line_templates": LINES_SQL}
+ORACLES: dict[str, str] = {
+    "op2_snapshot_collapse": RENDER_SQL,
+    "op3_warc_salvage": WARC_SQL,
+    "op7_chosen_path_dedup": NEAR_SQL,
+    "op8_winnowing_decontamination": WINDOWS_SQL,
+    "op9_line_templates": LINES_SQL,
+    "op10_tiled_cosine": COSINE_SQL,
+}
