@@ -19,9 +19,11 @@ NAME_DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})\.csv$"
 
 
 def detect_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, path, length)`` of the files whose name fits, without reading them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", FILE_GLOB).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length").orderBy("name")
+    """``(name, path, length)`` of the files whose name fits, from the folder's listing; Spark's readers skip empty files."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(path, FILE_GLOB)
+    found = glob.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(glob) or []
+    rows = sorted((f.getPath().getName(), f.getPath().toString(), f.getLen()) for f in found)
+    return spark.createDataFrame(rows, "name string, path string, length bigint")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
