@@ -38,6 +38,8 @@ BRANCH = 2
 RECALL = 0.99999
 #: Minwise tokens of a class at least; those that steer no path still screen pairs.
 SCREEN = 96
+#: Sets of at most so many shingles (4 bytes of each) are compared before a pair leaves its node.
+SMALL = 512
 #: Entries of a worker's word cache; a miss only costs time.
 WORD_CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -118,6 +120,13 @@ def _shingle_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(owner)), pa.array(flat)], ["cid", "shingle"])
 
 
+def _small_sets(batches):
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        rows = [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if len(x) <= SMALL else None for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(rows, pa.list_(pa.int32()))], ["cid", "small"])
+
+
 def _confirm(similar_pct: int):
     def run(batches):
         seen: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -207,42 +216,48 @@ def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
     classes = scratch.save(classes, "classes")
     leaves = _nodes(scratch, classes.select("cid", "tokens", "n"), trees)
 
-    pick = lambda seed: F.min_by("cid", F.xxhash64("cid", "path", F.lit(seed)))
-    leaders = leaves.groupBy("path").agg(F.max("size").alias("s"), F.min("cid").alias("first"), *(pick(i).alias(f"l{i}") for i in range(3)))
-    leaders = leaders.select("path", F.when(F.col("s") > LEAF, F.array("first", "l0", "l1", "l2")).otherwise(F.array("first")).alias("leaders"))
-    stars = leaves.join(leaders, "path").select("cid", F.explode("leaders").alias("leader")).where("cid <> leader")
-    stars = scratch.save(stars.select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct(), "stars")
-    fits = f"100 * least(na, nb) >= {similar_pct} * greatest(na, nb)"
+    # the leaders of a node: its first class, and in a large one another at random
+    member = F.struct("cid", "n")
+    leaders = leaves.groupBy("path").agg(F.max("size").alias("s"), F.min(member).alias("first"), F.min_by(member, F.xxhash64("cid", "path")).alias("other"))
+    leaders = leaders.select("path", F.when(F.col("s") > LEAF, F.array("first", "other")).otherwise(F.array("first")).alias("leaders"))
+    stars = leaves.join(leaders, "path").select("cid", "n", F.explode("leaders").alias("l")).where("cid <> l.cid")
+    stars = stars.where(F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * similar_pct)
+    stars = scratch.save(stars.select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b")).distinct(), "stars")
     need = leaves.select("cid").distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
     texts = source.join(need, ["doc_id", "text_key"]).groupBy("cid").agg(F.first("text").alias("text"))
     texts = scratch.save(texts, "texts")
-    first = _links(scratch, texts, classes, stars, similar_pct, fits, "first")
+    first = _links(scratch, texts, stars, similar_pct, "first")
 
     known = components(scratch, first, "c1")
     placed = leaves.join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     open_nodes = placed.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("path")
     placed = scratch.save(placed.join(open_nodes, "path").join(classes.select("cid", "tokens"), "cid"), "placed")
-    shingles = texts.join(placed.select("cid").distinct(), "cid").mapInArrow(_shingle_rows, "cid bigint, shingle bigint")
+    opened = texts.join(placed.select("cid").distinct(), "cid")
+    shingles = opened.mapInArrow(_shingle_rows, "cid bigint, shingle bigint")
     single = shingles.groupBy("shingle").agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c = 1")
     own = scratch.save(single.groupBy("cid").agg(F.count("*").alias("own")), "own")
     # m, the shingles that others have as well, bounds an intersection; in itself a class needs m of s times its size
     placed = placed.join(own, "cid", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("m") * 100 >= F.col("n") * similar_pct)
+    placed = placed.join(scratch.save(opened.mapInArrow(_small_sets, "cid bigint, small array<int>"), "small"), "cid")
     placed = scratch.save(placed, "bounded")
     # the largest component of a node needs no comparison within itself, nor another as its left side
     sizes = placed.groupBy("path", "root").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
-    left = placed.join(largest, "path").where("root <> largest").select("path", "tree", "turns", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "m", "root", "tokens")))
-    right = placed.select("path", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "m", "root", "tokens")))
+    left = placed.join(largest, "path").where("root <> largest").select("path", "tree", "turns", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "m", "root", "tokens", "small")))
+    right = placed.select("path", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "m", "root", "tokens", "small")))
     s = similar_pct / 100
     least = math.floor(k * s - 4.5 * math.sqrt(k * s * (1 - s)))
     bound = F.least("m_a", "m_b") * (100 + similar_pct) >= (F.col("n_a") + F.col("n_b")) * similar_pct
+    # folded hashes can only make two sets look more alike
+    alike = F.size(F.array_intersect("small_a", "small_b")) * (100 + similar_pct) >= (F.col("n_a") + F.col("n_b")) * similar_pct
+    alike = F.col("small_a").isNull() | F.col("small_b").isNull() | alike
     met = F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y)
     # all of it in the join's condition, so that no other pair leaves the join
-    cross = left.join(right, (left.path == right.path) & (F.col("root_a") != F.col("root_b")) & bound & (F.size(F.filter(met, lambda x: x)) >= least) & _first_meeting(trees, met))
+    cross = left.join(right, (left.path == right.path) & (F.col("root_a") != F.col("root_b")) & bound & (F.size(F.filter(met, lambda x: x)) >= least) & _first_meeting(trees, met) & alike)
     cross = cross.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
     cross = scratch.save(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        second = _links(scratch, texts, classes, cross, similar_pct, fits, "second")
+        second = _links(scratch, texts, cross, similar_pct, "second")
         known = components(scratch, first.union(second), "c2")
 
     found = classes.select("set_key", "doc_id", "cid").join(known.withColumnRenamed("node", "cid"), "cid", "left")
@@ -253,10 +268,8 @@ def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _links(scratch: Scratch, texts: DataFrame, classes: DataFrame, pairs: DataFrame, similar_pct: int, fits: str, name: str) -> DataFrame:
+def _links(scratch: Scratch, texts: DataFrame, pairs: DataFrame, similar_pct: int, name: str) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets are similar enough."""
-    n = classes.select("cid", "n")
-    pairs = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").where(fits).select("a", "b")
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return scratch.save(joined.mapInArrow(_confirm(similar_pct), "a bigint, b bigint"), f"{name}-links")
 
