@@ -55,13 +55,16 @@ def _scaling(train: DataFrame) -> list[dict[str, float]]:
 
 def fit_risk_model(train: DataFrame, c: float = 1.0) -> PipelineModel:
     """Median imputation, standardisation and L2 logistic regression on ``train(features, label)``; the penalty is
-    that of an inverse strength ``c`` on the summed loss."""
+    that of an inverse strength ``c`` on the summed loss. No rows are an error."""
+    rows = train.count()
+    if not rows:
+        raise ValueError("no training rows")
     scale = _scaling(train)
     columns = ", ".join(f"(coalesce(cast({s['feature']} AS double), {s['median']!r}D) - {s['mean']!r}D) / {s['std']!r}D AS x_{s['feature']}" for s in scale)
     steps = [
         SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__"),
         VectorAssembler(inputCols=[f"x_{f}" for f in FEATURES], outputCol="x"),
-        LogisticRegression(featuresCol="x", labelCol="label", regParam=1.0 / (c * max(1, train.count())), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10),
+        LogisticRegression(featuresCol="x", labelCol="label", regParam=1.0 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10),
     ]
     return Pipeline(stages=steps).fit(train)
 
