@@ -4,7 +4,9 @@ A line falls through a tree of fixed depth: first by its number of tokens, then
 with a digit stands for any such token. Each leaf has one template, its commonest line, whose other tokens
 are constants or, where the lines differ, variable fields: a line belongs to the template if a large enough share of
 its tokens is the template's. A template whose lines occur in several documents is boilerplate: its lines are dropped from all of
-these documents but the first, so that a text that was copied whole keeps one home.
+these documents but the first, so that a text that was copied whole keeps one home. Two documents are several.
+A document of which nothing would be left is a copy as a whole: its lines go if `MIN_DOCS` documents or more have them, and else
+stay for the near-duplicate operator.
 
 All of it is DataFrame operations. Only lines of leaves that recur are compared with a template.
 """
@@ -21,8 +23,10 @@ LEAD = 4
 MIN_TOKENS = 3
 #: Percentage of a line's tokens that must be the template's.
 SIMILAR_PCT = 70
-#: Documents in which a template's lines must occur.
+#: Documents in which a template's lines must occur for a document to lose its last words; `LINES_SQL` asks it of every template.
 MIN_DOCS = 4
+#: Documents in which a template's lines must occur otherwise.
+LEAST_DOCS = 2
 #: Up to so many leaves (16 bytes each) are sent to all executors; more are joined by a shuffle.
 BROADCAST_LEAVES = 500_000
 
@@ -33,8 +37,9 @@ def _tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.transform(found, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(found)
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, similar_pct: int = SIMILAR_PCT) -> DataFrame:
-    """``(doc_id, text_key, at)``: for each document with lines to drop, their indexes in ``split(text, '\\n')``."""
+def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = LEAST_DOCS, similar_pct: int = SIMILAR_PCT) -> DataFrame:
+    """``(doc_id, text_key, at, often)``: for each document with lines to drop, their indexes in ``split(text, '\\n')``, and of these
+    the ones that at least ``MIN_DOCS`` documents have."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.select("doc_id", "text_key", "at", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
     lines = lines.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEAD)))
@@ -52,15 +57,16 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS,
     homes = fits.select("leaf", "doc_id", "text_key").distinct().groupBy("leaf").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_key")).alias("home"))
     homes = scratch.save(homes.where(F.col("docs") >= min_docs), "homes")
     dropped = fits.join(homes, "leaf").where(~F.struct("doc_id", "text_key").eqNullSafe(F.col("home")))
-    return dropped.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    often = F.collect_list(F.when(F.col("docs") >= MIN_DOCS, F.col("at")))
+    return dropped.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("at"), F.sort_array(often).alias("often"))
 
 
-def drop_recurring_lines(docs: DataFrame, scratch: Scratch | None = None, min_docs: int = MIN_DOCS, similar_pct: int = SIMILAR_PCT) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, scratch: Scratch | None = None, min_docs: int = LEAST_DOCS, similar_pct: int = SIMILAR_PCT) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` (long) added.
 
     A document is a doc_id with a text: repeated rows are one document and get the same text. The first document of a template
     is that of the least doc_id, nulls first, then of the least hash of its text. Null texts stay null, with no lines; blank
-    and very short lines stay. Other columns pass through, but for those of the two added names, which are replaced.
+    and very short lines stay, and so do lines of fewer than ``MIN_DOCS`` documents where a document has no other word. Other columns pass through, but for those of the two added names, which are replaced.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     # renamed first, so that no column of the input can clash with the join's own
@@ -71,7 +77,9 @@ def drop_recurring_lines(docs: DataFrame, scratch: Scratch | None = None, min_do
     own = own.withColumn("own_key", F.xxhash64(text))
     out = own.join(found, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")
     lines = F.split(text, "\n")
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("at", i)), "\n")
+    without = lambda at: F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(at, i)), "\n")
+    out = out.withColumn("at", F.when(without("at").rlike("\\S"), F.col("at")).otherwise(F.col("often")))
+    rest = without("at")
     kept = {text: F.when(F.col("at").isNull(), F.col(text)).otherwise(rest)}
     return out.select(
         *(kept.get(n, F.col(n)).alias(c) for c, n in names.items()),
@@ -80,9 +88,9 @@ def drop_recurring_lines(docs: DataFrame, scratch: Scratch | None = None, min_do
     )
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, min_docs: int = LEAST_DOCS) -> DataFrame:
     """``(doc_id, n_lines, n_dropped, text_md5)`` of every row."""
-    out = drop_recurring_lines(docs)
+    out = drop_recurring_lines(docs, min_docs=min_docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cellwatch.llm.bpe import round_trip
-from cellwatch.llm.line_templates import LINES_SQL, line_report
+from cellwatch.llm.line_templates import LINES_SQL, MIN_DOCS, line_report
 from cellwatch.llm.near_dedup import near_duplicates
 from cellwatch.llm.oracles import COSINE_SQL, NEAR_SQL, WARC_SQL, WINDOWS_SQL
 from cellwatch.llm.ordinal_quality import quality
@@ -61,6 +61,12 @@ def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the rule of its SQL, which holds the higher count of documents."""
+    return line_report(_table(spark, sf_dir, "documents"), min_docs=MIN_DOCS)
+
+
+def op9_line_templates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the rule of the pipeline."""
     return line_report(_table(spark, sf_dir, "documents"))
 
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chosen_path_dedup": op7_chosen_path_dedup,
     "op8_winnowing_decontamination": op8_winnowing_decontamination,
     "op9_line_templates": op9_line_templates,
+    "op9_line_templates_whole": op9_line_templates_whole,
     "op10_tiled_cosine": op10_tiled_cosine,
     "pipeline": pipeline,
 }

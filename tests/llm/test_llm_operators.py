@@ -300,6 +300,15 @@ def test_recurring_lines(spark):
     assert line_templates.drop_recurring_lines(docs_of(spark, ODD)).count() == len(ODD)
 
 
+def test_passages_of_two_and_three_documents_go(spark):
+    two, three, copied = (" ".join(f"{w}{c}" for c in "abcdefghijklmnopqrst" for w in ("pas", "sage", n)) for n in ("two", "three", "copied"))
+    rows = [(i, f"{'abcdef'[i]} has some words alone\n{two if i < 2 else three}") for i in range(5)] + [(10, copied), (11, copied)]
+    by = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs_of(spark, rows)).collect()}
+    assert [by[i].n_dropped for i in range(5)] == [0, 1, 0, 1, 1]
+    assert two in by[0].text and by[1].text == "b has some words alone" and three in by[2].text and by[4].text == "e has some words alone"
+    assert by[10].text == by[11].text == copied  # left to the near-duplicate operator
+
+
 # --- vectors
 
 def test_cosine_equals_brute_force(spark):
