@@ -1,9 +1,10 @@
 """Line dedup by a log-template tree.
 
 A line falls through a tree of fixed depth: first by its number of tokens, then by its leading tokens, where a token
-with a digit stands for any such token. Each leaf has one template, its commonest line, whose other tokens
-are constants or, where the lines differ, variable fields: a line belongs to the template if a large enough share of
-its tokens is the template's. A template whose lines occur in several documents is boilerplate: its lines are dropped from all of
+with a digit stands for any such token. A leaf's distinct lines, commonest first, are clustered in rounds: a line that is like no earlier template
+becomes one, and a line belongs to the first template that has a large enough share of its tokens. Positions where a template's lines differ
+are its variable fields; a line that has all of its constants belongs to it too, if these are a large enough part. Rounds go on until no leaf's
+rest occurs in several documents. A template whose lines occur in several documents is boilerplate: its lines are dropped from all of
 these documents but the first, so that a text that was copied whole keeps one home. Two documents are several.
 A document of which nothing would be left is a copy as a whole: its lines go if `MIN_DOCS` documents or more have them, and else
 stay for the near-duplicate operator.
@@ -13,7 +14,7 @@ All of it is DataFrame operations. Only lines of leaves that recur are compared
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellwatch.llm.scratch import Scratch
 
@@ -23,6 +24,10 @@ LEAD = 4
 MIN_TOKENS = 3
 #: Percentage of a line's tokens that must be the template's.
 SIMILAR_PCT = 70
+#: Percentage of a template's tokens that must be constants for these alone to decide.
+CONSTANT_PCT = 50
+#: Lines of a leaf that the first round looks at for templates, and the most that a later one does. Only the number of rounds depends on them.
+ROUND, MOST_ROUND = 16, 256
 #: Documents in which a template's lines must occur for a document to lose its last words; `LINES_SQL` asks it of every template.
 MIN_DOCS = 4
 #: Documents in which a template's lines must occur otherwise.
@@ -37,7 +42,7 @@ def _tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.transform(found, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(found)
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = LEAST_DOCS, similar_pct: int = SIMILAR_PCT) -> DataFrame:
+def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = LEAST_DOCS, similar_pct: int = SIMILAR_PCT, single: bool = False) -> DataFrame:
     """``(doc_id, text_key, at, often)``: for each document with lines to drop, their indexes in ``split(text, '\\n')``, and of these
     the ones that at least ``MIN_DOCS`` documents have."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -47,33 +52,86 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = LEAST_DOC
     leaves = scratch.save(spread.where(F.col("docs") >= min_docs).select("leaf"), "leaves")
     few = leaves.count() <= BROADCAST_LEAVES
     open_lines = scratch.save(lines.join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi"), "lines")
-    counts = open_lines.groupBy("leaf", "tokens").agg(F.count("*").alias("c"))
-    # the commonest line; of several the one that sorts first
-    best = counts.groupBy("leaf").agg(F.min(F.struct(F.negative("c").alias("c"), F.col("tokens").alias("template"))).alias("b")).select("leaf", "b.template")
-    best = scratch.save(best, "best")  # read again it has no partitioning of its own, and Spark can split a large leaf in the join
-    same = F.size(F.filter(F.zip_with("tokens", "template", lambda x, y: x == y), lambda x: x))
-    fits = open_lines.join(best, "leaf").where(same * 100 >= F.size("tokens") * similar_pct).select("leaf", "doc_id", "text_key", "at")
-    fits = scratch.save(fits, "fits")
-    homes = fits.select("leaf", "doc_id", "text_key").distinct().groupBy("leaf").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_key")).alias("home"))
+    fits = scratch.save((_commonest if single else _clustered)(open_lines, scratch, similar_pct), "fits")
+    homes = fits.select("template", "doc_id", "text_key").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_key")).alias("home"))
     homes = scratch.save(homes.where(F.col("docs") >= min_docs), "homes")
-    dropped = fits.join(homes, "leaf").where(~F.struct("doc_id", "text_key").eqNullSafe(F.col("home")))
+    dropped = fits.join(homes, "template").where(~F.struct("doc_id", "text_key").eqNullSafe(F.col("home")))
     often = F.collect_list(F.when(F.col("docs") >= MIN_DOCS, F.col("at")))
     return dropped.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("at"), F.sort_array(often).alias("often"))
 
 
-def drop_recurring_lines(docs: DataFrame, scratch: Scratch | None = None, min_docs: int = LEAST_DOCS, similar_pct: int = SIMILAR_PCT) -> DataFrame:
+def _same(a: Column, b: Column) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+
+
+def _commonest(lines: DataFrame, scratch: Scratch, similar_pct: int) -> DataFrame:
+    """``(template, doc_id, text_key, at)`` where a leaf's only template is its commonest line."""
+    counts = lines.groupBy("leaf", "tokens").agg(F.count("*").alias("c"))
+    # the commonest line; of several the one that sorts first
+    best = counts.groupBy("leaf").agg(F.min(F.struct(F.negative("c").alias("c"), F.col("tokens").alias("template"))).alias("b")).select("leaf", "b.template")
+    best = scratch.save(best, "best")  # read again it has no partitioning of its own, and Spark can split a large leaf in the join
+    fits = lines.join(best, "leaf").where(_same(F.col("tokens"), F.col("template")) * 100 >= F.size("tokens") * similar_pct)
+    return fits.select(F.col("leaf").alias("template"), "doc_id", "text_key", "at")
+
+
+def _clustered(lines: DataFrame, scratch: Scratch, similar_pct: int) -> DataFrame:
+    """``(template, doc_id, text_key, at)`` of the lines that belong to a template."""
+    doc = F.struct("doc_id", "text_key")
+    lists = lines.groupBy("leaf", F.xxhash64("tokens").alias("key"))
+    rest = scratch.save(lists.agg(F.first("tokens").alias("tokens"), F.count("*").alias("c"), F.min(doc).alias("lo"), F.max(doc).alias("hi")), "lists-0")
+    like = lambda a, b: _same(a, b) * 100 >= F.size(a) * similar_pct
+    add = lambda kept, x: F.when(F.exists(kept, lambda k: like(x, k)), kept).otherwise(F.concat(kept, F.array(x)))
+    found, n, size = None, 0, ROUND
+    while not rest.isEmpty():
+        n += 1
+        place = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("c"), "tokens", "key"))
+        top = rest.withColumn("place", place).where(F.col("place") <= size).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "tokens"))).alias("top"))
+        # of the commonest lists those that are like none before them
+        kept = F.aggregate("top.tokens", F.array().cast("array<array<string>>"), add)
+        top = scratch.save(top.select("leaf", kept.alias("templates")), f"templates-{n}")
+        at = F.array_position(F.transform("templates", lambda k: like(F.col("tokens"), k)), True)
+        met = rest.join(top, "leaf").withColumn("ix", F.nullif(at, F.lit(0)))
+        met = scratch.save(met.withColumn("template", F.get("templates", (F.col("ix") - 1).cast("int"))).drop("templates"), f"met-{n}")
+        taken = met.where("template IS NOT NULL")
+        # the positions that vary: a line with all other tokens of a template belongs to it, unless it is like an earlier one
+        differs = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) != F.get("template", i))
+        varies = taken.select("leaf", "ix", F.explode(differs).alias("i")).groupBy("leaf", "ix").agg(F.collect_set("i").alias("varies"))
+        varies = varies.join(top, "leaf").select("leaf", "ix", "varies", F.get("templates", (F.col("ix") - 1).cast("int")).alias("template"))
+        varies = varies.where((F.size("template") - F.size("varies")) * 100 >= F.size("template") * CONSTANT_PCT)
+        field = F.transform("template", lambda x, i: F.when(~F.array_contains("varies", i), x))
+        fields = varies.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("ix", "template", field.alias("field")))).alias("fields"))
+        fields = scratch.save(fields, f"fields-{n}")
+        constant = lambda f: F.forall(F.zip_with(f["field"], "tokens", lambda x, y: x.isNull() | (x == y)), lambda x: x)
+        late = met.join(fields, "leaf", "left").withColumn("field", F.get(F.filter("fields", constant), F.lit(0)))
+        sooner = F.col("field.ix") < F.coalesce("ix", F.lit(size + 1))
+        late = late.withColumn("template", F.when(sooner, F.col("field.template")).otherwise(F.col("template"))).drop("fields", "field", "ix")
+        late = scratch.save(late, f"late-{n}")
+        member = late.where("template IS NOT NULL").select("leaf", "key", F.xxhash64("template").alias("template"))
+        found = member if found is None else found.union(member)
+        left = late.where("template IS NULL").drop("template")
+        open_leaves = left.groupBy("leaf").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where(~F.col("least").eqNullSafe(F.col("most"))).select("leaf")
+        rest = scratch.save(left.join(open_leaves, "leaf", "left_semi"), f"lists-{n}")
+        size = min(size * 4, MOST_ROUND)
+    keyed = lines.select("leaf", F.xxhash64("tokens").alias("key"), "doc_id", "text_key", "at")
+    if found is None:
+        return keyed.select(F.col("leaf").alias("template"), "doc_id", "text_key", "at").limit(0)
+    return keyed.join(scratch.save(found, "members"), ["leaf", "key"]).select("template", "doc_id", "text_key", "at")
+
+
+def drop_recurring_lines(docs: DataFrame, scratch: Scratch | None = None, min_docs: int = LEAST_DOCS, similar_pct: int = SIMILAR_PCT, single: bool = False) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` (long) added.
 
     A document is a doc_id with a text: repeated rows are one document and get the same text. The first document of a template
     is that of the least doc_id, nulls first, then of the least hash of its text. Null texts stay null, with no lines; blank
-    and very short lines stay, and so do lines of fewer than ``MIN_DOCS`` documents where a document has no other word. Other columns pass through, but for those of the two added names, which are replaced.
+    and very short lines stay, and so do lines of fewer than ``MIN_DOCS`` documents where a document has no other word. With ``single`` a leaf
+    has one template only, its commonest line. Other columns pass through, but for those of the two added names, which are replaced.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     # renamed first, so that no column of the input can clash with the join's own
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_dropped")}
     own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     doc_id, text = names["doc_id"], names["text"]
-    found = scratch.save(recurring_lines(docs, scratch, min_docs, similar_pct), "dropped")
+    found = scratch.save(recurring_lines(docs, scratch, min_docs, similar_pct, single), "dropped")
     own = own.withColumn("own_key", F.xxhash64(text))
     out = own.join(found, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")
     lines = F.split(text, "\n")
@@ -88,9 +146,9 @@ def drop_recurring_lines(docs: DataFrame, scratch: Scratch | None = None, min_do
     )
 
 
-def line_report(docs: DataFrame, min_docs: int = LEAST_DOCS) -> DataFrame:
+def line_report(docs: DataFrame, min_docs: int = LEAST_DOCS, single: bool = False) -> DataFrame:
     """``(doc_id, n_lines, n_dropped, text_md5)`` of every row."""
-    out = drop_recurring_lines(docs, min_docs=min_docs)
+    out = drop_recurring_lines(docs, min_docs=min_docs, single=single)
     return out.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 

@@ -61,8 +61,8 @@ def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the rule of its SQL, which holds the higher count of documents."""
-    return line_report(_table(spark, sf_dir, "documents"), min_docs=MIN_DOCS)
+    """By the rule of its SQL, which holds the higher count of documents and one template for each leaf."""
+    return line_report(_table(spark, sf_dir, "documents"), min_docs=MIN_DOCS, single=True)
 
 
 def op9_line_templates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:

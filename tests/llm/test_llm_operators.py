@@ -339,3 +339,31 @@ def test_cosine_equals_brute_force(spark):
             else:
                 assert r.n_links == counts[None] and not r.kept
     assert tiled_cosine.near_vectors(df.limit(0), 0.98).count() == 0
+
+
+def test_a_leaf_has_several_templates(spark):
+    a, b = "as was said before " + " ".join(f"a{c}x" for c in "bcdefgh"), "as was said before " + " ".join(f"b{c}x" for c in "bcdefgh")
+    rows = [(i, f"{'abcdefghi'[i]} has some words alone\n{a if i < 5 else b}") for i in range(9)]
+    by = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs_of(spark, rows)).collect()}
+    assert [by[i].n_dropped for i in range(9)] == [0, 1, 1, 1, 1, 0, 1, 1, 1]
+    assert b in by[5].text
+
+
+def test_fields_without_digits_vary(spark):
+    far = ("w", "x", "y", "z")  # four fields of twelve tokens
+    fields = [("kept", "monday", "soon", "anna"), ("kept", "monday", "soon", "anna"), ("kept", "friday", "later", "anna"), ("lost", "monday", "soon", "bert"), far]
+    line = "your order has been {} on {} so {} for {} said"
+    rows = [(i, f"{'abcde'[i]} has some words alone\n{line.format(*f)}") for i, f in enumerate(fields)]
+    by = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs_of(spark, rows)).collect()}
+    assert [by[i].n_dropped for i in range(5)] == [0, 1, 1, 1, 1]
+
+
+def test_rounds_leave_no_recurring_line(spark):
+    random.seed(5)
+    most = line_templates.ROUND
+    lists = [" ".join(["the same four words", *(random.choice("abcdefgh") + w for w in "rstuvwxyz")]) for _ in range(most * 6)]
+    rows = [(i, f"{i} alone\n{line}") for i, line in enumerate(lists * 2)]
+    out = line_templates.drop_recurring_lines(docs_of(spark, rows)).collect()
+    # every line occurs twice, so that all but one line of each template go and each distinct line is dropped once at least
+    left = [r.text.split("\n")[1] for r in out if r.n_dropped == 0]
+    assert len(left) == len(set(left)) <= len(set(lists))
