@@ -1,19 +1,20 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
-Merge candidates of a pre-token wait in buckets, one for each merge rank, which hold positions of a
-linked list of parts. A three-level bitmap marks the buckets in use; find-first-set on the levels gives
-the least rank in constant time. An entry whose part has been merged since, or whose right neighbour has
-changed, is stale and skipped. A pre-token of n bytes takes O(n log n) steps, however long it is.
+Merge candidates wait in buckets, one for each merge rank, which hold positions of a linked list of parts. A
+three-level bitmap marks the buckets in use; find-first-set on the levels gives the least rank in constant time, and
+its bucket is worked off from left to right. An entry whose part has been merged since, or whose right neighbour has changed, is stale and
+skipped. Pre-tokens never merge with each other, so all new pre-tokens of a batch of texts lie in one linked list and
+share one queue. A pre-token of n bytes takes O(n log n) steps, however long it is.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
-from heapq import heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -21,13 +22,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bits in a word of the bitmap's lower levels.
 WORD = 64
-#: Encoded pre-tokens that a worker keeps, and the longest that it keeps.
-CACHE = 600_000
+#: Encoded pre-tokens that a worker keeps for sure (up to twice as many in all), and the longest that it keeps.
+CACHE = 150_000
 CACHE_CHARS = 48
+#: Characters of texts that are encoded together, but for a longer text, which goes alone; bounds memory.
+BATCH_CHARS = 1 << 18
+#: Bytes of pre-tokens in one linked list, but for a longer pre-token, which has one for itself.
+LIST_BYTES = 1 << 14
+#: In the list of parts: the end of a pre-token, and a part that was merged into its left neighbour. A byte b without an id is -1 - b.
+_END, _GONE = -300, -301
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the leftmost position of the least rank."""
+    """Positions by rank; ``pop`` takes the bucket of the least rank."""
 
     __slots__ = ("top", "mid", "low", "buckets")
 
@@ -38,19 +45,24 @@ class RankQueue:
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
+    def open(self, rank: int, positions: list[int]) -> None:
+        """A bucket for a rank that has none."""
+        self.buckets[rank] = positions
         w = rank >> 6
         m = w >> 6
         self.low[w] |= 1 << (rank & 63)
         self.mid[m] |= 1 << (w & 63)
         self.top |= 1 << m
 
-    def pop(self) -> tuple[int, int] | None:
+    def push(self, rank: int, at: int) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket is None:
+            self.open(rank, [at])
+        else:
+            bucket.append(at)
+
+    def pop(self) -> tuple[int, list[int]] | None:
+        """The least rank and its positions, from left to right."""
         top = self.top
         if not top:
             return None
@@ -59,11 +71,6 @@ class RankQueue:
         w = (m << 6) + (x & -x).bit_length() - 1
         y = self.low[w]
         rank = (w << 6) + (y & -y).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        at = bucket[0]
-        del self.buckets[rank]
         y &= y - 1
         self.low[w] = y
         if not y:
@@ -71,7 +78,9 @@ class RankQueue:
             self.mid[m] = x
             if not x:
                 self.top = top & (top - 1)
-        return rank, at
+        bucket = self.buckets.pop(rank)
+        bucket.sort()
+        return rank, bucket
 
 
 class Coder:
@@ -82,63 +91,142 @@ class Coder:
         self.vocabulary = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.bytes = np.array([ranks.get(bytes([b]), -1 - b) for b in range(256)], np.int32)
+        numbered = ranks | {bytes([b]): int(i) for b, i in enumerate(self.bytes)}
+        #: By a part's id (negative ones from the end): the ranks of its pairs with right neighbours, by their ids.
+        self.right_of: list[dict[int, int]] = [{} for _ in range(max(ranks.values(), default=0) + 1 - _GONE)]
+        for t, i in ranks.items():
+            for k in range(1, len(t)):
+                if t[:k] in numbered and t[k:] in numbered:
+                    self.right_of[numbered[t[:k]]][numbered[t[k:]]] = i
+        #: The rank of two adjacent bytes, -1 if they don't merge.
+        self.of_bytes = np.array([[self.right_of[a].get(b, -1) for b in self.bytes.tolist()] for a in self.bytes.tolist()], np.int32)
         self.digits = {i: str(i) for i in ranks.values()}
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token's bytes."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return (whole,)
-        n = len(piece)
-        queue = self.queue
-        push, pop = queue.push, queue.pop
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        # ids of pre-tokens, packed: bytes are nothing to Python's garbage collector, which would walk over tuples
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pre-tokens that are no single token; one linked list holds all of them."""
+        text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+        ends = np.cumsum([len(p) + 1 for p in pieces]) - 1
+        n = len(text)
+        first = self.bytes[text]
+        first[ends] = _END
+        ranks = np.append(self.of_bytes[text[:-1], text[1:]], np.int32(-1))
+        ranks[ends] = -1
+        ranks[ends - 1] = -1
+        parts, due = first.tolist(), ranks.tolist()  # due: the rank of each part's pair with its right neighbour
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        due: list[int | None] = [None] * n  # the rank of each part's pair with its right neighbour
-        get = ranks.get
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                due[i] = rank
-                push(rank, i)
+        queue, right_of = self.queue, self.right_of
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        cut = np.flatnonzero(np.diff(ranks[order], prepend=-1)).tolist()
+        positions = order.tolist()
+        for lo, hi in zip(cut, [*cut[1:], len(positions)]):
+            queue.open(due[positions[lo]], positions[lo:hi])
+        push, pop, bucket_of = queue.push, queue.pop, queue.buckets.get
         while (item := pop()) is not None:
-            rank, i = item
-            if due[i] != rank:
-                continue  # stale
-            j = after[i]
-            merged = parts[i] + parts[j]
-            parts[i], parts[j], due[j] = merged, None, None
-            k = after[i] = after[j]
-            due[i] = None
-            if k < n:
+            rank, bucket = item
+            right_rank = right_of[rank].get
+            for at, i in enumerate(bucket):
+                if due[i] != rank:
+                    continue  # stale
+                j = after[i]
+                k = after[j]
+                parts[i] = rank
+                parts[j] = _GONE
+                due[j] = -1
+                after[i] = k
                 before[k] = i
-                rank = get(merged + parts[k])
-                if rank is not None:
-                    due[i] = rank
-                    push(rank, i)
-            h = before[i]
-            if h >= 0:
-                rank = get(parts[h] + merged)
-                if rank != due[h]:
-                    due[h] = rank
-                    if rank is not None:
-                        push(rank, h)
-        return tuple([ranks[p] for p in parts if p is not None])
-
-    def _of(self, token: str) -> tuple[int, ...]:
-        ids = self.merge(token.encode("utf-8", "surrogatepass"))
-        if len(token) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[token] = ids
-        return ids
+                due[i] = lower = right_rank(parts[k], -1)
+                if lower >= 0:
+                    if (more := bucket_of(lower)) is not None:
+                        more.append(i)
+                    else:
+                        push(lower, i)
+                h = before[i]
+                if h >= 0:
+                    left = right_of[parts[h]].get(rank, -1)
+                    if left != due[h]:
+                        due[h] = left
+                        if left >= 0:
+                            if (more := bucket_of(left)) is not None:
+                                more.append(h)
+                            else:
+                                push(left, h)
+                            if left < rank:
+                                lower = left
+                if 0 <= lower < rank:  # it goes first
+                    for rest in bucket[at + 1 :]:
+                        push(rank, rest)
+                    break
+        ids = np.array(parts, np.int32)
+        alive = ids > _END
+        if (ids[alive] < 0).any():
+            raise KeyError("a byte without an id")
+        packed = ids[alive].tobytes()
+        stops = (np.cumsum(alive)[ends] * 4).tolist()
+        return [packed[lo:hi] for lo, hi in zip([0, *stops], stops)]
+
+    def encode_all(self, texts: list[str]) -> Iterator[array]:
+        """All ids of each text; each match of the pattern is merged on its own."""
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            if group and size + len(text) > BATCH_CHARS:
+                yield from self._encode(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        if group:
+            yield from self._encode(group)
+
+    def _encode(self, texts: list[str]) -> Iterator[array]:
+        found = [self.split(t) for t in texts]
+        kept, older, ranks = self.kept, self.older, self.ranks
+        known: dict[str, bytes] = {}
+        new: list[str] = []
+        pieces: list[bytes] = []
+
+        def add() -> None:
+            for token, ids in zip(new, self.merge(pieces)):
+                known[token] = ids
+                if len(token) <= CACHE_CHARS:
+                    kept[token] = ids
+            new.clear()
+            pieces.clear()
+
+        size = 0
+        for token in set().union(*found):
+            ids = kept.get(token)
+            if ids is None:
+                ids = older.get(token)
+                if ids is None:
+                    piece = token.encode("utf-8", "surrogatepass")
+                    if piece not in ranks:
+                        if new and size + len(piece) > LIST_BYTES:
+                            add()
+                            size = 0
+                        new.append(token)
+                        pieces.append(piece)
+                        size += len(piece)
+                        continue
+                    ids = array("i", (ranks[piece],)).tobytes()
+                kept[token] = ids
+            known[token] = ids
+        if new:
+            add()
+        for tokens in found:
+            ids = array("i")
+            ids.frombytes(b"".join(map(known.__getitem__, tokens)))
+            yield ids
+        if len(kept) >= CACHE:
+            self.kept, self.older = {}, kept
 
     def encode(self, text: str) -> list[int]:
-        """All ids of a text; each match of the pattern is merged on its own."""
-        get, of = self.cache.get, self._of
-        return list(chain.from_iterable([get(t) or of(t) for t in self.split(text)]))
+        """All ids of a text."""
+        return next(self.encode_all([text])).tolist()
 
     def written(self, ids: Iterable[int]) -> str:
         """The decimal ids, joined by a space."""
@@ -182,7 +270,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
             for lo in range(0, batch.num_rows, 256):  # bounds the memory of one batch's ids
                 part = batch.slice(lo, 256)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [coder.encode(t) for t in texts]
+                ids = list(coder.encode_all(texts))
                 same = [coder.decode(i) == t.encode("utf-8", "surrogatepass") for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "decodes"]
@@ -213,8 +301,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         coder = _coder(name, pattern)
         for batch in batches:
             n, ids_hash, bytes_hash = [], [], []
-            for text in batch.column("text"):
-                ids = coder.encode(text.as_py() or "")
+            for ids in coder.encode_all([t or "" for t in batch.column("text").to_pylist()]):
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(coder.written(ids).encode()).hexdigest())
                 bytes_hash.append(hashlib.sha256(coder.decode(ids)).hexdigest())
