@@ -1,15 +1,16 @@
 """Line dedup by a log-template tree.
 
 A line falls through a tree of fixed depth: first by its number of tokens, then by its leading tokens, where a token
-with a digit stands for any such token. A leaf's distinct lines, commonest first, are clustered in rounds: a line that is like no earlier template
-becomes one, and a line belongs to the first template that has a large enough share of its tokens. Positions where a template's lines differ
-are its variable fields; a line that has all of its constants belongs to it too, if these are a large enough part. Rounds go on until no leaf's
-rest occurs in several documents. A template whose lines occur in several documents is boilerplate: its lines are dropped from all of
-these documents but the first, so that a text that was copied whole keeps one home. Two documents are several.
-A document of which nothing would be left is a copy as a whole: its lines go if `MIN_DOCS` documents or more have them, and else
+with a digit stands for any such token. In a leaf that several documents reach, distinct lines are clustered into templates, commonest first: a line that is like no earlier
+template becomes one, and a line belongs to the first template that has a large enough share of its tokens. Positions where a template's lines differ
+are its variable fields; a line that has all of its constants belongs to it too, if these are a large enough part and no earlier template has the line. A template whose lines occur
+in several documents is boilerplate: its lines are dropped from all of these documents but the first, so that a text that was copied whole
+keeps one home. Two documents are several, but lines of fewer than ``SHORT`` tokens need ``MIN_DOCS``.
+A document of which nothing would be left is a copy as a whole: its lines go if ``MIN_DOCS`` documents or more have them, and else
 stay for the near-duplicate operator.
 
-All of it is DataFrame operations. Only lines of leaves that recur are compared with a template.
+All of it is DataFrame operations. The first pass over the texts reads no more of a line than its number of blanks and its
+leading tokens; only lines of leaves that recur are read whole, and only leaves of several distinct lines are clustered.
 """
 
 from __future__ import annotations
@@ -20,41 +21,66 @@ from cellwatch.llm.scratch import Scratch
 
 #: Leading tokens that the tree branches by.
 LEAD = 4
-#: Lines of fewer tokens are left alone.
-MIN_TOKENS = 3
+#: Lines of fewer tokens need ``MIN_DOCS`` documents.
+SHORT = 3
 #: Percentage of a line's tokens that must be the template's.
 SIMILAR_PCT = 70
 #: Percentage of a template's tokens that must be constants for these alone to decide.
 CONSTANT_PCT = 50
 #: Lines of a leaf that the first round looks at for templates, and the most that a later one does. Only the number of rounds depends on them.
-ROUND, MOST_ROUND = 16, 256
-#: Documents in which a template's lines must occur for a document to lose its last words; `LINES_SQL` asks it of every template.
+ROUND, MOST_ROUND = 64, 256
+#: Documents in which a template's lines must occur for a document to lose its last words, or short lines.
 MIN_DOCS = 4
 #: Documents in which a template's lines must occur otherwise.
 LEAST_DOCS = 2
-#: Up to so many leaves (16 bytes each) are sent to all executors; more are joined by a shuffle.
-BROADCAST_LEAVES = 500_000
+#: Up to so many leaves or lines (16 bytes each) are sent to all executors; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+#: A token with a digit. It begins behind a blank and never gives back, so the search is linear.
+_WITH_DIGIT = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens between blanks; one with a digit becomes a wildcard."""
-    found = F.split(F.trim(F.translate(line, "\t\r", "  ")), " +")
-    return F.when(line.rlike("[0-9]"), F.transform(found, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(found)
+def _broadcast_if_small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = LEAST_DOCS, similar_pct: int = SIMILAR_PCT, single: bool = False) -> DataFrame:
+def _masked(line: Column) -> Column:
+    """Tokens with a digit become wildcards, unless nothing else would be left."""
+    masked = F.regexp_replace(line, _WITH_DIGIT, "<*>")
+    return F.when(F.replace(F.replace(masked, F.lit("<*>"), F.lit("")), F.lit(" "), F.lit("")) == "", line).otherwise(masked)
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_key, at, line, n, leaf)`` of the lines that have a token, with single blanks between tokens."""
+    text = F.col("text")
+    blank = F.when(text.contains("\t") | text.contains("\r"), F.translate(text, "\t\r", "  ")).otherwise(text)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), blank.alias("text"))
+    single = F.when(text.contains("  "), F.regexp_replace(text, "  +", " ")).otherwise(text)
+    lines = docs.select("doc_id", "text_key", F.posexplode(F.split(single, "\n")).alias("at", "line"))
+    lines = lines.select("doc_id", "text_key", "at", F.trim("line").alias("line")).where("line <> ''")
+    n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    return lines.withColumn("n", n).withColumn("leaf", F.xxhash64("n", F.regexp_replace(F.substring_index("line", " ", LEAD), _WITH_DIGIT, "<*>")))
+
+
+def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = LEAST_DOCS, similar_pct: int = SIMILAR_PCT) -> DataFrame:
     """``(doc_id, text_key, at, often)``: for each document with lines to drop, their indexes in ``split(text, '\\n')``, and of these
     the ones that at least ``MIN_DOCS`` documents have."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("doc_id", "text_key", "at", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    lines = lines.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEAD)))
-    spread = lines.select("leaf", "doc_id", "text_key").distinct().groupBy("leaf").agg(F.count("*").alias("docs"))
-    leaves = scratch.save(spread.where(F.col("docs") >= min_docs).select("leaf"), "leaves")
-    few = leaves.count() <= BROADCAST_LEAVES
-    open_lines = scratch.save(lines.join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi"), "lines")
-    fits = scratch.save((_commonest if single else _clustered)(open_lines, scratch, similar_pct), "fits")
-    homes = fits.select("template", "doc_id", "text_key").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_key")).alias("home"))
-    homes = scratch.save(homes.where(F.col("docs") >= min_docs), "homes")
+    lines = _lines(docs)
+    own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_key")  # the document
+    spread = lines.groupBy("leaf").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+    leaves = scratch.save(spread.where("lo <> hi").select("leaf"), "leaves")
+    open_lines = lines.join(_broadcast_if_small(leaves), "leaf", "left_semi").withColumn("line", _masked(F.col("line")))
+    open_lines = scratch.save(open_lines.withColumn("key", F.xxhash64("line")), "lines")
+    lists = open_lines.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"), F.count("*").alias("c"), F.min(own).alias("lo"), F.max(own).alias("hi"))
+    lists = scratch.save(lists, "lists")
+    mixed = lists.groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("leaf")
+    mixed = lists.join(mixed, "leaf", "left_semi").withColumn("tokens", F.split("line", " ")).drop("line")
+    found = scratch.save(_clustered(mixed, scratch, similar_pct).where("key <> template"), "members")
+    # a line of no other template is its own
+    fits = open_lines.select("key", "n", "doc_id", "text_key", "at").join(_broadcast_if_small(found), "key", "left")
+    fits = scratch.save(fits.select(F.coalesce("template", "key").alias("template"), "n", "doc_id", "text_key", "at"), "fits")
+    homes = fits.select("template", "n", "doc_id", "text_key").distinct()
+    homes = homes.groupBy("template", "n").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_key")).alias("home"))
+    homes = scratch.save(homes.where(F.col("docs") >= F.when(F.col("n") < SHORT, max(min_docs, MIN_DOCS)).otherwise(min_docs)).drop("n"), "homes")
     dropped = fits.join(homes, "template").where(~F.struct("doc_id", "text_key").eqNullSafe(F.col("home")))
     often = F.collect_list(F.when(F.col("docs") >= MIN_DOCS, F.col("at")))
     return dropped.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("at"), F.sort_array(often).alias("often"))
@@ -64,109 +90,106 @@ def _same(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
-def _commonest(lines: DataFrame, scratch: Scratch, similar_pct: int) -> DataFrame:
-    """``(template, doc_id, text_key, at)`` where a leaf's only template is its commonest line."""
-    counts = lines.groupBy("leaf", "tokens").agg(F.count("*").alias("c"))
-    # the commonest line; of several the one that sorts first
-    best = counts.groupBy("leaf").agg(F.min(F.struct(F.negative("c").alias("c"), F.col("tokens").alias("template"))).alias("b")).select("leaf", "b.template")
-    best = scratch.save(best, "best")  # read again it has no partitioning of its own, and Spark can split a large leaf in the join
-    fits = lines.join(best, "leaf").where(_same(F.col("tokens"), F.col("template")) * 100 >= F.size("tokens") * similar_pct)
-    return fits.select(F.col("leaf").alias("template"), "doc_id", "text_key", "at")
+def _clustered(rest: DataFrame, scratch: Scratch, similar_pct: int) -> DataFrame:
+    """``(key, template)`` of the lines ``rest(leaf, key, tokens, c, lo, hi)`` that belong to a template; a template is known by the key of its first line.
 
-
-def _clustered(lines: DataFrame, scratch: Scratch, similar_pct: int) -> DataFrame:
-    """``(template, doc_id, text_key, at)`` of the lines that belong to a template."""
-    doc = F.struct("doc_id", "text_key")
-    lists = lines.groupBy("leaf", F.xxhash64("tokens").alias("key"))
-    rest = scratch.save(lists.agg(F.first("tokens").alias("tokens"), F.count("*").alias("c"), F.min(doc).alias("lo"), F.max(doc).alias("hi")), "lists-0")
+    A leaf's templates are found in rounds, a bounded number of lines at a time; rounds go on until what is left in each leaf is one document's.
+    """
+    rest = scratch.save(rest, "rest-0")
     like = lambda a, b: _same(a, b) * 100 >= F.size(a) * similar_pct
-    add = lambda kept, x: F.when(F.exists(kept, lambda k: like(x, k)), kept).otherwise(F.concat(kept, F.array(x)))
+    add = lambda kept, x: F.when(F.exists(kept, lambda k: like(x["tokens"], k["tokens"])), kept).otherwise(F.concat(kept, F.array(x)))
     found, n, size = None, 0, ROUND
     while not rest.isEmpty():
         n += 1
         place = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("c"), "tokens", "key"))
-        top = rest.withColumn("place", place).where(F.col("place") <= size).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "tokens"))).alias("top"))
-        # of the commonest lists those that are like none before them
-        kept = F.aggregate("top.tokens", F.array().cast("array<array<string>>"), add)
+        top = rest.withColumn("place", place).where(F.col("place") <= size).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "tokens", "key"))).alias("top"))
+        # of the commonest lines those that are like none before them
+        kept = F.aggregate("top", F.array().cast("array<struct<place:int,tokens:array<string>,key:bigint>>"), add)
         top = scratch.save(top.select("leaf", kept.alias("templates")), f"templates-{n}")
-        at = F.array_position(F.transform("templates", lambda k: like(F.col("tokens"), k)), True)
-        met = rest.join(top, "leaf").withColumn("ix", F.nullif(at, F.lit(0)))
-        met = scratch.save(met.withColumn("template", F.get("templates", (F.col("ix") - 1).cast("int"))).drop("templates"), f"met-{n}")
-        taken = met.where("template IS NOT NULL")
-        # the positions that vary: a line with all other tokens of a template belongs to it, unless it is like an earlier one
-        differs = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) != F.get("template", i))
-        varies = taken.select("leaf", "ix", F.explode(differs).alias("i")).groupBy("leaf", "ix").agg(F.collect_set("i").alias("varies"))
-        varies = varies.join(top, "leaf").select("leaf", "ix", "varies", F.get("templates", (F.col("ix") - 1).cast("int")).alias("template"))
-        varies = varies.where((F.size("template") - F.size("varies")) * 100 >= F.size("template") * CONSTANT_PCT)
-        field = F.transform("template", lambda x, i: F.when(~F.array_contains("varies", i), x))
-        fields = varies.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("ix", "template", field.alias("field")))).alias("fields"))
-        fields = scratch.save(fields, f"fields-{n}")
-        constant = lambda f: F.forall(F.zip_with(f["field"], "tokens", lambda x, y: x.isNull() | (x == y)), lambda x: x)
-        late = met.join(fields, "leaf", "left").withColumn("field", F.get(F.filter("fields", constant), F.lit(0)))
-        sooner = F.col("field.ix") < F.coalesce("ix", F.lit(size + 1))
-        late = late.withColumn("template", F.when(sooner, F.col("field.template")).otherwise(F.col("template"))).drop("fields", "field", "ix")
-        late = scratch.save(late, f"late-{n}")
-        member = late.where("template IS NOT NULL").select("leaf", "key", F.xxhash64("template").alias("template"))
-        found = member if found is None else found.union(member)
-        left = late.where("template IS NULL").drop("template")
-        open_leaves = left.groupBy("leaf").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where(~F.col("least").eqNullSafe(F.col("most"))).select("leaf")
-        rest = scratch.save(left.join(open_leaves, "leaf", "left_semi"), f"lists-{n}")
-        size = min(size * 4, MOST_ROUND)
-    keyed = lines.select("leaf", F.xxhash64("tokens").alias("key"), "doc_id", "text_key", "at")
+        met = rest.join(top, "leaf")
+        met = met.withColumn("t", F.get(F.filter("templates", lambda k: like(F.col("tokens"), k["tokens"])), F.lit(0))).drop("templates")
+        met = scratch.save(met, f"met-{n}")
+        # templates count on from round to round
+        taken = met.where("t IS NOT NULL").select("leaf", "key", "tokens", (F.lit(n) * (MOST_ROUND + 1) + F.col("t.place")).alias("ix"), F.col("t.tokens").alias("model"), F.col("t.key").alias("template"))
+        found = taken if found is None else found.union(taken)
+        left = met.where("t IS NULL").drop("t")
+        open_leaves = left.groupBy("leaf").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most").select("leaf")
+        rest = scratch.save(left.join(open_leaves, "leaf", "left_semi"), f"rest-{n}")
+        size = MOST_ROUND
     if found is None:
-        return keyed.select(F.col("leaf").alias("template"), "doc_id", "text_key", "at").limit(0)
-    return keyed.join(scratch.save(found, "members"), ["leaf", "key"]).select("template", "doc_id", "text_key", "at")
-
-
-def drop_recurring_lines(docs: DataFrame, scratch: Scratch | None = None, min_docs: int = LEAST_DOCS, similar_pct: int = SIMILAR_PCT, single: bool = False) -> DataFrame:
+        return rest.select("key", F.col("key").alias("template")).limit(0)
+    # the positions that vary: a line with all other tokens of a template belongs to it, unless it is like an earlier one
+    differs = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) != F.get("model", i))
+    varies = found.select("leaf", "ix", "template", F.explode(differs).alias("i")).groupBy("leaf", "ix", "template").agg(F.collect_set("i").alias("varies"))
+    models = found.where("key = template").select("template", "model")
+    varies = varies.join(models, "template").where((F.size("model") - F.size("varies")) * 100 >= F.size("model") * CONSTANT_PCT)
+    field = F.transform("model", lambda x, i: F.when(~F.array_contains("varies", i), x))
+    fields = varies.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("ix", "template", field.alias("field")))).alias("fields"))
+    fields = scratch.save(fields, "fields")
+    constant = lambda f: F.forall(F.zip_with(f["field"], "tokens", lambda x, y: x.isNull() | (x == y)), lambda x: x)
+    late = found.join(fields, "leaf").withColumn("f", F.get(F.filter("fields", constant), F.lit(0)))
+    late = late.where(F.col("f.ix") < F.col("ix")).select("key", F.col("f.template").alias("later"))
+    return found.select("key", "template").join(late, "key", "left").select("key", F.coalesce("later", "template").alias("template"))
+
+
+def drop_recurring_lines(docs: DataFrame, scratch: Scratch | None = None, min_docs: int = LEAST_DOCS, similar_pct: int = SIMILAR_PCT) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` (long) added.
 
     A document is a doc_id with a text: repeated rows are one document and get the same text. The first document of a template
     is that of the least doc_id, nulls first, then of the least hash of its text. Null texts stay null, with no lines; blank
-    and very short lines stay, and so do lines of fewer than ``MIN_DOCS`` documents where a document has no other word. With ``single`` a leaf
-    has one template only, its commonest line. Other columns pass through, but for those of the two added names, which are replaced.
+    lines stay, and so do lines of fewer than ``MIN_DOCS`` documents where a document has no other word. Of lines that are equally common the one
+    whose tokens sort first is clustered first. Texts of any length are read whole; an empty table gives an empty one.
+    Other columns pass through, but for those of the two added names, which are replaced.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     # renamed first, so that no column of the input can clash with the join's own
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_dropped")}
     own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     doc_id, text = names["doc_id"], names["text"]
-    found = scratch.save(recurring_lines(docs, scratch, min_docs, similar_pct, single), "dropped")
+    found = scratch.save(recurring_lines(docs.select("doc_id", "text"), scratch, min_docs, similar_pct), "dropped")
     own = own.withColumn("own_key", F.xxhash64(text))
     out = own.join(found, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")
     lines = F.split(text, "\n")
-    without = lambda at: F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(at, i)), "\n")
-    out = out.withColumn("at", F.when(without("at").rlike("\\S"), F.col("at")).otherwise(F.col("often")))
-    rest = without("at")
-    kept = {text: F.when(F.col("at").isNull(), F.col(text)).otherwise(rest)}
+    without = lambda at: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), at), lambda i: F.get(lines, i)), "\n")
+    out = out.withColumn("rest", F.when(F.col("at").isNotNull(), without("at")))
+    out = out.withColumn("last", F.coalesce(~F.col("rest").rlike("\\S"), F.lit(False)))
+    out = out.withColumn("rest", F.when(F.col("last"), without("often")).otherwise(F.col("rest"))).withColumn("n_dropped", F.size(F.when(F.col("last"), F.col("often")).otherwise(F.col("at"))))
+    kept = {text: F.coalesce("rest", text)}
     return out.select(
         *(kept.get(n, F.col(n)).alias(c) for c, n in names.items()),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-        F.when(F.col("at").isNull(), 0).otherwise(F.size("at")).cast("bigint").alias("n_dropped"),
+        F.when(F.col(text).isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"),
+        F.greatest(F.coalesce("n_dropped", F.lit(0)), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
 
 
-def line_report(docs: DataFrame, min_docs: int = LEAST_DOCS, single: bool = False) -> DataFrame:
+def line_report(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_lines, n_dropped, text_md5)`` of every row."""
-    out = drop_recurring_lines(docs, min_docs=min_docs, single=single)
-    return out.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+    return drop_recurring_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
+_ALIKE = "100 * len([j FOR j IN range(1, len({0}) + 1) IF {0}[j] = {1}[j]]) >= " + f"{SIMILAR_PCT} * len({{0}})"
 LINES_SQL = f"""
-WITH d AS (SELECT doc_id, text, md5(text) AS text_key FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, text_key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ix FROM (SELECT DISTINCT * FROM d)),
-s AS (SELECT doc_id, text_key, ix, string_split_regex(trim(replace(replace(line, chr(9), ' '), chr(13), ' '), ' '), ' +') AS raw FROM l),
-t AS (SELECT doc_id, text_key, ix, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN raw] AS tokens FROM s WHERE len(raw) >= {MIN_TOKENS}),
-k AS (SELECT *, struct_pack(n := len(tokens), lead := tokens[1:{LEAD}]) AS leaf FROM t),
-r AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, text_key FROM k) GROUP BY leaf HAVING count(*) >= {MIN_DOCS}),
-o AS (SELECT k.* FROM k JOIN r USING (leaf)),
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, text, md5(text) AS text_key FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, text_key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ix FROM d),
+s AS (SELECT doc_id, text_key, ix, trim(regexp_replace(translate(line, chr(9) || chr(13), '  '), ' +', ' ', 'g'), ' ') AS line FROM l),
+k AS (SELECT doc_id, text_key, ix, line, string_split(line, ' ') AS raw, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN string_split(line, ' ')] AS masked FROM s WHERE line <> ''),
+t AS (SELECT doc_id, text_key, ix, md5(len(raw) || ' ' || array_to_string(masked[1:{LEAD}], ' ')) AS leaf, CASE WHEN len([x FOR x IN masked IF x <> '<*>']) = 0 THEN raw ELSE masked END AS tokens FROM k),
+r AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, text_key FROM t) GROUP BY leaf HAVING count(*) >= {LEAST_DOCS}),
+o AS (SELECT t.* FROM t JOIN r USING (leaf)),
 c AS (SELECT leaf, tokens, row_number() OVER (PARTITION BY leaf ORDER BY count(*) DESC, tokens) AS place FROM o GROUP BY leaf, tokens),
-f AS (SELECT o.leaf, o.doc_id, o.text_key, o.ix FROM o JOIN (SELECT leaf, tokens AS template FROM c WHERE place = 1) USING (leaf)
-      WHERE 100 * len([i FOR i IN range(1, len(tokens) + 1) IF tokens[i] = template[i]]) >= {SIMILAR_PCT} * len(tokens)),
-h AS (SELECT leaf, min(doc_id) AS home FROM (SELECT DISTINCT leaf, doc_id, text_key FROM f) GROUP BY leaf HAVING count(*) >= {MIN_DOCS}),
-x AS (SELECT f.doc_id, f.text_key, list(f.ix) AS ix FROM f JOIN h USING (leaf) WHERE f.doc_id <> h.home GROUP BY f.doc_id, f.text_key),
-e AS (SELECT a.doc_id, CASE WHEN a.text IS NULL THEN [] ELSE string_split(a.text, chr(10)) END AS lines, a.text, x.ix FROM documents a LEFT JOIN x ON a.doc_id = x.doc_id AND md5(a.text) = x.text_key)
-SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(ix), 0) AS BIGINT) AS n_dropped,
-       md5(CASE WHEN ix IS NULL THEN text ELSE coalesce(array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(ix, i)], chr(10)), '') END) AS text_md5
-FROM e
+g AS (SELECT leaf, CAST(1 AS BIGINT) AS i, [tokens] AS leaders FROM c WHERE place = 1
+      UNION ALL SELECT g.leaf, g.i + 1, CASE WHEN len([m FOR m IN leaders IF {_ALIKE.format('m', 'c.tokens')}]) > 0 THEN leaders ELSE list_append(leaders, c.tokens) END FROM g JOIN c ON c.leaf = g.leaf AND c.place = g.i + 1),
+h AS (SELECT leaf, unnest(leaders) AS model, generate_subscripts(leaders, 1) AS n FROM (SELECT leaf, arg_max(leaders, i) AS leaders FROM g GROUP BY leaf)),
+a AS (SELECT c.leaf, c.tokens, min(h.n) AS n FROM c JOIN h ON h.leaf = c.leaf AND {_ALIKE.format('c.tokens', 'h.model')} GROUP BY c.leaf, c.tokens),
+v AS (SELECT leaf, n, list(DISTINCT j) AS varies FROM (SELECT a.leaf, a.n, unnest([j FOR j IN range(1, len(tokens) + 1) IF tokens[j] <> model[j]]) AS j FROM a JOIN h ON h.leaf = a.leaf AND h.n = a.n) GROUP BY leaf, n),
+f AS (SELECT h.* , v.varies FROM v JOIN h ON h.leaf = v.leaf AND h.n = v.n WHERE 100 * (len(model) - len(varies)) >= {CONSTANT_PCT} * len(model)),
+b AS (SELECT a.leaf, a.tokens, least(a.n, coalesce(min(f.n), a.n)) AS n FROM a LEFT JOIN f ON f.leaf = a.leaf AND f.n < a.n AND len([j FOR j IN range(1, len(tokens) + 1) IF tokens[j] <> model[j] AND NOT list_contains(varies, j)]) = 0 GROUP BY a.leaf, a.tokens, a.n),
+p AS (SELECT o.leaf, b.n, o.doc_id, o.text_key, o.ix, len(o.tokens) AS size FROM o JOIN b ON b.leaf = o.leaf AND b.tokens = o.tokens),
+w AS (SELECT leaf, n, min(doc_id) AS home, count(*) AS docs FROM (SELECT DISTINCT leaf, n, doc_id, text_key, size FROM p) GROUP BY leaf, n, size HAVING count(*) >= CASE WHEN size < {SHORT} THEN {MIN_DOCS} ELSE {LEAST_DOCS} END),
+x AS (SELECT p.doc_id, p.text_key, list(p.ix) AS ix, coalesce(list(p.ix) FILTER (WHERE docs >= {MIN_DOCS}), []) AS often FROM p JOIN w ON w.leaf = p.leaf AND w.n = p.n WHERE p.doc_id <> w.home GROUP BY p.doc_id, p.text_key),
+e AS (SELECT m.doc_id, CASE WHEN m.text IS NULL THEN [] ELSE string_split(m.text, chr(10)) END AS lines, m.text, x.ix, x.often FROM documents m LEFT JOIN x ON m.doc_id = x.doc_id AND md5(m.text) = x.text_key),
+z AS (SELECT *, CASE WHEN ix IS NOT NULL AND NOT regexp_matches(coalesce(array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(ix, i)], chr(10)), ''), '\\S') THEN often ELSE ix END AS gone FROM e)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+       md5(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(gone, i)], chr(10)), '') END) AS text_md5
+FROM z
 """
