@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import itertools
+import os
 import random
 import re
 
@@ -121,6 +122,30 @@ def test_salvage(gzip):
     assert told[0][0] == 0 and told[-1][1] == len(blob) and all(a[1] == b[0] for a, b in zip(told, told[1:]))
 
 
+@pytest.mark.parametrize("gzip", [False, True])
+def test_long_headers_and_payloads_come_back(spark, gzip):
+    big = "WARC/1.1\r\n" + "0123456789abcdef" * (4 << 20)  # larger than any buffer
+    pages = spark.createDataFrame([(1, "u" * 200_000, "short"), (2, "v" * 70_000, None), (3, "w", "after")], "page_id bigint, url string, html string")
+    scratch = Scratch(spark, "long")
+    manifest = warc.write_archives(pages.union(spark.createDataFrame([(4, "x", big)], pages.schema)), scratch, gzip=gzip)
+    got = {r.record_id[len(warc.PAGE_URN) :]: r for r in warc.read_archives(manifest, with_payload=False, whole=True).collect()}
+    assert sorted(got) == ["1", "2", "3", "4"] and all(r.gap is None for r in got.values())
+    assert len(got["1"].target_uri) == 200_000 and got["4"].payload_bytes == len(big) and got["4"].payload_digest == warc.digest(big.encode())
+
+
+def test_members_of_several_records_are_searched():
+    good = [warc.record(i, f"u{i}", b"payload %d " % i * 50, None, False, "d") for i in range(4)]
+    bad = bytearray(good[1])
+    bad[-40] ^= 1
+    blob = warc.member(good[0] + bytes(bad) + good[2]) + warc.member(good[3])
+    told = list(warc.salvage(io.BytesIO(blob), len(blob)))
+    assert [t[2].head["warc-record-id"][12:-1] for t in told if t[2]] == ["0", "2", "3"]
+    assert [t[3].split(",")[0] for t in told if t[3]] == ["block digest differs"]
+    cut = warc.member(good[0] + good[1] + os.urandom(300_000))[:-100_000]
+    told = list(warc.salvage(io.BytesIO(cut + blob), len(cut + blob)))
+    assert [t[2].head["warc-record-id"][12:-1] for t in told if t[2]] == ["0", "1", "0", "2", "3"]
+
+
 # --- tokens
 
 def test_bpe_equals_the_library(spark):
