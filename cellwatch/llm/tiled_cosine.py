@@ -31,6 +31,19 @@ MAX_BINS = 4
 STEP = 16
 #: Cosines nearer to the threshold than this are computed again from the vectors as given.
 NEAR = 1e-9
+#: Cells of the sums that the driver gets for the principal axes (32 MB), and that it sends to every executor.
+AXES_CELLS = 1 << 22
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors as rows, each by a power of two so that its largest component is about 1: no norm or product can overflow or vanish, and
+    cosines of vectors of usual size stay the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
 def _moments(batches):
@@ -41,16 +54,22 @@ def _moments(batches):
         for v in batch.column("v").to_pylist():
             by_size.setdefault(len(v), []).append(v)
         for d, rows in by_size.items():
-            x = np.asarray(rows, np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = _unit(np.asarray(rows, np.float64))
             total[d] = total.get(d, 0) + x.T @ x
     rows = [(d, i, m[i].tolist()) for d, m in total.items() for i in range(d)]
     yield pa.RecordBatch.from_pydict({"d": [r[0] for r in rows], "i": [r[1] for r in rows], "row": [r[2] for r in rows]}, pa.schema([("d", pa.int32()), ("i", pa.int32()), ("row", pa.list_(pa.float64()))]))
 
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Axes by dimension, as columns, largest share first. Only d x d sums over all vectors reach the driver."""
-    sums = vectors.select("v").mapInArrow(_moments, "d int, i int, row array<double>").select("d", "i", F.posexplode("row").alias("j", "x"))
+    """Axes by dimension, as columns, largest share first. Only d x d sums over all vectors reach the driver, for the commonest
+    dimensions, ``AXES_CELLS`` sums in all at most; vectors of other dimensions keep the axes that they have, which changes work but no result."""
+    sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where(F.col("d") * F.col("d") <= AXES_CELLS).orderBy(F.desc("n"), "d").limit(1000).collect()
+    chosen, cells = [], 0
+    for r in sizes:
+        if cells + r["d"] ** 2 <= AXES_CELLS:
+            chosen.append(r["d"])
+            cells += r["d"] ** 2
+    sums = vectors.where(F.size("v").isin(chosen)).select("v").mapInArrow(_moments, "d int, i int, row array<double>").select("d", "i", F.posexplode("row").alias("j", "x"))
     cells = sums.groupBy("d", "i", "j").agg(F.sum("x").alias("x")).toPandas()
     axes = {}
     for d, part in cells.groupby("d"):
@@ -60,19 +79,16 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     return axes
 
 
-def _turn(axes: dict[int, np.ndarray], width: float, bins: int):
+def _turned(x: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
+    x = _unit(x)
+    return x @ axes[x.shape[-1]] if x.shape[-1] in axes else x
+
+
+def _turn(shared, width: float, bins: int):
     def run(batches):
         for batch in batches:
-            turned, cells = [], []
-            for v in batch.column("v").to_pylist():
-                x = np.asarray(v, np.float64)
-                x = (x / np.linalg.norm(x)) @ axes[len(x)]
-                turned.append(x)
-                cells.append([int(math.floor(c / width)) for c in x[:bins]])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("cid", "label", "copies", "v")), pa.array(turned, pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int32()))],
-                ["cid", "label", "copies", "v", "turned", "cell"],
-            )
+            cells = [np.floor(_turned(np.asarray(v, np.float64), shared.value)[:bins] / width).astype(int).tolist() for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "label", "copies", "v")), pa.array(cells, pa.list_(pa.int32()))], ["cid", "label", "copies", "v", "cell"])
 
     return run
 
@@ -99,23 +115,24 @@ def linked(a: np.ndarray, b: np.ndarray, va: list, vb: list, threshold: float, s
         live = (got + ra[i, at] * rb[j, at] if at < d else got) >= threshold - NEAR
         i, j, got = i[live], j[live], got[live]
     for k in np.flatnonzero(np.abs(got - threshold) <= NEAR):
-        x, y = np.asarray(va[i[k]], np.float64), np.asarray(vb[j[k]], np.float64)
+        x, y = scaled(np.asarray(va[i[k]], np.float64)), scaled(np.asarray(vb[j[k]], np.float64))
         got[k] = float(x @ y) / (float(np.sqrt(x @ x)) * float(np.sqrt(y @ y)))
     keep = got >= threshold
     out[i[keep], j[keep]] = True
     return out
 
 
-def _tile(threshold: float):
+def _tile(threshold: float, shared):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in rows.groupby(rows["turned"].map(len)):
+        for _, part in rows.groupby(rows["v"].map(len)):
             part = part.sort_values("cid")
             one, two = part[part["side"] != 2], part[part["side"] != 1]
             if not len(one) or not len(two):
                 continue
             within = bool((part["side"] == 0).any())  # a block against itself
-            link = linked(np.stack(one["turned"]), np.stack(two["turned"]), list(one["v"]), list(two["v"]), threshold)
+            a, b = (_turned(np.stack(x["v"]).astype(np.float64), shared.value) for x in (one, two))
+            link = linked(a, b, list(one["v"]), list(two["v"]), threshold)
             if within:
                 np.fill_diagonal(link, False)
             a, b = one["cid"].to_numpy(), two["cid"].to_numpy()
@@ -161,7 +178,8 @@ def near_vectors(rows: DataFrame, threshold: float = 0.8, bins: int | None = Non
 
     Vectors are linked when their labels are equal and their cosine in double precision is ``threshold`` at least. Null
     labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing; vectors of
-    different lengths are not linked. Repeated rows are vectors of their own and link with each other. A row without an
+    different lengths are not linked. Components may be as small or large as doubles are: a vector is scaled by a power of two before its norm is taken,
+    so parallel vectors have a cosine of 1 at any scale. Repeated rows are vectors of their own and link with each other. A row without an
     id counts as a link but never names a component and is not kept. Other columns are ignored; no rows give none.
     ``bins``, the leading components that cut bins, follows from the number of vectors where it is not given; it
     changes the work, not the result.
@@ -179,15 +197,16 @@ def near_vectors(rows: DataFrame, threshold: float = 0.8, bins: int | None = Non
         size = groups.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
         fill = max(1.0, size["n"] / max(1, size["labels"]) / block)
         bins = min(MAX_BINS, max(1, math.ceil(math.log(fill) / math.log(1 + 1 / width))))
+    shared = rows.sparkSession.sparkContext.broadcast(principal_axes(groups))  # AXES_CELLS at most
     turned = groups.select("cid", "label", "copies", "v").mapInArrow(
-        _turn(principal_axes(groups), width, bins), f"cid bigint, label {rows.schema['label'].dataType.simpleString()}, copies bigint, v array<double>, turned array<double>, cell array<int>"
+        _turn(shared, width, bins), f"cid bigint, label {rows.schema['label'].dataType.simpleString()}, copies bigint, v array<double>, cell array<int>"
     )
     turned = turned.withColumn("cell", F.concat("cell", F.array_repeat(F.lit(0), F.lit(bins) - F.size("cell"))))
     cells = turned.groupBy("label", "cell").agg(F.count("*").alias("n"))
     cells = scratch.save(cells.select("label", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "cells")
     placed = turned.join(cells, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = placed.join(_tiles(cells, bins), ["label", "cell", "block"]).select("tile", "side", "cid", "copies", "v", "turned")
-    found = scratch.save(dealt.groupBy("tile").applyInPandas(_tile(threshold), "cid bigint, links bigint, to bigint"), "found")
+    dealt = placed.join(_tiles(cells, bins), ["label", "cell", "block"]).select("tile", "side", "cid", "copies", "v")
+    found = scratch.save(dealt.groupBy("tile").applyInPandas(_tile(threshold, shared), "cid bigint, links bigint, to bigint"), "found")
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     known = components(scratch, found.select(F.col("cid").alias("a"), F.col("to").alias("b")), "c")
     placed = groups.join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
