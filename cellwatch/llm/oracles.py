@@ -33,7 +33,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.node
 
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws"
 WINDOWS_SQL = f"""
-WITH iw AS (SELECT item_id, {_WORDS} FROM benchmark WHERE item_id IS NOT NULL),
+WITH iw AS (SELECT item_id, {_WORDS} FROM benchmark),
 ip AS (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM iw WHERE len(ws) > 0),
 wi AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM ip),
 l AS (SELECT DISTINCT n FROM wi),

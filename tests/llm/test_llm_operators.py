@@ -23,7 +23,7 @@ LONG = "lorem ipsum dolor " * 4000
 ODD = [(1, None), (2, ""), (3, LONG), (4, "one two three four five six"), (4, "one two three four five six"), (5, "Two words"), (None, "one two three four five six"), (6, " \n\t "), (7, "x" * 30000)]
 SCHEMA = "doc_id bigint, text string"
 #: Names that the operators use within.
-CLASHES = ["cid", "path", "row_key", "text_key", "score", "at", "root", "kept", "n_lines", "label"]
+CLASHES = ["cid", "path", "row_key", "text_key", "score", "at", "root", "kept", "n_lines", "label", "bad_id", "bad_text", "prints", "c0"]
 
 
 def docs_of(spark, rows):
@@ -287,7 +287,7 @@ def test_windows_equal_brute_force(spark):
     windows = {}
     for i, t in items:
         w = split(t)
-        if w and i is not None:
+        if w:
             n = min(10, len(w))
             for k in range(len(w) - n + 1):
                 windows.setdefault(tuple(w[k : k + n]), set()).add(i)
@@ -300,7 +300,7 @@ def test_windows_equal_brute_force(spark):
                 if tuple(w[k : k + n]) in windows:
                     found |= windows[tuple(w[k : k + n])]
                     hit[k : k + n] = [1] * n
-        want.append((i, len(w), sum(hit), len(found), winnow.digest_of(found), sum(hit) > 0))
+        want.append((i, len(w), sum(hit), len(found), winnow.digest_of(found - {None}), sum(hit) > 0))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = winnow.contamination(docs_of(spark, rows), bench)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
@@ -367,6 +367,22 @@ def test_cosine_equals_brute_force(spark):
     assert tiled_cosine.near_vectors(df.limit(0), 0.98).count() == 0
 
 
+def test_vectors_of_any_scale_link(spark):
+    rows = [(1, [1e-200, 2e-200], 1), (2, [1.0, 2.0], 1), (3, [1e200, 2e200], 1), (4, [5e-324, 1e-323], 1), (5, [1e308, -1e308], 1), (6, [0.0, -0.0], 1), (7, [1e-300, 1e300], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in tiled_cosine.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), 0.98).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
+def test_vectors_keep_their_axes_where_sums_are_too_many(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(20, 12))
+    rows = [(i, [float(x) for x in base[i % 20] + rng.normal(size=12) * 0.02], 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    want = sorted(map(tuple, tiled_cosine.near_vectors(df, 0.98).collect()))
+    monkeypatch.setattr(tiled_cosine, "AXES_CELLS", 10)
+    assert sorted(map(tuple, tiled_cosine.near_vectors(df, 0.98).collect())) == want and sum(r[1] for r in want)
+
+
 def test_a_leaf_has_several_templates(spark):
     a, b = "as was said before " + " ".join(f"a{c}x" for c in "bcdefgh"), "as was said before " + " ".join(f"b{c}x" for c in "bcdefgh")
     rows = [(i, f"{'abcdefghi'[i]} has some words alone\n{a if i < 5 else b}") for i in range(9)]
