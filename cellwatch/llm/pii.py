@@ -1,25 +1,31 @@
 """Personal data: four base kinds, and identifiers that bootstrapped contexts discover.
 
-The base rules give every span of the four kinds. Beyond them, identifiers of other looks are found by their
-surroundings. An instance is a token with a digit or an @; its patterns are lexical contexts: the words before it, or
-on both sides, or before a mark such as a colon. Spans of the base kinds are the seeds, and a pattern is of its seeds' kind. Spark scores the graph
-of patterns and instances by turns: a pattern's precision is the mean confidence of the distinct instances it occurs
-with, against all of them; an instance's confidence follows from its best patterns. Patterns that stay precise over
-enough distinct instances are kept, and tokens in their places that no base rule took become further spans.
+The base rules give every span of the four kinds. Beyond them, identifiers of other looks, and secrets, are found by their
+surroundings. An instance is a token with a digit or an @; its patterns are lexical contexts: one or two words before it, the word behind it, the words on
+both sides, and the word before a mark such as a colon. Spans of the base kinds are the seeds, and so are long hexadecimal tokens for secrets, which count as found only where a
+pattern says so. Spark scores the graph of patterns and instances in rounds: a pattern is of the commonest kind among its known instances, and its precision is their share
+of all distinct instances that it occurs with. Precise patterns with enough known instances are kept; an instance that they make sure enough is known in the next round, and lends
+weight to its other patterns. In the end tokens in the places of kept patterns that no base rule took become further spans.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from cellwatch.llm.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
+#: A kind without base rule: its seeds are spans only where a kept pattern has them.
+SECRET = len(KINDS)
+ALL_KINDS = (*KINDS, "secret")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: A run of digits never gives back, for what follows it is never a digit: linear on any text.
@@ -27,13 +33,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-#: A pattern needs this precision, this many distinct instances and this many distinct seeds among them.
+#: A pattern needs this precision, and an instance this confidence to count as known.
 PRECISION = 0.8
-SUPPORT = 10
-SEEDS = 5
 ROUNDS = 3
 
 
+def least_seeds(known: int) -> int:
+    """Distinct known instances that a pattern of a kind needs, by how many the table has of that kind."""
+    return max(3, round(math.log2(1 + known)))
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -71,58 +80,78 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-#: A candidate: a token with a digit or an @ that is long enough to name someone. Possessive, so linear.
+#: A candidate: a token with a digit or an @. Possessive, so linear.
 _TOKEN = re.compile(r"(?<![^\s\"'()<>\[\]=])(?=[^\s\"'()<>\[\]=@0-9]*+[@0-9])[^\s\"'()<>\[\]=]++")
 #: Without one of these a text has neither spans nor candidates.
 _ANY = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\w+")
-_SHORT = 6
-#: Characters on either side that are read for the context.
-_REACH = 40
-
-
-def _contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical contexts of a place: the two words before, and the word on each side."""
-    before = _WORD.findall(text[max(0, start - _REACH) : start].lower())
-    after = _WORD.findall(text[end : end + _REACH].lower())
-    out = []
-    if len(before) >= 2:
-        out.append(f"{before[-2]} {before[-1]} _")
-    if before and after:
-        out.append(f"{before[-1]} _ {after[0]}")
-    if before:
-        mark = text[max(0, start - 2) : start].strip()
-        if mark and mark[-1] in ":=#":
-            out.append(f"{before[-1]} {mark[-1]} _")
-    return out
+_HEX = re.compile(r"(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{32,}+")
+
+
+class Words:
+    """A text's words, and the lexical contexts of its places."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        found = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+
+    def word(self, k: int) -> str:
+        return self.text[self.starts[k] : self.ends[k]].lower()
+
+    def contexts(self, start: int, end: int) -> list[str]:
+        """The word before, the two before, the word behind, those on each side, and the word before a mark."""
+        k, n = bisect_right(self.ends, start) - 1, bisect_left(self.starts, end)
+        out = []
+        behind = self.word(n) if n < len(self.starts) else None
+        if behind is not None:
+            out.append(f"_ {behind}")
+        if k >= 0:
+            before = self.word(k)
+            out.append(f"{before} _")
+            if k >= 1:
+                out.append(f"{self.word(k - 1)} {before} _")
+            if behind is not None:
+                out.append(f"{before} _ {behind}")
+            mark = self.text[self.ends[k] : start].strip(" \t\r\n\"'`()<>[]")[-1:]
+            if mark and mark in ":=#":
+                out.append(f"{before} {mark} _")
+        return out
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, str]]:
+    """``(start, end, kind or -1, hash of the instance, context)`` of the seeds and of tokens that look like identifiers and meet no base span."""
+    out, words = [], Words(text)
+
+    def add(start: int, end: int, kind: int) -> None:
+        instance = xxhash.xxh3_64_intdigest(text[start:end].encode("utf-8", "surrogatepass")) - (1 << 63)
+        out.extend((start, end, kind, instance, c) for c in words.contexts(start, end))
 
-
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
-    """``(start, end, kind or -1, instance, context)`` of the seeds and of tokens that look like identifiers and meet no seed."""
-    out = []
     for start, kind, end in spans:
-        out += [(start, end, kind, text[start:end], c) for c in _contexts(text, start, end)]
-    i = 0
+        add(start, end, kind)
+    taken = sorted((s, e) for s, _, e in spans)
+    i, reach = 0, 0  # spans from i on may lie ahead; those before end at reach
     for m in _TOKEN.finditer(text):
         start, end = m.start(), m.end()
         while end > start and not text[end - 1].isalnum():
             end -= 1
-        if end - start < _SHORT:
+        if end == start:
             continue
-        while i < len(spans) and spans[i][2] <= start:
+        while i < len(taken) and taken[i][0] < end:
+            reach = max(reach, taken[i][1])
             i += 1
-        if any(s < end and e > start for s, _, e in spans[i : i + 4]):
+        if reach > start:
             continue
-        out += [(start, end, -1, text[start:end], c) for c in _contexts(text, start, end)]
+        add(start, end, SECRET if _HEX.fullmatch(text, start, end) else -1)
     return out
 
 
-_SCAN = "row_key bigint, doc_id bigint, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,kind:int,instance:string,context:string>>"
+_SCAN = "row_key bigint, doc_id bigint, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,kind:int,instance:bigint,context:string>>"
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_FOUND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("instance", pa.string()), ("context", pa.string())])
+_FOUND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("instance", pa.int64()), ("context", pa.string())])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,46 +173,49 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_patterns(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """``(context, kind)`` of the kept patterns, from ``found(kind, instance, context)`` with kind -1 for tokens that are no seeds.
+    """``(context, kind, precision)`` of the kept patterns, from ``found(kind, instance, context)`` with kind -1 for tokens that are no seeds.
 
-    A pattern is a context and the most common kind among its seeds. Distinct instances count, so copies of a document
-    lend a pattern no weight.
+    Distinct instances count, so copies of a document lend a pattern no weight. Of equally common kinds a pattern is of the first. All steps
+    are aggregations and equi-joins of edges; only the kinds' counts of seeds reach the driver.
     """
-    edges = found.groupBy("context", "instance").agg(F.max("kind").alias("kind"))
-    edges = scratch.save(edges, "edges")
-    seeds = edges.where("kind >= 0").groupBy("context", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SEEDS)
-    best = seeds.groupBy("context").agg(F.max(F.struct("seeds", F.negative("kind").alias("k"))).alias("b")).select("context", F.col("b.seeds").alias("seeds"), F.negative(F.col("b.k")).alias("kind"))
-    # only contexts with enough seeds can ever pass, so the graph is theirs
-    graph = scratch.save(edges.withColumnRenamed("kind", "own").join(best, "context").select("context", "instance", "own", "kind", "seeds"), "graph")
-    confidence = None
+    edges = scratch.save(found.groupBy("context", "instance").agg(F.max("kind").alias("own")), "edges")
+    seeds = edges.where("own >= 0").groupBy("own").agg(F.approx_count_distinct("instance", 0.01).alias("n")).collect()
+    need = F.coalesce(*(F.when(F.col("kind") == r["own"], least_seeds(r["n"])) for r in seeds), F.lit(least_seeds(0)))
+    support = edges.groupBy("context").agg(F.count("*").alias("support"))
+    known = edges.select("context", "instance", F.col("own").alias("kind")).where("kind >= 0")
     for k in range(rounds):
-        if confidence is None:
-            scored = graph.withColumn("c", F.when(F.col("own") == F.col("kind"), 1.0).otherwise(0.0))
-        else:
-            scored = graph.join(confidence, ["instance", "kind"], "left")
-            scored = scored.withColumn("c", F.when(F.col("own") == F.col("kind"), 1.0).when(F.col("own") >= 0, 0.0).otherwise(F.coalesce("conf", F.lit(0.0))))
-        patterns = scored.groupBy("context", "kind").agg(F.avg("c").alias("precision"), F.count("*").alias("support"), F.max("seeds").alias("seeds"))
-        patterns = scratch.save(patterns, f"patterns-{k}")
+        counts = known.groupBy("context", "kind").agg(F.count("*").alias("n"))
+        best = counts.groupBy("context").agg(F.max(F.struct("n", F.negative("kind").alias("k"))).alias("b"))
+        patterns = best.select("context", F.negative("b.k").alias("kind"), F.col("b.n").alias("n")).where(F.col("n") >= need).join(support, "context")
+        patterns = patterns.withColumn("precision", F.col("n") / F.col("support")).where(F.col("precision") >= PRECISION)
+        patterns = scratch.save(patterns.select("context", "kind", "precision"), f"patterns-{k}")
+        if k + 1 == rounds:
+            break
         # an instance is as sure as its patterns together: one minus the product of their doubts
         doubt = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("precision"))))
-        confidence = graph.where("own < 0").join(patterns.select("context", "kind", "precision"), ["context", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("conf"))
-    return patterns.where((F.col("precision") >= PRECISION) & (F.col("support") >= SUPPORT)).select("context", "kind")
+        sure = edges.where("own < 0").join(patterns, "context").groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("c")).where(F.col("c") >= PRECISION)
+        sure = sure.groupBy("instance").agg(F.max(F.struct("c", F.negative("kind").alias("k"))).alias("b")).select("instance", F.negative("b.k").alias("kind"))
+        sure = scratch.save(sure, f"sure-{k}")
+        if sure.isEmpty():
+            break
+        known = edges.where("own >= 0").select("context", "instance", F.col("own").alias("kind")).union(edges.where("own < 0").join(sure, "instance").select("context", "instance", "kind"))
+    return patterns
 
 
 def find_personal_data(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``(doc_id, base, spans)``: arrays of ``struct(start, kind, end)`` in code points, sorted; ``base`` of the base rules,
-    ``spans`` with the discovered ones as well. Kinds are numbered as in ``KINDS``.
+    ``spans`` with the discovered ones as well. Kinds are numbered as in ``ALL_KINDS``.
 
     One row per row of ``docs(doc_id, text, ...)``; null and empty texts have no spans. Repeated rows and null ids keep
-    their rows; other columns are ignored. Discovered spans meet no base span and not each other.
+    their rows; other columns are ignored. Discovered spans meet no base span and not each other. Texts of any length are read whole; an empty table gives an empty one.
     """
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     scanned = scratch.save(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan, _SCAN), "scanned")
     places = scanned.where("size(found) > 0").select("row_key", F.explode("found").alias("f")).select("row_key", "f.*")
     kept = score_patterns(places.select("kind", "instance", "context"), scratch)
-    new = places.where("kind < 0").drop("kind").join(kept, "context").select("row_key", "start", "kind", "end").distinct()
-    # a token may be found by several patterns: the first kind names it
-    new = new.groupBy("row_key", "start", "end").agg(F.min("kind").alias("kind"))
+    new = places.where(f"kind IN (-1, {SECRET})").withColumnRenamed("kind", "own").join(kept, "context").where(f"own < 0 OR kind = {SECRET}")
+    # a token may be found by several patterns: the most precise one names it, of equal ones the first kind
+    new = new.groupBy("row_key", "start", "end").agg(F.max(F.struct("precision", F.negative("kind").alias("k"))).alias("b")).select("row_key", "start", F.negative("b.k").alias("kind"), "end")
     new = new.groupBy("row_key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
     out = scanned.select("row_key", "doc_id", "base").join(new, "row_key", "left")
     return out.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
@@ -191,7 +223,7 @@ def find_personal_data(docs: DataFrame, scratch: Scratch | None = None) -> DataF
 
 def as_text(spans: str):
     """Spans as ``kind:start:end``, comma-joined."""
-    kinds = F.array(*map(F.lit, KINDS))
+    kinds = F.array(*map(F.lit, ALL_KINDS))
     one = lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
     return F.array_join(F.transform(spans, one), ",")
 

@@ -71,6 +71,62 @@ def test_contexts_discover_identifiers(spark):
     assert got[102].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_and_new_identifiers_seed_the_next_round(spark):
+    secret = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f"{'abcdefgh'[i % 8]}{i} key = '{secret(i)}' and on") for i in range(40)] + [(50, "key = 'plain-12345' and on"), (51, f"the digest {secret(51)} stands alone")]
+    # emails vouch for "mail me:", its members' ids for "user", where no email ever is
+    rows += [(100 + i, f"please mail me: u{i}@x{i}.example.org today") for i in range(20)] + [(200 + i, f"please mail me: ID-{i:03d} today") for i in range(4)] + [(300 + i, f"known user ID-{i:03d} seen") for i in range(4)] + [(310, "known user ID-777 seen")]
+    by = {r.doc_id: r.spans for r in pii.personal_data_report(docs_of(spark, rows)).collect()}
+    assert by[50].startswith("secret:7:18") and by[51] == "" and sum("secret" in by[i] for i in range(40)) == 40
+    assert by[200] == "email:16:22" and by[310] == "email:11:17"
+
+
+def plain_patterns(found, rounds):
+    edges = {}
+    for kind, instance, context in found:
+        edges[context, instance] = max(kind, edges.get((context, instance), -1))
+    need = {k: pii.least_seeds(len({i for (_, i), own in edges.items() if own == k})) for k in range(5)}
+    known = {e: k for e, k in edges.items() if k >= 0}
+    for k in range(rounds):
+        kept = {}
+        for c in {c for c, _ in edges}:
+            counts = {}
+            for (d, _), kind in known.items():
+                if d == c:
+                    counts[kind] = counts.get(kind, 0) + 1
+            if counts:
+                kind = min(counts, key=lambda x: (-counts[x], x))
+                precision = counts[kind] / sum(d == c for d, _ in edges)
+                if counts[kind] >= need[kind] and precision >= pii.PRECISION:
+                    kept[c] = (kind, precision)
+        if k + 1 == rounds:
+            break
+        doubts = {}
+        for (c, i), own in edges.items():
+            if own < 0 and c in kept:
+                doubts[i, kept[c][0]] = doubts.get((i, kept[c][0]), 1) * max(1e-6, 1 - kept[c][1])
+        sure = {}
+        for (i, kind), d in doubts.items():
+            if 1 - d >= pii.PRECISION and (i not in sure or (-d, -kind) > sure[i][0]):
+                sure[i] = ((-d, -kind), kind)
+        known = {e: own if own >= 0 else sure[e[1]][1] for e, own in edges.items() if own >= 0 or e[1] in sure}
+    return {(c, k) for c, (k, _) in kept.items()}
+
+
+def test_pattern_scores_equal_a_plain_version(spark):
+    random.seed(9)
+    found = []
+    for i in range(900):
+        c = random.randrange(25)
+        found.append((random.choice([c % 3] * 7 + [-1]) if c < 20 else -1, c % 3 * 1000 + random.randrange(200), f"c{c}"))
+    found += [(k, 9000 + 10 * k + i, "tied") for k in (1, 2) for i in range(10)]  # two kinds equally common are half precise each
+    df = spark.createDataFrame(found, "kind int, instance bigint, context string")
+    for rounds in (1, 2, 3):
+        got = {(r.context, r.kind) for r in pii.score_patterns(df, Scratch(spark, "t"), rounds).collect()}
+        assert got == plain_patterns(found, rounds) and got
+    assert pii.score_patterns(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
 def test_pii_takes_odd_rows(spark):
     assert pii.personal_data_report(docs_of(spark, ODD)).count() == len(ODD)
     assert pii.personal_data_report(empty(spark)).count() == 0
