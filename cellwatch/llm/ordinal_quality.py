@@ -35,8 +35,8 @@ CACHE = 300_000
 def shape(token: str) -> str:
     """Letters as A (all capitals), Aa (capitalised) or a, digits as 9; other characters stay, each run once."""
     letters = lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a"
-    told = re.sub(r"[^\W\d_]+", letters, re.sub(r"[0-9]+", "9", token[:200]))
-    return re.sub(r"(\W)\1+", r"\1\1", told)[:24]
+    told = re.sub(r"[^\W\d_]+", letters, re.sub(r"[0-9]+", "9", token))
+    return re.sub(r"(\W)\1+", r"\1\1", told)
 
 
 class _Slots(dict):
@@ -134,7 +134,7 @@ def train(rows: DataFrame, share: dict[int, int]) -> Model:
 def rate(docs: DataFrame, model: Model, at_least: int = 1) -> DataFrame:
     """``docs`` with ``expected_grade`` and ``tail_probability``, that of a grade of ``at_least``; columns of these names are replaced.
 
-    Only the text counts. Null and empty texts are rated by the thresholds alone; repeated rows are rated alike.
+    Only the text counts, all of it. Null and empty texts are rated by the thresholds alone; repeated rows are rated alike; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS weights
 

@@ -6,8 +6,9 @@ window known to a dictionary, or one that begins like a known one, compresses to
 window saves with the toxic dictionary against the ordinary one, in bytes, is its gain. A document's gains are
 summed up in three figures, which a logistic curve fitted on labelled rows turns into a calibrated score.
 
-The dictionaries keep the words that mark their class: those used more in it by a factor, counted by distinct
-neighbours, so that copies of a document don't count again. Training reads at most ``TRAIN_ROWS`` labelled rows of each class.
+The dictionaries are raw content that Spark's counts select, not zstandard's own training, which gave far worse results (README): they keep the words that mark their class,
+those used more in it by a factor, counted by distinct neighbours, so that copies of a document don't count again. All such words are kept, whatever their
+number. Training reads at most ``TRAIN_ROWS`` labelled rows of each class.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from cellwatch.llm.labelled import held_out, labelled_sample
 
 #: Labelled rows of each class that training reads.
 TRAIN_ROWS = 4000
-#: A word marks toxic text if it has so many distinct neighbourhoods there, and so many times its share in ordinary text.
-MIN_CONTEXTS = 8
+#: A word marks toxic text if it has so many distinct neighbourhoods there (fewer, in proportion, if there are less than `FULL_ROWS` toxic rows, but
+#: `LEAST_CONTEXTS`), and so many times its share in ordinary text.
+MIN_CONTEXTS, LEAST_CONTEXTS, FULL_ROWS = 8, 3, 640
 FACTOR = 20.0
-DICT_BYTES = 32768
 SPAN = 48
 #: Behind no text: separates a dictionary's windows and leads every window.
 MARK = bytes(range(1, 9))
@@ -57,7 +58,7 @@ class Gains:
         size = max(len(toxic), len(ordinary))  # equal sizes, so that distances cost the same in both
         options = zstandard.ZstdCompressionParameters(
             format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_checksum=0, write_content_size=0, write_dict_id=0,
-            window_log=16, hash_log=14, chain_log=15, search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2,
+            window_log=max(16, size.bit_length() + 1), hash_log=max(14, size.bit_length() - 2), chain_log=max(15, size.bit_length() - 1), search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2,
         )
 
         def of(content: bytes):
@@ -111,29 +112,22 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _content(found: list[str]) -> bytes:
     """A dictionary's windows, the most telling last, where they are found first."""
-    out, size = [], len(MARK)
-    for word in found:
-        window = MARK + word.encode("utf-8", "surrogatepass")
-        if size + len(window) > DICT_BYTES:
-            break
-        out.append(window)
-        size += len(window)
-    return b"".join(reversed(out)) + MARK
+    return b"".join(MARK + word.encode("utf-8", "surrogatepass") for word in reversed(found)) + MARK
 
 
 def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
-    """Toxic and ordinary dictionary from ``sample(text, toxic)``; the counts are made by Spark, and at most a
-    dictionary's worth of words reaches the driver."""
+    """Toxic and ordinary dictionary from ``sample(text, toxic)``; the counts are made by Spark, and of the bounded sample's words those
+    that tell a class reach the driver."""
     near = sample.mapInArrow(_contexts, "word string, near bigint, toxic int").distinct()
+    least = max(LEAST_CONTEXTS, min(MIN_CONTEXTS, MIN_CONTEXTS * sample.where("toxic = 1").count() // FULL_ROWS))
     counts = near.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    counts = counts.where(f"t >= {MIN_CONTEXTS} OR o >= {MIN_CONTEXTS}").persist()
+    counts = counts.where(f"t >= {least} OR o >= {MIN_CONTEXTS}").persist()
     try:
         total = counts.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
         t, o = total["t"] or 1, total["o"] or 1
         ratio = (F.col("t") / t) / ((F.col("o") + 0.5) / o)
-        most = DICT_BYTES // len(MARK)
-        toxic = counts.where((F.col("t") >= MIN_CONTEXTS) & (ratio >= FACTOR)).orderBy(F.desc(F.col("t") * F.log(ratio)), "word").select("word").limit(most)
-        ordinary = counts.where(ratio < FACTOR).orderBy(F.desc("o"), "word").select("word").limit(most)
+        toxic = counts.where((F.col("t") >= least) & (ratio >= FACTOR)).orderBy(F.desc(F.col("t") * F.log(ratio)), "word").select("word")
+        ordinary = counts.where((F.col("o") >= MIN_CONTEXTS) & (ratio < FACTOR)).orderBy(F.desc("o"), "word").select("word")
         return _content([r[0] for r in toxic.collect()]), _content([r[0] for r in ordinary.collect()])
     finally:
         counts.unpersist()
@@ -185,9 +179,9 @@ def _told(model: Model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: likelier toxic) and ``predicted`` (1 from 0.5 on); columns of these names are replaced.
 
-    Only the text counts. Null and empty texts score as texts without telling words; repeated rows score alike.
+    Only the text counts, all of it. Null and empty texts score as texts without telling words; repeated rows score alike; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a bounded sample's words
 
     @F.pandas_udf("double")
     def rated(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from cellwatch.llm import bpe, line_templates, near_dedup, ordinal_quality, pii, snapshots, tiled_cosine, toxicity, warc, winnow
@@ -281,6 +282,64 @@ def test_toxicity_held_out(spark):
     assert got.count() > 60 and got.where("predicted <> toxic").count() <= 2
 
 
+def test_scores_follow_from_zstandard(spark):
+    rows = [(f"plain talk of day {w} and night" if i % 4 else f"you {w} are a vlarg and a qwexon so", int(i % 4 == 0)) for i, w in enumerate(f"w{i}x" for i in range(200))]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, label int"), {0: 150, 1: 50})
+    size = max(len(model.toxic), len(model.ordinary))
+    log = size.bit_length()
+    options = zstandard.ZstdCompressionParameters(
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_checksum=0, write_content_size=0, write_dict_id=0,
+        window_log=max(16, log + 1), hash_log=max(14, log - 2), chain_log=max(15, log - 1), search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2,
+    )
+    for text in ("a vlarg came", "plain day", "", None, "qwexon vlarg and more vlarg"):
+        gains = []
+        for word in re.findall(r"\w+", text or ""):
+            n = []
+            for content in (model.ordinary, model.toxic):
+                d = zstandard.ZstdCompressionDict(content.rjust(size, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(compression_params=options)
+                n.append(len(zstandard.ZstdCompressor(dict_data=d, compression_params=options).compress(toxicity.MARK + word.encode())))
+            gains.append(n[0] - n[1])
+        told = sorted((g for g in gains if g >= toxicity.LEAST_GAIN), reverse=True)
+        x = np.array([told[0] if told else 0, told[1] if len(told) > 1 else 0, np.sqrt(sum(told) / (1 + len(gains) / 50))])
+        want = 1 / (1 + np.exp(-(model.weights[0] + x @ np.array(model.weights[1:]))))
+        got = toxicity.score(docs_of(spark, [(1, text)]), model).first().score
+        assert abs(got - want) < 1e-9
+
+
+def test_classifiers_without_labels_or_documents(spark):
+    docs, none = docs_of(spark, ODD), spark.createDataFrame([], "doc_id bigint, toxic int, quality int")
+    assert toxicity.toxicity(docs, none).select("score").distinct().count() == 1 and toxicity.toxicity(empty(spark), none).count() == 0
+    assert ordinal_quality.quality(docs, none).count() == len(ODD) and ordinal_quality.quality(empty(spark), none).count() == 0
+
+
+def test_ordinal_gradient_climbs_to_the_plain_likelihood():
+    rng = np.random.default_rng(3)
+    words = [f"g{i}" for i in range(12)]
+    rows = [ordinal_quality.features(" ".join(words[k] for k in rng.integers(0, 12, 8))) for _ in range(60)]
+    true = rng.normal(size=ordinal_quality.DIMENSIONS) * 3
+    y = np.digitize([v @ true[s] + rng.normal() for s, v in rows], [-1, 1])
+
+    def likelihood(th, w):
+        cut = np.concatenate([[-np.inf], th, [np.inf]])
+        sig = lambda z: 1 / (1 + np.exp(-z))
+        z = np.array([v @ w[s] for s, v in rows])
+        return np.mean(np.log(sig(cut[y + 1] - z) - sig(cut[y] - z))) - ordinal_quality.RIDGE / 2 * w @ w
+
+    th, w = ordinal_quality.fit(rows, y, 3)
+    best = likelihood(th, w)
+    used = sorted({int(k) for s, _ in rows for k in s})
+    for step in (1e-3, -1e-3):  # a numeric gradient of about 0 everywhere
+        for k in used[:20]:
+            other = w.copy()
+            other[k] += step
+            assert likelihood(th, other) - best < 5e-6
+        for k in range(2):
+            other = th.copy()
+            other[k] += step
+            assert likelihood(other, w) - best < 5e-6
+
+
 # --- near duplicates
 
 def components_of(ids, linked):
