@@ -13,7 +13,10 @@ first every class of a node is compared with the node's leaders, then, in nodes
 components, pairs of different components. A shingle that no other class of such nodes has can't be shared,
 so the others of each class bound the similarity of a pair from above, exactly. In a large group of near copies the
 copies that were changed too much to be linked have too many shingles of their own, and pair with nothing;
-the bound and the minwise tokens leave few pairs to confirm.
+the bound and the minwise tokens leave few pairs to confirm. Large nodes are dealt into blocks, and each two blocks are a task's work of their own.
+
+The screen by minwise tokens drops pairs at the threshold with a probability of some 3 in a million each; ``screened=False`` leaves it out. Shingles
+are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ RECALL = 0.99999
 SCREEN = 96
 #: Sets of at most so many shingles (4 bytes of each) are compared before a pair leaves its node.
 SMALL = 512
+#: Classes of a node in one block; each two blocks of a large node are compared on their own.
+BLOCK = 512
 #: Entries of a worker's word cache; a miss only costs time.
 WORD_CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -192,15 +197,19 @@ def _first_meeting(trees: int, met: Column) -> Column:
     return (F.col("tree") < first) | ((F.col("tree") == first) & reduce(and_, earlier))
 
 
-def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar_pct: int = 80, screened: bool = True) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs(doc_id, text, ...)``.
 
     Null and empty texts have no shingles, link with nothing and are their own component. Rows without an
     id can be linked, but never name a component, and are not kept. Repeated rows and ids share a component
-    through equal sets; other columns are ignored. An empty table gives an empty one.
+    through equal sets; other columns are ignored. Texts of any length are read whole. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    out = _placed(docs, Scratch(docs.sparkSession, "near"), similar_pct, screened).withColumn("component_id", F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _placed(docs: DataFrame, scratch: Scratch, similar_pct: int, screened: bool) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, component)`` of every row; the component is null for texts without words."""
     trees = trees_for(similar_pct / 100)
     k = max(SCREEN, trees * DEPTH * BRANCH)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
@@ -220,6 +229,7 @@ def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
     member = F.struct("cid", "n")
     leaders = leaves.groupBy("path").agg(F.max("size").alias("s"), F.min(member).alias("first"), F.min_by(member, F.xxhash64("cid", "path")).alias("other"))
     leaders = leaders.select("path", F.when(F.col("s") > LEAF, F.array("first", "other")).otherwise(F.array("first")).alias("leaders"))
+    leaders = scratch.save(leaders, "leaders")  # read again it has no partitioning of its own, and Spark can split a large node
     stars = leaves.join(leaders, "path").select("cid", "n", F.explode("leaders").alias("l")).where("cid <> l.cid")
     stars = stars.where(F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * similar_pct)
     stars = scratch.save(stars.select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b")).distinct(), "stars")
@@ -230,7 +240,8 @@ def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
 
     known = components(scratch, first, "c1")
     placed = leaves.join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    open_nodes = placed.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("path")
+    placed = scratch.save(placed, "rooted")
+    open_nodes = scratch.save(placed.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("path"), "open")
     placed = scratch.save(placed.join(open_nodes, "path").join(classes.select("cid", "tokens"), "cid"), "placed")
     opened = texts.join(placed.select("cid").distinct(), "cid")
     shingles = opened.mapInArrow(_shingle_rows, "cid bigint, shingle bigint")
@@ -242,9 +253,12 @@ def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
     placed = scratch.save(placed, "bounded")
     # the largest component of a node needs no comparison within itself, nor another as its left side
     sizes = placed.groupBy("path", "root").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
-    left = placed.join(largest, "path").where("root <> largest").select("path", "tree", "turns", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "m", "root", "tokens", "small")))
-    right = placed.select("path", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "m", "root", "tokens", "small")))
+    largest = sizes.groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(scratch.save(largest, "largest"), "path").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = ("cid", "n", "m", "root", "tokens", "small")
+    left = dealt.where("root <> largest").select("path", F.col("block").alias("one"), F.col("other").alias("two"), "tree", "turns", *(F.col(c).alias(f"{c}_a") for c in sides))
+    right = dealt.select("path", F.col("other").alias("one"), F.col("block").alias("two"), *(F.col(c).alias(f"{c}_b") for c in sides))
     s = similar_pct / 100
     least = math.floor(k * s - 4.5 * math.sqrt(k * s * (1 - s)))
     bound = F.least("m_a", "m_b") * (100 + similar_pct) >= (F.col("n_a") + F.col("n_b")) * similar_pct
@@ -253,7 +267,9 @@ def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
     alike = F.col("small_a").isNull() | F.col("small_b").isNull() | alike
     met = F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y)
     # all of it in the join's condition, so that no other pair leaves the join
-    cross = left.join(right, (left.path == right.path) & (F.col("root_a") != F.col("root_b")) & bound & (F.size(F.filter(met, lambda x: x)) >= least) & _first_meeting(trees, met) & alike)
+    likely = F.size(F.filter(met, lambda x: x)) >= (least if screened else 0)
+    block = (left.path == right.path) & (left.one == right.one) & (left.two == right.two)
+    cross = left.join(right, block & (F.col("root_a") != F.col("root_b")) & bound & likely & _first_meeting(trees, met) & alike)
     cross = cross.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
     cross = scratch.save(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
@@ -264,8 +280,7 @@ def near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
     found = found.withColumn("root", F.coalesce("root", "cid"))
     least_id = found.groupBy("root").agg(F.min("doc_id").alias("component"))
     found = found.join(least_id, "root").select("set_key", "component")
-    out = rows.join(found, "set_key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return rows.join(found, "set_key", "left").select("doc_id", "text_key", "n_shingles", "component")
 
 
 def _links(scratch: Scratch, texts: DataFrame, pairs: DataFrame, similar_pct: int, name: str) -> DataFrame:
@@ -275,13 +290,23 @@ def _links(scratch: Scratch, texts: DataFrame, pairs: DataFrame, similar_pct: in
 
 
 def drop_near_duplicates(docs: DataFrame, similar_pct: int = 80) -> DataFrame:
-    """``docs`` with one row for each component, that of the least id; of rows that repeat this id, the one whose
-    text, then other columns (all of orderable types) sort first.
+    """``docs`` with one document for each component, that of the least id, then of the least hash of its text.
 
-    Rows without an id can't be named as a group's representative and stay.
+    A document is a doc_id with a text, so an id that two different texts share stands for both. Of repeated rows the one whose
+    other columns (all of orderable types) sort first stays. Rows without an id can't be named as a group's representative and stay;
+    texts without words are no copies of each other.
     """
     scratch = Scratch(docs.sparkSession, "near-kept")
-    kept = scratch.save(near_duplicates(docs, similar_pct).where("kept").select("doc_id").distinct(), "kept")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r")).select("doc_id", "r.*")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rows = _placed(docs, scratch, similar_pct, True).where("doc_id IS NOT NULL")
+    first = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("d.*")
+    kept = scratch.save(first.union(rows.where("component IS NULL").select("doc_id", "text_key").distinct()), "kept")
+    # renamed first, so that no column of the input can clash
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    doc_id, text = names["doc_id"], names["text"]
+    own_key = F.xxhash64(text)
+    one = own.join(kept, (F.col(doc_id) == F.col("doc_id")) & (own_key == F.col("text_key")), "left_semi")
+    rest = [n for n in names.values() if n not in (doc_id, text)]
+    one = one.groupBy(doc_id, own_key.alias("own_key")).agg(F.min(F.struct(text, *rest)).alias("r")).select(doc_id, "r.*")
+    out = one.select(*names.values()).unionByName(own.where(F.col(doc_id).isNull()))
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()))

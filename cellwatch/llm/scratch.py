@@ -11,11 +11,13 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one is set where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, a local one on one machine, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
         named = LOCAL_CHECKPOINTS
     return named.rstrip("/")

@@ -350,6 +350,34 @@ def components_of(ids, linked):
     return root
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_large_nodes_are_dealt_into_blocks(spark, monkeypatch):
+    random.seed(11)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(90):  # copies of one text, most of them changed too much to be linked with each other
+        copy = list(base)
+        for _ in range(random.choice([1, 2, 3])):
+            copy[random.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    sets = {i: plain_shingles(t) for i, t in rows}
+    want = components_of(sorted(sets), [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    for screened in (True, False):
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, rows), 85, screened).collect()} == want
+    assert len(set(want.values())) > 1
+
+
+def test_an_id_of_two_texts_stands_for_both(spark):
+    one, two = " ".join(f"o{i}" for i in range(40)), " ".join(f"t{i}" for i in range(40))
+    out = near_dedup.drop_near_duplicates(docs_of(spark, [(1, one), (2, one), (2, two), (2, two), (3, None), (3, "")]), 85).collect()
+    assert sorted((r.doc_id, r.text or "") for r in out) == [(1, one), (2, two), (3, ""), (3, "")]
+
+
 def test_near_duplicates_equal_brute_force(spark):
     random.seed(5)
     word = lambda: "".join(random.choice("abcdefghij") for _ in range(4))
@@ -366,7 +394,7 @@ def test_near_duplicates_equal_brute_force(spark):
     got = {}
     for r in near_dedup.near_duplicates(docs_of(spark, rows), 85).collect():
         got[r.doc_id] = r
-    sets = {i: set(near_dedup.shingle_set(t).tolist()) for i, t in rows}
+    sets = {i: plain_shingles(t) for i, t in rows}
     pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     want = components_of(sorted(sets), pairs)
     assert {i: r.component_id for i, r in got.items()} == want
