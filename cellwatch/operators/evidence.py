@@ -61,9 +61,15 @@ def grid_evidence(features: DataFrame, anomalies: DataFrame, alerts: DataFrame,
     return out.withColumn("missing", lacks).withColumn("alerts", F.coalesce("alerts", empty)).withColumn("note", F.lit(NOTE))
 
 
+def _latest_run(health: DataFrame) -> DataFrame:
+    """One row: the state of the latest run, by its time where that is told, else by its id."""
+    order = [F.desc(c) for c in ("run_timestamp", "run_id") if c in health.columns]
+    return health.orderBy(*order).select(F.struct(*health.columns).alias("pipeline")).limit(1)
+
+
 def incident_context(evidence: DataFrame, recent: DataFrame, history: DataFrame, health: DataFrame) -> DataFrame:
     """Curated context of each cell: evidence, recent and historical summaries and the pipeline's state, nested and as JSON."""
-    status = health.select(F.struct(*health.columns).alias("pipeline")).limit(1)
+    status = _latest_run(health)
     out = evidence.select("grid_id", F.struct(*(c for c in evidence.columns if c != "grid_id")).alias("evidence"))
     out = out.join(_packed(recent, "recent"), "grid_id", "left").join(_packed(history, "history"), "grid_id", "left")
     out = out.crossJoin(F.broadcast(status))  # one row
@@ -77,7 +83,7 @@ def incident_context_full(evidence: DataFrame, fact: DataFrame, dim_grid: DataFr
     series = at_as_of(fact, as_of, span).groupBy("grid_id").agg(F.sort_array(F.collect_list(F.struct("timestamp", *MEASURES, *TOTALS))).alias("series"))
     spots = hotspots(fact, as_of, 100).agg(F.sort_array(F.collect_list(F.struct("rank", "grid_id", "total_activity"))).alias("hotspots"))
     summary = network_summary(fact, as_of)
-    shared = spots.crossJoin(summary.select(F.struct(*summary.columns).alias("summary"))).crossJoin(health.select(F.struct(*health.columns).alias("pipeline")).limit(1))  # one row each
+    shared = spots.crossJoin(summary.select(F.struct(*summary.columns).alias("summary"))).crossJoin(_latest_run(health))  # one row each
     out = evidence.select("grid_id", F.struct(*(c for c in evidence.columns if c != "grid_id")).alias("evidence"))
     out = out.join(series, "grid_id", "left").join(_packed(grid_location(dim_grid), "location"), "grid_id", "left").crossJoin(F.broadcast(shared))
     packed = F.struct("pipeline", "summary", "series", "location", "hotspots", "evidence")

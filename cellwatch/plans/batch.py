@@ -27,7 +27,7 @@ def _late(df):
 def _files(s, sf):
     """File names of the days in the data."""
     name = F.concat(F.lit("sms-call-internet-mi-"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".csv"))
-    return s.read.parquet(f"{sf}/events.parquet").where("day(ts) % 7 <> 3").select(name.alias("name")).distinct()
+    return s.read.parquet(f"{sf}/events.parquet").select(name.alias("name")).distinct()
 
 
 def _audit(s, sf):
@@ -74,7 +74,7 @@ QUERIES = {
 
 _KPI = f"CAST(sum(total_activity) AS DOUBLE) AS total_activity, {MEAN.format(x='total_activity')} AS mean_activity, CAST(max(total_activity) AS DOUBLE) AS max_activity"
 _CANON = f"{_ROW}, {_D}"
-_NAMES = "f AS (SELECT DISTINCT 'sms-call-internet-mi-' || strftime(ts, '%Y-%m-%d') || '.csv' AS name FROM events WHERE day(ts) % 7 <> 3)"
+_NAMES = "f AS (SELECT DISTINCT 'sms-call-internet-mi-' || strftime(ts, '%Y-%m-%d') || '.csv' AS name FROM events)"
 _BUSY = "SELECT CAST(k AS BIGINT) AS {k}, CAST(s AS DOUBLE) AS total FROM (SELECT {k} AS k, sum(total_activity) AS s FROM h GROUP BY {k}) ORDER BY s DESC, k LIMIT 1"
 
 ORACLES = {

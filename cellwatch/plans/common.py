@@ -52,7 +52,7 @@ WITH e0 AS (
          CAST(value AS DECIMAL(18,2)) * (CASE WHEN event_id % 97 = 0 THEN -1 ELSE 1 END) AS v FROM events),
 e1 AS (
   SELECT CASE WHEN event_id % 83 = 0 THEN NULL ELSE hour_ts END AS timestamp,
-         CASE WHEN event_id % 89 = 0 THEN NULL ELSE CAST(user_id % 4 + 1 AS INTEGER) END AS grid_id,
+         CASE WHEN event_id % 89 = 0 THEN NULL ELSE CAST(user_id // 40 + 1 AS INTEGER) END AS grid_id,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS country_code, event_type, CAST(v AS DECIMAL(18,2)) AS v FROM e0),
 canon AS (
   SELECT timestamp, grid_id, country_code, CASE WHEN event_type = 'signup' THEN v END AS sms_in, CASE WHEN event_type = 'error' THEN v END AS sms_out,
@@ -65,6 +65,10 @@ h AS (SELECT *, sms_in + sms_out AS total_sms, call_in + call_out AS total_calls
 """
 
 
+#: The largest cell id, in SQL.
+CELLS = "(SELECT CAST(max(user_id) // 40 + 1 AS BIGINT) FROM events)"
+
+
 def t(c: str) -> str:
     """A time as text, in SQL."""
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"

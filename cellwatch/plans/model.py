@@ -73,7 +73,7 @@ def _curated(s, sf):
 
 
 def _full(s, sf):
-    return ev.incident_context_full(_evidence(s, sf), hourly(s, sf), _dim(s), _health(s, sf))
+    return ev.incident_context_full(_evidence(s, sf), hourly(s, sf), _dim(s, sf), _health(s, sf))
 
 
 def _validated(s, sf):
@@ -100,7 +100,7 @@ QUERIES = {
     "score_latest": lambda s, sf: plain(rk.score_latest(_features(s, sf).where("data_quality_status = 'ok'"), _model(s, sf), "lr-1")),
     "score": lambda s, sf: plain(rk.score(_features(s, sf), _model(s, sf), "lr-1").select("grid_id", "feature_timestamp", "valid", "risk_score", "risk_level")),
     "pipeline_health": lambda s, sf: plain(_health(s, sf)),
-    "grid_location": lambda s, sf: plain(grid_location(_dim(s)).join(hourly(s, sf).select("grid_id").distinct(), "grid_id")),
+    "grid_location": lambda s, sf: plain(grid_location(_dim(s, sf)).join(hourly(s, sf).select("grid_id").distinct(), "grid_id")),
     "grid_evidence": lambda s, sf: _evidence(s, sf).select("grid_id", F.to_json(F.struct("features", "anomaly", "alerts", "risk", "missing", "note")).alias("evidence")),
     "incident_context": lambda s, sf: _curated(s, sf).select("grid_id", "context_json"),
     "incident_context_full": lambda s, sf: _full(s, sf).select("grid_id", "context_json"),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwatch.adapters import square_cells
+from cellwatch.adapters import cell_count, square_cells
 from cellwatch.functions.expressions import risk_level
 from cellwatch.operators import baselines as bl, evidence as ev, features as ft, geo, serving as sv, signals as sg
-from cellwatch.plans.common import AS_OF, MEAN, VAR, WITH, d, hourly, plain, t
+from cellwatch.plans.common import CELLS, AS_OF, MEAN, VAR, WITH, d, hourly, plain, t
 
 
 #: An instant with alerts and anomalies at the small scales.
@@ -22,8 +22,19 @@ def _alerts(s, sf):
     return sg.within_day_alerts(hourly(s, sf))
 
 
-def _dim(s):
-    return geo.build_dim_grid(square_cells(s))
+def _dim(s, sf):
+    return geo.build_dim_grid(square_cells(s, cell_count(s, sf)))
+
+
+def _all_but_last(s, sf):
+    """Geometry that lacks a cell."""
+    return square_cells(s, cell_count(s, sf) - 1)
+
+
+def _with_one_astray(s, sf):
+    """The dimension of the cells with events, the last of them far off."""
+    there = _dim(s, sf).join(hourly(s, sf).select("grid_id").distinct(), "grid_id")
+    return there.withColumn("centroid_lon", F.when(F.col("grid_id") == cell_count(s, sf), 9.9).otherwise(F.col("centroid_lon")))
 
 
 def _stored(s, sf):
@@ -38,7 +49,7 @@ def _anomalies(s, sf):
 
 
 def _requests(s, sf):
-    return hourly(s, sf).where("hour % 6 = 1").select("grid_id", "timestamp")
+    return hourly(s, sf).select("grid_id", "timestamp")
 
 
 def _sections(s, sf):
@@ -65,10 +76,10 @@ QUERIES = {
     "alert_volume": lambda s, sf: plain(sg.alert_volume(_alerts(s, sf), hourly(s, sf))),
     "most_alerted": lambda s, sf: plain(sg.most_alerted(_alerts(s, sf))),
     "top_grids": lambda s, sf: plain(sg.top_grids(hourly(s, sf).groupBy("grid_id", "date").agg(F.sum("total_activity").alias("daily_total_activity")), n=2)),
-    "top_grids_geo": lambda s, sf: plain(sg.top_grids_geo(hourly(s, sf), _dim(s), n=3).select("grid_id", "total_activity", F.col("geometry_json").isNotNull().alias("has_geometry"))),
+    "top_grids_geo": lambda s, sf: plain(sg.top_grids_geo(hourly(s, sf), _dim(s, sf), n=3).select("grid_id", "total_activity", F.col("geometry_json").isNotNull().alias("has_geometry"))),
     "risk_level_counts": lambda s, sf: plain(sg.risk_level_counts(_stored(s, sf))),
     "attention_report": lambda s, sf: plain(sg.attention_report(_stored(s, sf), n=3).drop("note")),
-    "attach_risk": lambda s, sf: plain(sg.attach_risk(hourly(s, sf).where("hour < 3").select("grid_id", "timestamp"), _stored(s, sf).where("grid_id < 3"))),
+    "attach_risk": lambda s, sf: plain(sg.attach_risk(hourly(s, sf).select("grid_id", "timestamp"), _stored(s, sf))),
     "build_features": lambda s, sf: plain(_features(s, sf)),
     "latest_per_grid": lambda s, sf: plain(ft.latest_per_grid(_features(s, sf))),
     "feature_summary": lambda s, sf: plain(ft.feature_summary(_features(s, sf))),
@@ -84,12 +95,12 @@ QUERIES = {
     "missing_sections": lambda s, sf: plain(_sections(s, sf)),
     "recent_history": lambda s, sf: plain(ev.recent_history(hourly(s, sf))),
     "historical_evidence": lambda s, sf: plain(ev.historical_evidence(hourly(s, sf), _anomalies(s, sf), _stored(s, sf))),
-    "enrich_geometry": lambda s, sf: plain(geo.enrich_geometry(hourly(s, sf), square_cells(s, 3)).select("grid_id", "timestamp", F.col("geometry_json").isNotNull().alias("has_geometry"))),
-    "join_coverage": lambda s, sf: plain(geo.join_coverage(hourly(s, sf), square_cells(s, 3), "grid_id")),
-    "unmatched_keys": lambda s, sf: plain(geo.unmatched_keys(hourly(s, sf), square_cells(s, 3), "grid_id")),
-    "check_geometry_keys": lambda s, sf: plain(geo.check_geometry_keys(hourly(s, sf).select("grid_id").distinct(), 1, 4)),
-    "check_adjacency": lambda s, sf: plain(geo.check_adjacency(_dim(s).join(hourly(s, sf).select("grid_id").distinct(), "grid_id").withColumn("centroid_lon", F.when(F.col("grid_id") == 4, 9.9).otherwise(F.col("centroid_lon")))).select("grid_id", "in_city")),
-    "map_layer": lambda s, sf: plain(geo.map_layer(sg.hotspots(hourly(s, sf), n=3), sg.all_alerts(hourly(s, sf)), square_cells(s)).select("grid_id", "state")),
+    "enrich_geometry": lambda s, sf: plain(geo.enrich_geometry(hourly(s, sf), _all_but_last(s, sf)).select("grid_id", "timestamp", F.col("geometry_json").isNotNull().alias("has_geometry"))),
+    "join_coverage": lambda s, sf: plain(geo.join_coverage(hourly(s, sf), _all_but_last(s, sf), "grid_id")),
+    "unmatched_keys": lambda s, sf: plain(geo.unmatched_keys(hourly(s, sf), _all_but_last(s, sf), "grid_id")),
+    "check_geometry_keys": lambda s, sf: plain(geo.check_geometry_keys(hourly(s, sf).select("grid_id").distinct(), 1, cell_count(s, sf))),
+    "check_adjacency": lambda s, sf: plain(geo.check_adjacency(_with_one_astray(s, sf)).select("grid_id", "in_city")),
+    "map_layer": lambda s, sf: plain(geo.map_layer(sg.hotspots(hourly(s, sf), n=3), sg.all_alerts(hourly(s, sf)), square_cells(s, cell_count(s, sf))).select("grid_id", "state")),
 }
 
 _G = "CAST(grid_id AS BIGINT) AS grid_id"
@@ -149,7 +160,7 @@ ORACLES = {
     "top_grids_geo": f"{WITH} SELECT {_G}, CAST(s AS DOUBLE) AS total_activity, TRUE AS has_geometry FROM (SELECT grid_id, sum(total_activity) AS s FROM h GROUP BY grid_id) x ORDER BY s DESC, x.grid_id LIMIT 3",
     "risk_level_counts": f"{WITH}, {_RISK} SELECT risk_level, count(*) AS grids FROM k GROUP BY risk_level",
     "attention_report": f"{WITH}, {_RISK} SELECT {_H}, risk_score, risk_level FROM k WHERE k.timestamp = {_LAST} ORDER BY risk_score DESC, k.grid_id LIMIT 3",
-    "attach_risk": f"{WITH}, {_RISK} SELECT CAST(h.grid_id AS BIGINT) AS grid_id, {t('h.timestamp')} AS timestamp, risk_score, risk_level, model_version FROM h LEFT JOIN (SELECT * FROM k WHERE grid_id < 3) k2 ON h.grid_id = k2.grid_id AND h.timestamp = k2.timestamp WHERE h.hour < 3",
+    "attach_risk": f"{WITH}, {_RISK} SELECT CAST(h.grid_id AS BIGINT) AS grid_id, {t('h.timestamp')} AS timestamp, risk_score, risk_level, model_version FROM h LEFT JOIN k ON h.grid_id = k.grid_id AND h.timestamp = k.timestamp",
     "build_features": f"{WITH}, {_FEAT} SELECT {_FCOLS} FROM f",
     "latest_per_grid": f"{WITH}, {_FEAT} SELECT {_FCOLS} FROM f WHERE f.feature_timestamp = (SELECT max(feature_timestamp) FROM f f2 WHERE f2.grid_id = f.grid_id)",
     "feature_summary": f"{WITH}, {_FEAT} SELECT count(*) AS rows, count(DISTINCT grid_id) AS grids, {t('min(feature_timestamp)')} AS first_time, {t('max(feature_timestamp)')} AS last_time, {_COUNT('data_quality_status', 'ok', 'ok_rows')} FROM f",
@@ -163,16 +174,16 @@ ORACLES = {
     "grid_activity": f"{WITH} SELECT {_H}, {d('total_activity')} FROM h WHERE h.grid_id = 2 AND h.timestamp >= {_LAST} - INTERVAL 23 HOURS",
     "grid_activity_hour": f"{WITH} SELECT {_H}, {d('total_activity')} FROM h WHERE h.grid_id = 2 AND hour = 5 AND h.timestamp <= '{AS_OF}'",
     "serve_features": f"{WITH}, m AS (SELECT grid_id, max(timestamp) AS ft FROM h GROUP BY grid_id) SELECT {_G}, {t('ft')} AS feature_timestamp, {t(_LAST)} AS as_of, round(date_diff('second', ft, {_LAST}) / 3600.0, 2)::DOUBLE AS feature_age_hours FROM m",
-    "anomaly_lookup": f"{WITH}, {_ANOM} SELECT CAST(h.grid_id AS BIGINT) AS grid_id, {t('h.timestamp')} AS timestamp, a.direction IS NOT NULL AS available, a.direction FROM h LEFT JOIN a ON h.grid_id = a.grid_id AND h.timestamp = a.timestamp WHERE h.hour % 6 = 1",
+    "anomaly_lookup": f"{WITH}, {_ANOM} SELECT CAST(h.grid_id AS BIGINT) AS grid_id, {t('h.timestamp')} AS timestamp, a.direction IS NOT NULL AS available, a.direction FROM h LEFT JOIN a ON h.grid_id = a.grid_id AND h.timestamp = a.timestamp",
     "missing_sections": "SELECT doc_id, array_to_string([s FOR s IN ['License', 'the of', chr(10)] IF NOT coalesce(contains(text, s), FALSE)], ',') AS missing FROM documents",
     "recent_history": f"{WITH}, r AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY timestamp DESC) AS i FROM h WHERE timestamp < {_LAST}) SELECT {_G}, count(*) AS intervals, {MEAN.format(x='total_activity')} AS mean_activity, CAST(min(total_activity) AS DOUBLE) AS min_activity, CAST(max(total_activity) AS DOUBLE) AS max_activity FROM r WHERE i <= 24 GROUP BY r.grid_id",
     "historical_evidence": f"""{WITH}, {_RISK}, {_ANOM}, hh AS (SELECT grid_id, count(*) AS activity_rows, {MEAN.format(x='total_activity')} AS mean_activity, CAST(min(total_activity) AS DOUBLE) AS min_activity, CAST(max(total_activity) AS DOUBLE) AS max_activity FROM h WHERE timestamp < {_LAST} GROUP BY grid_id),
         kk AS (SELECT grid_id, {_COUNT('risk_level', 'high', 'high_risks')}, {_COUNT('risk_level', 'medium', 'medium_risks')}, {_COUNT('risk_level', 'low', 'low_risks')} FROM k WHERE timestamp < {_LAST} GROUP BY grid_id)
         SELECT {_G.replace('grid_id AS BIGINT', 'hh.grid_id AS BIGINT')}, activity_rows, mean_activity, min_activity, max_activity, coalesce(x.anomalies, 0) AS anomalies, coalesce(x.high_anomalies, 0) AS high_anomalies, coalesce(x.low_anomalies, 0) AS low_anomalies, high_risks, medium_risks, low_risks, TRUE AS activity_available, coalesce(x.anomalies, 0) > 0 AS anomaly_available, TRUE AS risk_available FROM hh JOIN kk ON hh.grid_id = kk.grid_id LEFT JOIN (SELECT grid_id, count(*) FILTER (WHERE is_anomaly) AS anomalies, {_COUNT('direction', 'high', 'high_anomalies')}, {_COUNT('direction', 'low', 'low_anomalies')} FROM a GROUP BY grid_id) x ON hh.grid_id = x.grid_id""",
-    "enrich_geometry": f"{WITH} SELECT {_H}, h.grid_id <= 3 AS has_geometry FROM h",
-    "join_coverage": f"{WITH} SELECT count(*) AS rows, count(*) AS joined_rows, count(DISTINCT CASE WHEN grid_id > 3 THEN grid_id END) AS unmatched_keys, CAST(count(*) FILTER (WHERE grid_id <= 3) * 100.0 AS DOUBLE) / count(*) AS coverage_pct, TRUE AS rows_unchanged FROM h",
-    "unmatched_keys": f"{WITH} SELECT DISTINCT {_G} FROM h WHERE h.grid_id > 3",
-    "check_geometry_keys": f"{WITH} SELECT count(*) AS cells, count(*) AS distinct_cells, CAST(min(grid_id) AS BIGINT) AS least, CAST(max(grid_id) AS BIGINT) AS largest, count(*) = 4 AS sound FROM (SELECT DISTINCT grid_id FROM h)",
-    "check_adjacency": f"{WITH} SELECT DISTINCT {_G}, h.grid_id <> 4 AS in_city FROM h WHERE h.grid_id IN (3, 4)",
+    "enrich_geometry": f"{WITH} SELECT {_H}, h.grid_id < {CELLS} AS has_geometry FROM h",
+    "join_coverage": f"{WITH} SELECT count(*) AS rows, count(*) AS joined_rows, count(DISTINCT CASE WHEN grid_id >= {CELLS} THEN grid_id END) AS unmatched_keys, CAST(count(*) FILTER (WHERE grid_id < {CELLS}) * 100.0 AS DOUBLE) / count(*) AS coverage_pct, TRUE AS rows_unchanged FROM h",
+    "unmatched_keys": f"{WITH} SELECT DISTINCT {_G} FROM h WHERE h.grid_id >= {CELLS}",
+    "check_geometry_keys": f"{WITH} SELECT count(*) AS cells, count(*) AS distinct_cells, CAST(min(grid_id) AS BIGINT) AS least, CAST(max(grid_id) AS BIGINT) AS largest, count(*) = {CELLS} AS sound FROM (SELECT DISTINCT grid_id FROM h)",
+    "check_adjacency": f"{WITH} SELECT DISTINCT {_G}, h.grid_id <> {CELLS} AS in_city FROM h WHERE h.grid_id = {CELLS} OR (h.grid_id = {CELLS} - 1 AND h.grid_id % 100 <> 0)",
     "map_layer": f"{WITH}, {_base(f'timestamp < {_LAST}')}, {_Z.format(least=1, at=_LAST)}, al AS (SELECT grid_id FROM z WHERE z_score >= 2), ho AS (SELECT grid_id FROM h WHERE timestamp = {_LAST} ORDER BY total_activity DESC, grid_id LIMIT 3) SELECT {_G}, CASE WHEN x.grid_id IN (SELECT grid_id FROM al) THEN 'attention' ELSE 'high' END AS state FROM (SELECT grid_id FROM al UNION SELECT grid_id FROM ho) x",
 }

@@ -59,7 +59,8 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def write_run_metrics(df: DataFrame, path: str) -> None:
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """A run's measures as JSON, one row for each run that it gets."""
+    df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def append_audit(records: DataFrame, path: str) -> None:
