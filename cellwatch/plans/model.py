@@ -84,7 +84,7 @@ def _validated(s, sf):
 QUERIES = {
     "validate_features": lambda s, sf: plain(_validated(s, sf)),
     "chrono_split": lambda s, sf: plain(rk.split_report(*_split(s, sf))),
-    "target_threshold": lambda s, sf: plain(rk.target_threshold(_split(s, sf)[0])),
+    "target_threshold": lambda s, sf: plain(rk.target_threshold(_split(s, sf)[0]).select(F.round("threshold", 9).alias("threshold"))),
     "label": lambda s, sf: plain(rk.label(_split(s, sf)[1], rk.target_threshold(_split(s, sf)[0])).groupBy("grid_id", "label").agg(F.count("*").alias("rows"))),
     "linear_score": lambda s, sf: plain(_scored(s, sf).select("grid_id", "feature_timestamp", F.round("risk_score", 9).alias("risk_score"), "risk_level")),
     "classification_metrics": lambda s, sf: plain(cp.classification_metrics(_test(s, sf))),
@@ -131,7 +131,7 @@ _BAD = ", ".join(
 ORACLES = {
     "validate_features": f"{WITH}, {_FEAT}, v AS (SELECT *, CASE WHEN hour({_F}) = 7 THEN internet_share + 1 ELSE internet_share END AS share FROM f), x AS (SELECT *, [b FOR b IN [{_BAD}] IF b IS NOT NULL] AS bad FROM v) SELECT {_G}, {t(_F)} AS {_F}, len(bad) = 0 AS valid, array_to_string(bad, ',') AS violations FROM x",
     "chrono_split": f"{WITH}, {_LAB}, {_TRAIN} SELECT (SELECT count(*) FROM tr) AS train_rows, (SELECT {t('max(label_timestamp)')} FROM tr) AS train_last, (SELECT count(*) FROM te0) AS test_rows, (SELECT {t('min(label_timestamp)')} FROM te0) AS test_first, TRUE AS in_order",
-    "target_threshold": f"{WITH}, {_LAB}, {_TRAIN} SELECT threshold FROM th",
+    "target_threshold": f"{WITH}, {_LAB}, {_TRAIN} SELECT round(threshold, 9) AS threshold FROM th",
     "label": f"{WITH}, {_LAB}, {_TRAIN}, {_TEST} SELECT {_G}, CAST(label AS BIGINT) AS label, count(*) AS rows FROM te GROUP BY te.grid_id, te.label",
     "linear_score": f"{WITH}, {_FEAT} SELECT {_G}, {t(_F)} AS {_F}, round(s, 9) AS risk_score, CASE WHEN s >= 0.7 THEN 'high' WHEN s >= 0.3 THEN 'medium' ELSE 'low' END AS risk_level FROM (SELECT *, {_SCORE} AS s FROM f WHERE data_quality_status = 'ok')",
     "classification_metrics": f"{WITH}, {_LAB}, {_TRAIN}, {_TEST}, {_PRED} SELECT * FROM cm",

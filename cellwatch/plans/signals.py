@@ -71,7 +71,7 @@ QUERIES = {
     "anomaly_scores": lambda s, sf: plain(_anomalies(s, sf).drop("reason")),
     "anomaly_summary": lambda s, sf: plain(sg.anomaly_summary(_anomalies(s, sf))),
     "anomaly_extremes": lambda s, sf: plain(sg.anomaly_extremes(_anomalies(s, sf)).select("grid_id", "direction", "anomaly_score")),
-    "activity_floor": lambda s, sf: plain(sg.activity_floor(hourly(s, sf))),
+    "activity_floor": lambda s, sf: plain(sg.activity_floor(hourly(s, sf)).select(F.round("floor", 9).alias("floor"))),
     "within_day_alerts": lambda s, sf: plain(_alerts(s, sf).drop("reason")),
     "alert_volume": lambda s, sf: plain(sg.alert_volume(_alerts(s, sf), hourly(s, sf))),
     "most_alerted": lambda s, sf: plain(sg.most_alerted(_alerts(s, sf))),
@@ -152,7 +152,7 @@ ORACLES = {
     "anomaly_scores": f"{WITH}, {_ANOM} SELECT {_H}, current, baseline, std, n, anomaly_score, direction, is_anomaly FROM a",
     "anomaly_summary": f"{WITH}, {_ANOM} SELECT count(*) AS scored, {_COUNT('direction', 'high', 'high')}, {_COUNT('direction', 'low', 'low')}, min(n) AS least_samples, max(n) AS most_samples FROM a",
     "anomaly_extremes": f"{WITH}, {_ANOM} SELECT {_G}, direction, anomaly_score FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY abs(anomaly_score) DESC, grid_id) AS i FROM a WHERE is_anomaly) WHERE i <= 5",
-    "activity_floor": f"{WITH} SELECT quantile_cont(total, 0.1) AS floor FROM (SELECT CAST(sum(total_activity) AS DOUBLE) AS total FROM h GROUP BY grid_id)",
+    "activity_floor": f"{WITH} SELECT round(quantile_cont(total, 0.1), 9) AS floor FROM (SELECT CAST(sum(total_activity) AS DOUBLE) AS total FROM h GROUP BY grid_id)",
     "within_day_alerts": f"{WITH}, {_ALERTS} SELECT {_H}, alert_type, current, baseline FROM al",
     "alert_volume": f"{WITH}, {_ALERTS} SELECT count(*) AS alerts, {_COUNT('alert_type', 'HIGH_ACTIVITY', 'high_activity')}, {_COUNT('alert_type', 'ACTIVITY_SPIKE', 'activity_spike')}, {_COUNT('alert_type', 'ACTIVITY_DROP', 'activity_drop')}, (SELECT count(*) FROM h) AS grid_hours, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM h) AS share FROM al",
     "most_alerted": f"{WITH}, {_ALERTS} SELECT {_G}, count(*) AS alerts FROM al GROUP BY al.grid_id ORDER BY alerts DESC, al.grid_id LIMIT 10",
