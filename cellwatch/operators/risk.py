@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cellwatch.functions.expressions import FEATURES, risk_level
 from cellwatch.operators.clean import require_columns, validate_features
 from cellwatch.operators.compare import classification_metrics
+from cellwatch.operators.percentiles import exact_percentiles
 
 TARGET_PERCENTILE = 0.9
 SUSPICIOUS_ACCURACY = 0.95
@@ -34,7 +35,7 @@ def split_report(train: DataFrame, test: DataFrame, column: str = "label_timesta
 
 def target_threshold(train: DataFrame, share: float = TARGET_PERCENTILE) -> DataFrame:
     """One row: percentile of the training rows' next-hour activity, linearly interpolated."""
-    return train.agg(F.percentile(F.col("next_hour_activity").cast("double"), F.lit(share)).alias("threshold"))
+    return exact_percentiles(train, ["next_hour_activity"], share).withColumnRenamed("next_hour_activity", "threshold")
 
 
 def label(df: DataFrame, threshold: DataFrame | float) -> DataFrame:
@@ -47,7 +48,7 @@ def label(df: DataFrame, threshold: DataFrame | float) -> DataFrame:
 
 def _scaling(train: DataFrame) -> list[dict[str, float]]:
     """Median, mean and population deviation of each feature after imputation; a constant one is divided by 1."""
-    medians = train.agg(*(F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f) for f in FEATURES)).first()
+    medians = exact_percentiles(train, FEATURES, 0.5).first()
     filled = train.select(*(F.coalesce(F.col(f).cast("double"), F.lit(medians[f] or 0.0)).alias(f) for f in FEATURES))
     told = filled.agg(*(F.avg(f).alias(f"m_{f}") for f in FEATURES), *(F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES)).first()
     return [{"feature": f, "median": medians[f] or 0.0, "mean": told[f"m_{f}"] or 0.0, "std": told[f"s_{f}"] or 1.0} for f in FEATURES]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellwatch.functions.expressions import ANOMALY_MIN_SAMPLES, ANOMALY_Z, DROP_RATIO, FLOOR_PERCENTILE, HIGH_RATIO, SEVERITY_HIGH, SEVERITY_MEDIUM, SPIKE_RATIO, risk_level
 from cellwatch.operators.baselines import Instant, baselines, snapshot, within_day_baseline
+from cellwatch.operators.percentiles import exact_percentiles
 
 MAX_ROWS = 1000
 
@@ -89,7 +90,7 @@ def anomaly_extremes(scores: DataFrame, n: int = 5) -> DataFrame:
 def activity_floor(hourly: DataFrame, share: float = FLOOR_PERCENTILE) -> DataFrame:
     """One row: the percentile of the cells' totals, linearly interpolated."""
     totals = hourly.groupBy("grid_id").agg(F.sum("total_activity").cast("double").alias("total"))
-    return totals.agg(F.percentile("total", F.lit(share)).alias("floor"))
+    return exact_percentiles(totals, ["total"], share).withColumnRenamed("total", "floor")
 
 
 def within_day_alerts(hourly: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def within_day_alerts(hourly: DataFrame) -> DataFrame:
     A row may raise several. The row before is the cell's last observed hour, across gaps and midnight.
     """
     totals = hourly.groupBy("grid_id").agg(F.sum("total_activity").cast("double").alias("total"))
-    floor = totals.agg(F.percentile("total", F.lit(FLOOR_PERCENTILE)).alias("floor"))
+    floor = exact_percentiles(totals, ["total"], FLOOR_PERCENTILE).withColumnRenamed("total", "floor")
     busy = totals.join(F.broadcast(floor), F.col("total") >= F.col("floor")).select("grid_id")  # one row
     rows = within_day_baseline(hourly).withColumn("current", F.col("total_activity").cast("double"))
     rows = rows.withColumn("previous", F.lag("current").over(Window.partitionBy("grid_id").orderBy("timestamp")))

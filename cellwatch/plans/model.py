@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellwatch.operators import baselines as bl, clean as cl, compare as cp, evidence as ev, features as ft, quality as ql, risk as rk, signals as sg, warehouse as wh
-from cellwatch.operators.serving import grid_location
 from cellwatch.plans.common import WITH, hourly, plain, raw, t
 from cellwatch.plans.signals import _ANOM, _FEAT, _dim, _features, _anomalies
 
@@ -37,7 +36,10 @@ def _flags(s, sf):
 def _model(s, sf):
     train, _ = _split(s, sf)
     train = rk.label(train, rk.target_threshold(train)).select("avg_activity", "activity_growth", "active_hours", "peak_ratio", "variability", "internet_share", "label").cache()
-    return rk.fit_risk_model(train)
+    try:
+        return rk.fit_risk_model(train)
+    finally:
+        train.unpersist()
 
 
 def _scored(s, sf):
@@ -97,13 +99,8 @@ QUERIES = {
     "disagreement_samples": lambda s, sf: plain(cp.disagreement_samples(_flags(s, sf))),
     "quality_check": lambda s, sf: plain(_check(s, sf).drop("latest_feature")),
     "fit_risk_model": lambda s, sf: rk.coefficients(s, _model(s, sf)),
-    "score_latest": lambda s, sf: plain(rk.score_latest(_features(s, sf).where("data_quality_status = 'ok'"), _model(s, sf), "lr-1")),
+    "score_latest": lambda s, sf: plain(rk.score_latest(_features(s, sf), _model(s, sf), "lr-1")),
     "score": lambda s, sf: plain(rk.score(_features(s, sf), _model(s, sf), "lr-1").select("grid_id", "feature_timestamp", "valid", "risk_score", "risk_level")),
-    "pipeline_health": lambda s, sf: plain(_health(s, sf)),
-    "grid_location": lambda s, sf: plain(grid_location(_dim(s, sf)).join(hourly(s, sf).select("grid_id").distinct(), "grid_id")),
-    "grid_evidence": lambda s, sf: _evidence(s, sf).select("grid_id", F.to_json(F.struct("features", "anomaly", "alerts", "risk", "missing", "note")).alias("evidence")),
-    "incident_context": lambda s, sf: _curated(s, sf).select("grid_id", "context_json"),
-    "incident_context_full": lambda s, sf: _full(s, sf).select("grid_id", "context_json"),
     "context_sizes": lambda s, sf: ev.context_sizes(_full(s, sf), _curated(s, sf)),
 }
 

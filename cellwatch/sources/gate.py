@@ -6,7 +6,7 @@ ordered by their split's offset and their place in it; quoted line breaks and bl
 
 from __future__ import annotations
 
-import shutil
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -38,9 +38,14 @@ def _fields(value: str) -> Column:
 
 
 def check_headers(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, header_reason)``: null for a header of just the required columns; missing columns are told before extra ones."""
-    files = detect_files(spark, path).select("name")
-    first = _lines(spark, path).groupBy("name").agg(F.min_by("value", "place").alias("header"))
+    """``headers_of`` the files of a folder."""
+    return headers_of(_lines(spark, path), detect_files(spark, path).select("name"))
+
+
+def headers_of(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """``(name, header, header_reason)`` of ``files(name)`` by ``lines(name, value, place)``: no reason for a header of just the
+    required columns; missing columns are told before extra ones. A file without lines is empty."""
+    first = lines.groupBy("name").agg(F.min_by("value", "place").alias("header"))
     rows = files.join(first, "name", "left").withColumn("found", _fields("header"))
     need = F.array(*map(F.lit, REQUIRED))
     missing, extra = F.array_except(need, "found"), F.array_except("found", need)
@@ -54,13 +59,16 @@ def check_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_quality(spark: SparkSession, path: str, headers: DataFrame | None = None) -> DataFrame:
+    """``quality_of`` the files of a folder."""
+    return quality_of(_lines(spark, path), check_headers(spark, path) if headers is None else headers)
+
+
+def quality_of(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """``(name, row_count, rows_to_first_error, quality_reason)`` from the data rows; the first offence of the first bad row counts.
 
     A row's checks: time format, then for each measure in order that it is a finite number and not negative; blanks are fine.
     Columns may stand in any order.
     """
-    headers = check_headers(spark, path) if headers is None else headers
-    lines = _lines(spark, path)
     first = lines.groupBy("name").agg(F.min("place").alias("top"))
     rows = lines.join(first, "name").where(F.col("place") > F.col("top")).join(headers.where("header_reason IS NULL"), "name")
     cells = F.map_from_arrays(_fields("header"), F.slice(F.concat(_fields("value"), F.array_repeat(F.lit(""), len(REQUIRED))), 1, len(REQUIRED)))
@@ -88,18 +96,24 @@ def drop_processed(files: DataFrame, audit: DataFrame) -> DataFrame:
     return files.join(audit.where(F.col("status") == "accepted").select("name"), "name", "left_anti")
 
 
-def gate(spark: SparkSession, path: str, audit: DataFrame | None = None) -> DataFrame:
-    """``(name, path, status, row_count, rows_to_first_error, reason)``: accepted, rejected or skipped_duplicate, for every file."""
-    files = detect_files(spark, path).select("name", "path")
-    headers = check_headers(spark, path)
-    out = files.join(headers.select("name", "header_reason"), "name").join(check_quality(spark, path, headers), "name")
+def verdicts_of(headers: DataFrame, quality: DataFrame, audit: DataFrame | None = None) -> DataFrame:
+    """``(name, status, row_count, rows_to_first_error, reason)``: accepted, rejected or skipped_duplicate, for every file."""
+    out = headers.select("name", "header_reason").join(quality, "name")
     done = F.lit(False)
     if audit is not None:
         out = out.join(audit.where(F.col("status") == "accepted").select("name", F.lit(True).alias("done")).distinct(), "name", "left")
         done = F.coalesce("done", F.lit(False))
     reason = F.when(~done, F.coalesce("header_reason", "quality_reason"))
     status = F.when(done, "skipped_duplicate").when(reason.isNotNull(), "rejected").otherwise("accepted")
-    return out.select("name", "path", status.alias("status"), "row_count", "rows_to_first_error", reason.alias("reason"))
+    return out.select("name", status.alias("status"), "row_count", "rows_to_first_error", reason.alias("reason"))
+
+
+def gate(spark: SparkSession, path: str, audit: DataFrame | None = None) -> DataFrame:
+    """``(name, path, status, row_count, rows_to_first_error, reason)``: the verdict of every file of a folder."""
+    files = detect_files(spark, path).select("name", "path")
+    headers = check_headers(spark, path)
+    out = files.join(verdicts_of(headers, check_quality(spark, path, headers), audit), "name")
+    return out.select("name", "path", "status", "row_count", "rows_to_first_error", "reason")
 
 
 def require_accepted(verdicts: DataFrame) -> DataFrame:
@@ -115,17 +129,19 @@ def audit_records(verdicts: DataFrame) -> DataFrame:
 
 
 def route(verdicts: DataFrame, accepted: str, rejected: str) -> None:
-    """Copy the files, unchanged, to the zone of their verdict, by the executors; the zones are shared folders."""
+    """Copy the files, unchanged, to the zone of their verdict, by the executors; zones are folders or URIs of any file system
+    that pyarrow knows. A file is copied aside and then moved, so a task that runs again leaves one whole copy."""
 
     def copy(rows) -> None:
-        import os
+        from pyarrow import fs
 
         for r in rows:
-            zone = accepted if r["status"] == "accepted" else rejected
-            os.makedirs(zone, exist_ok=True)
-            aside = os.path.join(zone, f".{r['name']}.{os.getpid()}")
-            shutil.copyfile(r["path"].removeprefix("file:"), aside)
-            os.replace(aside, os.path.join(zone, r["name"]))
+            source, path = fs.FileSystem.from_uri(r["path"])
+            store, zone = fs.FileSystem.from_uri(accepted if r["status"] == "accepted" else rejected)
+            store.create_dir(zone, recursive=True)
+            aside = f"{zone}/.{r['name']}.{uuid.uuid4().hex}"
+            fs.copy_files(path, aside, source_filesystem=source, destination_filesystem=store)
+            store.move(aside, f"{zone}/{r['name']}")
 
     verdicts.where(F.col("status") != "skipped_duplicate").select("name", "path", "status").foreachPartition(copy)
 
