@@ -196,3 +196,9 @@ def test_cadence_finds_gaps(spike):
 def test_reports_avoid_a_loaded_word(spike):
     for df in (signals.hotspots(spike), signals.alerts(spike), signals.anomaly_scores(spike)):
         assert all("congestion" not in r.reason.lower() for r in df.collect())
+
+
+def test_context_sizes(spark):
+    full = spark.createDataFrame([(1, "x" * 40), (2, "x" * 10)], "grid_id int, context_json string")
+    curated = spark.createDataFrame([(1, "x" * 10), (3, "x")], "grid_id int, context_json string")
+    assert [tuple(r) for r in evidence.context_sizes(full, curated).collect()] == [(1, 40, 10, 0.75)]
