@@ -8,15 +8,16 @@ class goes to the child named by its path so far and its token at that position.
 all common children of a node with probability (1 - s) ** BRANCH, so the number of trees follows from
 the target recall. Links are confirmed on the full sets.
 
-Only components are asked for, so a pair that is already known to be connected is never compared:
-first every class of a node is compared with the node's leaders, then, in nodes that still hold several
+Pairs whose minwise tokens agree too seldom for the threshold are screened out before any text is fetched. Small nodes
+compare all others. A node of the last level may stay large; as only components are asked for, it compares no pair that
+is already known to be connected: first every class is compared with the node's leaders, then, if it still holds several
 components, pairs of different components. A shingle that no other class of such nodes has can't be shared,
 so the others of each class bound the similarity of a pair from above, exactly. In a large group of near copies the
 copies that were changed too much to be linked have too many shingles of their own, and pair with nothing;
 the bound and the minwise tokens leave few pairs to confirm. Large nodes are dealt into blocks, and each two blocks are a task's work of their own.
 
-The screen by minwise tokens drops pairs at the threshold with a probability of some 3 in a million each; ``screened=False`` leaves it out. Shingles
-are compared by 64-bit hashes.
+The screen by minwise tokens drops pairs at the threshold with a probability of some 3 in a million each; ``screened=False`` leaves it out, and then the texts
+of every pair of a small node whose sizes allow a link are compared. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -225,30 +226,48 @@ def _placed(docs: DataFrame, scratch: Scratch, similar_pct: int, screened: bool)
     classes = scratch.save(classes, "classes")
     leaves = _nodes(scratch, classes.select("cid", "tokens", "n"), trees)
 
-    # the leaders of a node: its first class, and in a large one another at random
+    leaves = scratch.save(leaves.join(classes.select("cid", "tokens"), "cid"), "leaves")
+    s = similar_pct / 100
+    least = math.floor(k * s - 4.5 * math.sqrt(k * s * (1 - s))) if screened else 0
+    met = F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y)
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar_pct
+    likely = F.size(F.filter(met, lambda x: x)) >= least
+    pair = (F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b"))
+
+    # small nodes: every pair that the tokens let through
+    few = leaves.where(F.col("size") <= LEAF)
+    sides = ("cid", "n", "tokens")
+    left = few.select("path", "tree", "turns", *(F.col(c).alias(f"{c}_a") for c in sides))
+    right = few.select("path", *(F.col(c).alias(f"{c}_b") for c in sides))
+    near = left.join(right, (left.path == right.path) & (F.col("cid_a") < F.col("cid_b")) & sized & likely & _first_meeting(trees, met)).select(*pair)
+
+    # large nodes: the leaders are the first class and another at random
+    many = leaves.where(F.col("size") > LEAF)
     member = F.struct("cid", "n")
-    leaders = leaves.groupBy("path").agg(F.max("size").alias("s"), F.min(member).alias("first"), F.min_by(member, F.xxhash64("cid", "path")).alias("other"))
-    leaders = leaders.select("path", F.when(F.col("s") > LEAF, F.array("first", "other")).otherwise(F.array("first")).alias("leaders"))
+    leaders = many.groupBy("path").agg(F.min(member).alias("first"), F.min_by(member, F.xxhash64("cid", "path")).alias("other"))
+    leaders = leaders.select("path", F.explode(F.array_distinct(F.array("first", "other"))).alias("l"))
+    leaders = leaders.join(many.select("path", "cid", "tokens"), ["path"]).where("cid = l.cid").select("path", F.col("cid").alias("cid_b"), F.col("l.n").alias("n_b"), F.col("tokens").alias("tokens_b"))
     leaders = scratch.save(leaders, "leaders")  # read again it has no partitioning of its own, and Spark can split a large node
-    stars = leaves.join(leaders, "path").select("cid", "n", F.explode("leaders").alias("l")).where("cid <> l.cid")
-    stars = stars.where(F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * similar_pct)
-    stars = scratch.save(stars.select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b")).distinct(), "stars")
-    need = leaves.select("cid").distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
-    texts = source.join(need, ["doc_id", "text_key"]).groupBy("cid").agg(F.first("text").alias("text"))
+    stars = many.select("path", *(F.col(c).alias(f"{c}_a") for c in sides)).join(leaders, "path").where((F.col("cid_a") != F.col("cid_b")) & sized & likely).select(*pair)
+    first_pairs = scratch.save(near.union(stars).distinct(), "pairs")
+
+    need = first_pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(many.select("cid")).distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
+    texts = source.join(need, ["doc_id", "text_key"]).groupBy("doc_id", "text_key", "cid").agg(F.first("text").alias("text")).select("cid", "text")
     texts = scratch.save(texts, "texts")
-    first = _links(scratch, texts, stars, similar_pct, "first")
+    first = _links(scratch, texts, first_pairs, similar_pct, "first")
 
     known = components(scratch, first, "c1")
-    placed = leaves.join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    placed = many.select("path", "cid").join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     placed = scratch.save(placed, "rooted")
     open_nodes = scratch.save(placed.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("path"), "open")
-    placed = scratch.save(placed.join(open_nodes, "path").join(classes.select("cid", "tokens"), "cid"), "placed")
+    placed = scratch.save(placed.join(open_nodes, "path"), "placed")
     opened = texts.join(placed.select("cid").distinct(), "cid")
     shingles = opened.mapInArrow(_shingle_rows, "cid bigint, shingle bigint")
     single = shingles.groupBy("shingle").agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c = 1")
     own = scratch.save(single.groupBy("cid").agg(F.count("*").alias("own")), "own")
     # m, the shingles that others have as well, bounds an intersection; in itself a class needs m of s times its size
-    placed = placed.join(own, "cid", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("m") * 100 >= F.col("n") * similar_pct)
+    placed = placed.join(many, ["path", "cid"]).join(own, "cid", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0)))
+    placed = placed.where(F.col("m") * 100 >= F.col("n") * similar_pct)
     placed = placed.join(scratch.save(opened.mapInArrow(_small_sets, "cid bigint, small array<int>"), "small"), "cid")
     placed = scratch.save(placed, "bounded")
     # the largest component of a node needs no comparison within itself, nor another as its left side
@@ -259,19 +278,14 @@ def _placed(docs: DataFrame, scratch: Scratch, similar_pct: int, screened: bool)
     sides = ("cid", "n", "m", "root", "tokens", "small")
     left = dealt.where("root <> largest").select("path", F.col("block").alias("one"), F.col("other").alias("two"), "tree", "turns", *(F.col(c).alias(f"{c}_a") for c in sides))
     right = dealt.select("path", F.col("other").alias("one"), F.col("block").alias("two"), *(F.col(c).alias(f"{c}_b") for c in sides))
-    s = similar_pct / 100
-    least = math.floor(k * s - 4.5 * math.sqrt(k * s * (1 - s)))
     bound = F.least("m_a", "m_b") * (100 + similar_pct) >= (F.col("n_a") + F.col("n_b")) * similar_pct
     # folded hashes can only make two sets look more alike
     alike = F.size(F.array_intersect("small_a", "small_b")) * (100 + similar_pct) >= (F.col("n_a") + F.col("n_b")) * similar_pct
     alike = F.col("small_a").isNull() | F.col("small_b").isNull() | alike
-    met = F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y)
     # all of it in the join's condition, so that no other pair leaves the join
-    likely = F.size(F.filter(met, lambda x: x)) >= (least if screened else 0)
     block = (left.path == right.path) & (left.one == right.one) & (left.two == right.two)
     cross = left.join(right, block & (F.col("root_a") != F.col("root_b")) & bound & likely & _first_meeting(trees, met) & alike)
-    cross = cross.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
-    cross = scratch.save(cross.join(stars, ["a", "b"], "left_anti"), "cross")
+    cross = scratch.save(cross.select(*pair).distinct().join(first_pairs, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         second = _links(scratch, texts, cross, similar_pct, "second")
         known = components(scratch, first.union(second), "c2")
