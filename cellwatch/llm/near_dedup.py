@@ -238,8 +238,8 @@ def _placed(docs: DataFrame, scratch: Scratch, similar_pct: int, screened: bool)
     few = leaves.where(F.col("size") <= LEAF)
     sides = ("cid", "n", "tokens")
     left = few.select("path", "tree", "turns", *(F.col(c).alias(f"{c}_a") for c in sides))
-    right = few.select("path", *(F.col(c).alias(f"{c}_b") for c in sides))
-    near = left.join(right, (left.path == right.path) & (F.col("cid_a") < F.col("cid_b")) & sized & likely & _first_meeting(trees, met)).select(*pair)
+    right = few.select(F.col("path").alias("path_b"), *(F.col(c).alias(f"{c}_b") for c in sides))
+    near = left.join(right, (F.col("path") == F.col("path_b")) & (F.col("cid_a") < F.col("cid_b")) & sized & likely & _first_meeting(trees, met)).select(*pair)
 
     # large nodes: the leaders are the first class and another at random
     many = leaves.where(F.col("size") > LEAF)
