@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cellwatch.llm.bpe import round_trip
+from cellwatch.llm.collocations import PHRASES_SQL, collocations
 from cellwatch.llm.line_templates import LINES_SQL, line_report
 from cellwatch.llm.near_dedup import near_duplicates
 from cellwatch.llm.oracles import COSINE_SQL, NEAR_SQL, WARC_SQL, WINDOWS_SQL
 from cellwatch.llm.ordinal_quality import quality
+from cellwatch.llm.packing import packed_pieces
+from cellwatch.llm.periodic_runs import RUNS_SQL, run_report
 from cellwatch.llm.pii import personal_data_report
 from cellwatch.llm.snapshots import RENDER_SQL, render_conversations
 from cellwatch.llm.tiled_cosine import near_vectors
@@ -22,6 +25,8 @@ from cellwatch.llm.winnow import contamination
 #: The rank file and pattern that op4 and the pipeline use.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+#: The tokenizer file of op12.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +73,18 @@ def op10_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(_table(spark, sf_dir, "documents"), TOKENIZER, PATTERN, capacity=2048)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -85,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing_decontamination": op8_winnowing_decontamination,
     "op9_line_templates": op9_line_templates,
     "op10_tiled_cosine": op10_tiled_cosine,
+    "op11_tiled_collocations": op11_tiled_collocations,
+    "op12_configuration_packing": op12_configuration_packing,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 
@@ -95,4 +115,6 @@ ORACLES: dict[str, str] = {
     "op8_winnowing_decontamination": WINDOWS_SQL,
     "op9_line_templates": LINES_SQL,
     "op10_tiled_cosine": COSINE_SQL,
+    "op11_tiled_collocations": PHRASES_SQL,
+    "op13_periodic_runs": RUNS_SQL,
 }
