@@ -373,19 +373,20 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside_pct:
 
 
 PHRASES_SQL = r"""
-WITH t AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM t),
-u AS (SELECT lang, [w] AS g, count(*) AS a FROM (SELECT lang, unnest(ws) AS w FROM p) GROUP BY ALL),
-n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM u GROUP BY lang),
-b AS (SELECT lang, unnest([ws[i:i + 1] FOR i IN range(1, len(ws))]) AS g FROM p),
-c AS (SELECT lang, unnest([ws[i:i + 2] FOR i IN range(1, len(ws) - 1)]) AS g FROM p),
-f AS (SELECT * FROM u UNION ALL SELECT lang, g, count(*) FROM b GROUP BY ALL UNION ALL SELECT lang, g, count(*) FROM c GROUP BY ALL),
-k AS (SELECT * FROM f WHERE len(g) > 1 AND a >= 10),
-cut AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM k),
-s AS (SELECT cut.lang, cut.g, cut.a, cut.k, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * cut.a * cut.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score
-      FROM cut JOIN f l ON l.lang = cut.lang AND l.g = cut.g[1:cut.k] JOIN f r ON r.lang = cut.lang AND r.g = cut.g[cut.k + 1:len(cut.g)]),
-w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-i AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, g[1:2] AS g, a FROM k WHERE len(g) = 3 UNION ALL SELECT lang, g[2:3], a FROM k WHERE len(g) = 3) GROUP BY ALL),
-o AS (SELECT w.lang, array_to_string(w.g, ' ') AS phrase, w.a, l, r, score FROM w LEFT JOIN i ON i.lang = w.lang AND i.g = w.g WHERE i.a IS NULL OR 100 * i.a < 50 * w.a)
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS MATERIALIZED (SELECT row_number() OVER () AS piece, lang, ws FROM (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM t) WHERE len(ws) > 0),
+w AS MATERIALIZED (SELECT lang, w1, CASE WHEN i + 1 <= n THEN w2 END AS w2, CASE WHEN i + 2 <= n THEN w3 END AS w3
+      FROM (SELECT lang, unnest(ws) AS w1, unnest(ws[2:]) AS w2, unnest(ws[3:]) AS w3, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM p)),
+f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS a FROM w GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS a FROM w WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS a FROM w WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f1 GROUP BY lang),
+cut AS (SELECT f2.lang, w1 || ' ' || w2 AS phrase, f2.a, 1 AS k, x.a AS l, y.a AS r FROM f2 JOIN f1 x USING (lang, w1) JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+  UNION ALL SELECT f3.lang, w1 || ' ' || f3.w2 || ' ' || w3, f3.a, 1, x.a, y.a FROM f3 JOIN f1 x USING (lang, w1) JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+  UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || w3, f3.a, 2, x.a, y.a FROM f3 JOIN f2 x USING (lang, w1, w2) JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+s AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cut),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, w1 || ' ' || w2 AS phrase, a FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM f3) GROUP BY ALL),
+o AS (SELECT b.lang, b.phrase, a, l, r, score FROM b LEFT JOIN i USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a)
 SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000
 """
