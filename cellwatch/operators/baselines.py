@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellwatch.functions.expressions import pop_variance, square
+from cellwatch.operators.segments import CHUNK_HOURS, expanding_sums
 
 Instant = dt.datetime | str | None
 
@@ -54,11 +55,14 @@ def baselines(fact: DataFrame, as_of: Instant = None, bucket: str = "all_history
     )
 
 
-def expanding_zscores(fact: DataFrame, measure: str = "total_activity") -> DataFrame:
-    """Each row's z-score against all earlier rows of its cell; null without any or without variance."""
-    w = Window.partitionBy("grid_id").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, -1)
+def expanding_zscores(fact: DataFrame, measure: str = "total_activity", chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    """Each row's z-score against all earlier rows of its cell; null without any or without variance. A missing measure counts for nothing.
+
+    Histories are scanned by chunks, see ``segments``.
+    """
     rows = fact.select("grid_id", "timestamp", F.col(measure).alias("x"))
-    rows = rows.withColumns({"n": F.count("x").over(w), "s": F.sum("x").over(w), "q": F.sum(square(rows, "x")).over(w)})
+    known = lambda c: F.coalesce(c, F.lit(0).cast(rows.select(c).schema[0].dataType))
+    rows = expanding_sums(rows, {"n": F.col("x").isNotNull().cast("bigint"), "s": known(F.col("x")), "q": known(square(rows, "x"))}, hours=chunk_hours)
     variance = pop_variance(F.col("n"), F.col("s"), F.col("q"))
     z = F.when(variance > 0, (F.col("x").cast("double") - F.col("s").cast("double") / F.nullif(F.col("n"), F.lit(0))) / F.sqrt(variance))
     return rows.select("grid_id", "timestamp", "n", z.alias("z_score"))

@@ -28,16 +28,16 @@ def historical_evidence(fact: DataFrame, anomalies: DataFrame, risk: DataFrame,
     x = "total_activity"
     told = before(fact).groupBy("grid_id").agg(F.count("*").alias("activity_rows"), mean(x).alias("mean_activity"), F.min(x).alias("min_activity"), F.max(x).alias("max_activity"))
     is_ = lambda c, v: F.count_if(F.col(c) == v)
-    odd = before(anomalies).groupBy("grid_id").agg(F.count_if(F.col("is_anomaly")).alias("anomalies"), is_("direction", "high").alias("high_anomalies"), is_("direction", "low").alias("low_anomalies"))
+    odd = before(anomalies).groupBy("grid_id").agg(F.count("*").alias("scored"), F.count_if(F.col("is_anomaly")).alias("anomalies"), *(F.count_if(F.col("is_anomaly") & (F.col("direction") == d)).alias(f"{d}_anomalies") for d in ("high", "low")))
     level = before(risk).groupBy("grid_id").agg(*(is_("risk_level", v).alias(f"{v}_risks") for v in ("high", "medium", "low")))
     out = fact.select("grid_id").distinct().join(told, "grid_id", "left").join(odd, "grid_id", "left").join(level, "grid_id", "left")
-    counts = ["activity_rows", "anomalies", "high_anomalies", "low_anomalies", "high_risks", "medium_risks", "low_risks"]
+    counts = ["activity_rows", "scored", "anomalies", "high_anomalies", "low_anomalies", "high_risks", "medium_risks", "low_risks"]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     return out.withColumns({
         "activity_available": F.col("activity_rows") > 0,
-        "anomaly_available": F.col("anomalies") > 0,
+        "anomaly_available": F.col("scored") > 0,  # scored at all, anomaly or not
         "risk_available": F.col("high_risks") + F.col("medium_risks") + F.col("low_risks") > 0,
-    })
+    }).drop("scored")
 
 
 def _packed(df: DataFrame, name: str, drop: tuple[str, ...] = ("grid_id",)) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from cellwatch.functions.expressions import FEATURES, WINDOW_HOURS, mean, pop_variance, ratio, square
+from cellwatch.operators.segments import CHUNK_HOURS, by_chunk, with_halo
 
 _HOUR = 3600
 
@@ -13,32 +14,34 @@ def _by_time() -> WindowSpec:
     return Window.partitionBy("grid_id").orderBy("epoch")
 
 
-def trailing(hours: int = WINDOW_HOURS) -> WindowSpec:
+def trailing(hours: int = WINDOW_HOURS, over: WindowSpec | None = None) -> WindowSpec:
     """The last hours up to and with the row's own, by time and not by rows."""
-    return _by_time().rangeBetween(-(hours - 1) * _HOUR, 0)
+    return (over or _by_time()).rangeBetween(-(hours - 1) * _HOUR, 0)
 
 
-def before_trailing(hours: int = WINDOW_HOURS) -> WindowSpec:
+def before_trailing(hours: int = WINDOW_HOURS, over: WindowSpec | None = None) -> WindowSpec:
     """As many hours before those."""
-    return _by_time().rangeBetween(-(2 * hours - 1) * _HOUR, -hours * _HOUR)
+    return (over or _by_time()).rangeBetween(-(2 * hours - 1) * _HOUR, -hours * _HOUR)
 
 
-def build_features(fact: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:
+def build_features(fact: DataFrame, hours: int = WINDOW_HOURS, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     """The six features of every observed hour, from two range frames that share one sort.
 
+    A cell's history is cut into chunks with a halo, see ``segments``, so both frames of a row lie within its chunk's rows.
+
     A ratio with a denominator of 0 or without one is null. Windows may be incomplete; the status is ``ok``
     only if both hold a row for every hour. Missing measures count as 0.
     """
     zero = lambda c: F.coalesce(c, F.lit(0).cast(fact.schema[c].dataType)).alias(c)
-    rows = fact.select("grid_id", "timestamp", zero("total_activity"), zero("internet_activity"), F.unix_timestamp("timestamp").alias("epoch"))
-    now, past = trailing(hours), before_trailing(hours)
+    rows = with_halo(fact.select("grid_id", "timestamp", zero("total_activity"), zero("internet_activity")), 2 * hours - 1, hours=chunk_hours)
+    now, past = trailing(hours, by_chunk()), before_trailing(hours, by_chunk())
     x = F.col("total_activity")
     rows = rows.withColumns(
         {
             "n": F.count("*").over(now), "s": F.sum(x).over(now), "q": F.sum(square(rows, "total_activity")).over(now), "top": F.max(x).over(now),
             "active": F.count_if(x > 0).over(now), "net": F.sum("internet_activity").over(now), "n0": F.count("*").over(past), "s0": F.sum(x).over(past),
         }
-    )
+    ).where("NOT halo")
     avg = F.col("s").cast("double") / F.col("n")
     base = F.col("s0").cast("double") / F.nullif(F.col("n0"), F.lit(0))
     std = F.sqrt(pop_variance(F.col("n"), F.col("s"), F.col("q")))

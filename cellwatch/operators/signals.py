@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cellwatch.functions.expressions import ANOMALY_MIN_SAMPLES, ANOMALY_Z, DROP_RATIO, FLOOR_PERCENTILE, HIGH_RATIO, SEVERITY_HIGH, SEVERITY_MEDIUM, SPIKE_RATIO, risk_level
 from cellwatch.operators.baselines import Instant, baselines, snapshot, within_day_baseline
 from cellwatch.operators.percentiles import exact_percentiles
+from cellwatch.operators.segments import previous_value
 
 MAX_ROWS = 1000
 
@@ -63,19 +64,20 @@ def alerts(fact: DataFrame, as_of: Instant = None, n: int = 20, severity: str |
 
 
 def anomaly_scores(fact: DataFrame, as_of: Instant = None) -> DataFrame:
-    """Every cell at as_of against the same hour of its earlier days."""
+    """Every cell at as_of against the same hour of its earlier days. The direction is the score's sign, whether or not the score is an anomaly."""
     base = baselines(fact, as_of, "hour_of_day")
     out = score_join(snapshot(fact, as_of).select("grid_id", "timestamp", "total_activity"), base, min_samples=ANOMALY_MIN_SAMPLES)
     z = F.col("z_score")
     odd = F.abs(z) >= ANOMALY_Z
-    direction = F.when(~odd, "normal").when(z > 0, "high").otherwise("low")
+    direction = F.when(z > 0, "high").when(z < 0, "low").otherwise("normal")
     told = F.format_string("Activity %.1f against a same-hour mean of %.1f (%.2f standard deviations)", "current", "baseline", "z_score")
     return out.select("grid_id", "timestamp", "current", "baseline", "std", "n", z.alias("anomaly_score"), direction.alias("direction"), odd.alias("is_anomaly"), told.alias("reason"))
 
 
 def anomaly_summary(scores: DataFrame) -> DataFrame:
+    """One row: scored cells, anomalies of each direction, and the range of baseline samples."""
     return scores.agg(
-        F.count("*").alias("scored"), F.count_if(F.col("direction") == "high").alias("high"), F.count_if(F.col("direction") == "low").alias("low"),
+        F.count("*").alias("scored"), *(F.count_if(F.col("is_anomaly") & (F.col("direction") == d)).alias(d) for d in ("high", "low")),
         F.min("n").alias("least_samples"), F.max("n").alias("most_samples"),
     )
 
@@ -102,7 +104,7 @@ def within_day_alerts(hourly: DataFrame) -> DataFrame:
     floor = exact_percentiles(totals, ["total"], FLOOR_PERCENTILE).withColumnRenamed("total", "floor")
     busy = totals.join(F.broadcast(floor), F.col("total") >= F.col("floor")).select("grid_id")  # one row
     rows = within_day_baseline(hourly).withColumn("current", F.col("total_activity").cast("double"))
-    rows = rows.withColumn("previous", F.lag("current").over(Window.partitionBy("grid_id").orderBy("timestamp")))
+    rows = previous_value(rows, "current")
     rows = rows.join(busy, "grid_id", "left_semi").where("baseline > 0")
     x, base, last = F.col("current"), F.col("baseline"), F.col("previous")
     alert = lambda on, name, against: F.when(on, F.struct(F.lit(name).alias("alert_type"), against.alias("against")))

@@ -116,7 +116,7 @@ def _base(past: str) -> str:
 _Z = "z AS (SELECT h.grid_id, h.timestamp, CAST(h.total_activity AS DOUBLE) AS current, baseline, std, n, (CAST(h.total_activity AS DOUBLE) - baseline) / std AS z_score FROM h JOIN b USING (grid_id) WHERE std > 0 AND n >= {least} AND h.timestamp = {at})"
 _SEV = "CASE WHEN z_score >= 3 THEN 'high' WHEN z_score >= 2 THEN 'medium' END"
 _AT = f"TIMESTAMP '{AT}'"
-_ANOM = f"{_base(f'timestamp < {_AT} AND hour = hour({_AT})')}, {_Z.format(least=2, at=_AT)}, a AS (SELECT *, z_score AS anomaly_score, CASE WHEN abs(z_score) < 2 THEN 'normal' WHEN z_score > 0 THEN 'high' ELSE 'low' END AS direction, abs(z_score) >= 2 AS is_anomaly FROM z)"
+_ANOM = f"{_base(f'timestamp < {_AT} AND hour = hour({_AT})')}, {_Z.format(least=2, at=_AT)}, a AS (SELECT *, z_score AS anomaly_score, CASE WHEN z_score > 0 THEN 'high' WHEN z_score < 0 THEN 'low' ELSE 'normal' END AS direction, abs(z_score) >= 2 AS is_anomaly FROM z)"
 _FEAT = f"""w AS (SELECT grid_id, timestamp, count(*) OVER r AS n, sum(total_activity) OVER r AS s, sum(CAST(total_activity AS DECIMAL(18,2)) * total_activity) OVER r AS q, max(total_activity) OVER r AS top,
     count(*) FILTER (WHERE total_activity > 0) OVER r AS active, sum(internet_activity) OVER r AS net, count(*) OVER o AS n0, sum(total_activity) OVER o AS s0 FROM h
     WINDOW r AS (PARTITION BY grid_id ORDER BY timestamp RANGE BETWEEN INTERVAL 23 HOURS PRECEDING AND CURRENT ROW), o AS (PARTITION BY grid_id ORDER BY timestamp RANGE BETWEEN INTERVAL 47 HOURS PRECEDING AND INTERVAL 24 HOURS PRECEDING)),
@@ -150,7 +150,7 @@ ORACLES = {
     "resolve_as_of": f"{WITH} SELECT {t('max(timestamp)')} AS as_of FROM h",
     "score_join": f"{WITH}, {_base(f'timestamp < {_LAST}')}, {_Z.format(least=2, at=_LAST)} SELECT {_H}, current, z_score FROM z",
     "anomaly_scores": f"{WITH}, {_ANOM} SELECT {_H}, current, baseline, std, n, anomaly_score, direction, is_anomaly FROM a",
-    "anomaly_summary": f"{WITH}, {_ANOM} SELECT count(*) AS scored, {_COUNT('direction', 'high', 'high')}, {_COUNT('direction', 'low', 'low')}, min(n) AS least_samples, max(n) AS most_samples FROM a",
+    "anomaly_summary": f"{WITH}, {_ANOM} SELECT count(*) AS scored, count(*) FILTER (WHERE is_anomaly AND direction = 'high') AS high, count(*) FILTER (WHERE is_anomaly AND direction = 'low') AS low, min(n) AS least_samples, max(n) AS most_samples FROM a",
     "anomaly_extremes": f"{WITH}, {_ANOM} SELECT {_G}, direction, anomaly_score FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY abs(anomaly_score) DESC, grid_id) AS i FROM a WHERE is_anomaly) WHERE i <= 5",
     "activity_floor": f"{WITH} SELECT round(quantile_cont(total, 0.1), 9) AS floor FROM (SELECT CAST(sum(total_activity) AS DOUBLE) AS total FROM h GROUP BY grid_id)",
     "within_day_alerts": f"{WITH}, {_ALERTS} SELECT {_H}, alert_type, current, baseline FROM al",
@@ -179,7 +179,7 @@ ORACLES = {
     "recent_history": f"{WITH}, r AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY timestamp DESC) AS i FROM h WHERE timestamp < {_LAST}) SELECT {_G}, count(*) AS intervals, {MEAN.format(x='total_activity')} AS mean_activity, CAST(min(total_activity) AS DOUBLE) AS min_activity, CAST(max(total_activity) AS DOUBLE) AS max_activity FROM r WHERE i <= 24 GROUP BY r.grid_id",
     "historical_evidence": f"""{WITH}, {_RISK}, {_ANOM}, hh AS (SELECT grid_id, count(*) AS activity_rows, {MEAN.format(x='total_activity')} AS mean_activity, CAST(min(total_activity) AS DOUBLE) AS min_activity, CAST(max(total_activity) AS DOUBLE) AS max_activity FROM h WHERE timestamp < {_LAST} GROUP BY grid_id),
         kk AS (SELECT grid_id, {_COUNT('risk_level', 'high', 'high_risks')}, {_COUNT('risk_level', 'medium', 'medium_risks')}, {_COUNT('risk_level', 'low', 'low_risks')} FROM k WHERE timestamp < {_LAST} GROUP BY grid_id)
-        SELECT {_G.replace('grid_id AS BIGINT', 'hh.grid_id AS BIGINT')}, activity_rows, mean_activity, min_activity, max_activity, coalesce(x.anomalies, 0) AS anomalies, coalesce(x.high_anomalies, 0) AS high_anomalies, coalesce(x.low_anomalies, 0) AS low_anomalies, high_risks, medium_risks, low_risks, TRUE AS activity_available, coalesce(x.anomalies, 0) > 0 AS anomaly_available, TRUE AS risk_available FROM hh JOIN kk ON hh.grid_id = kk.grid_id LEFT JOIN (SELECT grid_id, count(*) FILTER (WHERE is_anomaly) AS anomalies, {_COUNT('direction', 'high', 'high_anomalies')}, {_COUNT('direction', 'low', 'low_anomalies')} FROM a GROUP BY grid_id) x ON hh.grid_id = x.grid_id""",
+        SELECT {_G.replace('grid_id AS BIGINT', 'hh.grid_id AS BIGINT')}, activity_rows, mean_activity, min_activity, max_activity, coalesce(x.anomalies, 0) AS anomalies, coalesce(x.high_anomalies, 0) AS high_anomalies, coalesce(x.low_anomalies, 0) AS low_anomalies, high_risks, medium_risks, low_risks, TRUE AS activity_available, coalesce(x.scored, 0) > 0 AS anomaly_available, TRUE AS risk_available FROM hh JOIN kk ON hh.grid_id = kk.grid_id LEFT JOIN (SELECT grid_id, count(*) AS scored, count(*) FILTER (WHERE is_anomaly) AS anomalies, count(*) FILTER (WHERE is_anomaly AND direction = 'high') AS high_anomalies, count(*) FILTER (WHERE is_anomaly AND direction = 'low') AS low_anomalies FROM a GROUP BY grid_id) x ON hh.grid_id = x.grid_id""",
     "enrich_geometry": f"{WITH} SELECT {_H}, h.grid_id < {CELLS} AS has_geometry FROM h",
     "join_coverage": f"{WITH} SELECT count(*) AS rows, count(*) AS joined_rows, count(DISTINCT CASE WHEN grid_id >= {CELLS} THEN grid_id END) AS unmatched_keys, CAST(count(*) FILTER (WHERE grid_id < {CELLS}) * 100.0 AS DOUBLE) / count(*) AS coverage_pct, TRUE AS rows_unchanged FROM h",
     "unmatched_keys": f"{WITH} SELECT DISTINCT {_G} FROM h WHERE h.grid_id >= {CELLS}",

@@ -120,6 +120,19 @@ def test_same_hour_anomaly(spark):
     assert a.direction == "high" and a.is_anomaly and a.n == 6
 
 
+def test_direction_is_the_sign_of_the_score(spark):
+    rows = [(g, dt.datetime(2013, 11, 1 + i, 23), x) for g, last in ((1, 101.0), (2, 99.0), (3, 100.0), (4, 200.0)) for i, x in enumerate([95.0, 105.0, last])]
+    scores = signals.anomaly_scores(spark.createDataFrame(rows, "grid_id int, timestamp timestamp, total_activity double"))
+    got = {r.grid_id: (r.direction, r.is_anomaly) for r in scores.collect()}
+    assert got == {1: ("high", False), 2: ("low", False), 3: ("normal", False), 4: ("high", True)}
+    told = signals.anomaly_summary(scores).first()
+    assert (told.scored, told.high, told.low) == (4, 1, 0)
+    fact = spark.createDataFrame([(g, dt.datetime(2013, 11, 4, 0), 1.0) for g in (1, 2, 4)], "grid_id int, timestamp timestamp, total_activity double")
+    risk = fact.select("grid_id", "timestamp", F.lit("low").alias("risk_level"))
+    by = {r.grid_id: (r.anomalies, r.high_anomalies, r.low_anomalies) for r in evidence.historical_evidence(fact, scores, risk, "2013-11-05 00:00:00").collect()}
+    assert by == {1: (0, 0, 0), 2: (0, 0, 0), 4: (1, 1, 0)}
+
+
 def test_within_day_rules(spark):
     xs = [10.0, 10.0, 10.0, 40.0, 10.0, 1.0]
     rows = [(1, T0 + dt.timedelta(hours=i), x, "2020-01-01") for i, x in enumerate(xs)]
@@ -185,7 +198,7 @@ def test_evidence_counts(spike):
     none = spike.select("grid_id", "timestamp", F.lit(False).alias("is_anomaly"), F.lit("normal").alias("direction"))
     risks = spike.select("grid_id", "timestamp", F.lit("low").alias("risk_level"))
     told = {r.grid_id: r for r in evidence.historical_evidence(spike, none, risks).collect()}
-    assert told[4821].activity_rows == 71 and told[4821].low_risks == 71 and not told[4821].anomaly_available
+    assert told[4821].activity_rows == 71 and told[4821].low_risks == 71 and told[4821].anomaly_available and told[4821].anomalies == 0
 
 
 def test_cadence_finds_gaps(spike):
