@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cellwatch.functions.expressions import MEASURES, TOTALS
+from cellwatch.sources.content import content_differences
+from cellwatch.sources.versions import VersionedTable
 
 #: Fixed value: names of the city's daily files.
 FILE_GLOB = "sms-call-internet-mi-[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9].csv"
@@ -68,16 +68,24 @@ def append_audit(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def verify_roundtrip(df: DataFrame, path: str, keys: tuple[str, ...] = ("grid_id", "timestamp")) -> DataFrame:
-    """One row: whether what was written is what is read, by counts, columns, unique keys and the absence of geometry."""
+def verify_roundtrip(df: DataFrame, path: str, keys: tuple[str, ...] = ("grid_id", "timestamp"), by: tuple[str, ...] = ("date",)) -> DataFrame:
+    """One row: whether what was written is what is read, by content, counts, columns, unique keys and the absence of geometry.
+
+    ``changed`` lists the partitions whose rows differ; it is null, and nothing is sound, where the columns differ already.
+    """
     back = df.sparkSession.read.parquet(path)
-    a = df.agg(F.count("*").alias("written_rows"))
-    b = back.agg(F.count("*").alias("read_rows"))
     d = back.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").agg(F.count("*").alias("duplicate_keys"))
     same = sorted((f.name, f.dataType.simpleString()) for f in df.schema) == sorted((f.name, f.dataType.simpleString()) for f in back.schema)
     plain = not any("geometry" in c for c in back.columns)
-    out = a.crossJoin(b).crossJoin(d).withColumns({"same_schema": F.lit(same), "no_geometry": F.lit(plain)})  # one row each
-    return out.withColumn("sound", (F.col("written_rows") == F.col("read_rows")) & (F.col("duplicate_keys") == 0) & F.col("same_schema") & F.col("no_geometry"))
+    if same:
+        name = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by))
+        told = content_differences(df, back, by).agg(
+            F.coalesce(F.sum("rows_a"), F.lit(0)).alias("written_rows"), F.coalesce(F.sum("rows_b"), F.lit(0)).alias("read_rows"), F.sort_array(F.collect_list(F.when(~F.col("same"), name))).alias("changed")
+        )
+    else:
+        told = df.agg(F.count("*").alias("written_rows")).crossJoin(back.agg(F.count("*").alias("read_rows"))).withColumn("changed", F.lit(None).cast("array<string>"))  # one row each
+    out = told.crossJoin(d).withColumns({"same_schema": F.lit(same), "no_geometry": F.lit(plain)})  # one row each
+    return out.withColumn("sound", F.coalesce(F.size("changed") == 0, F.lit(False)) & (F.col("duplicate_keys") == 0) & F.col("same_schema") & F.col("no_geometry"))
 
 
 def union_partitions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -102,39 +110,23 @@ def layer_sizes(spark: SparkSession, layers: dict[str, str], raw: str = "raw") -
     return sums.join(F.broadcast(base), how="cross").withColumn("ratio", F.col("bytes") / F.col("raw_bytes")).drop("raw_bytes")  # one row
 
 
-def replace_snapshot(df: DataFrame, path: str, column: str = "timestamp") -> None:
-    """Write a snapshot in place of the stored one of the same time; others stay, and doing it again changes nothing."""
+def replace_snapshot(df: DataFrame, path: str, column: str = "timestamp") -> int:
+    """Put a snapshot in place of the stored one of the same time, in one commit; others stay, and doing it again changes nothing. Read by ``read_table``."""
     told = df.withColumn("snapshot", F.date_format(column, "yyyyMMddHHmmss"))
-    told.write.partitionBy("snapshot").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-
+    return VersionedTable(df.sparkSession, path, ("snapshot",)).commit(told, keep_others=True)
 
-def publish(base_path: str, updates: DataFrame, keys: tuple[str, ...] = ("grid_id", "timestamp")) -> None:
-    """Upsert into a stored fact with a folder per date; only the dates of ``updates`` are written again.
 
-    The merged rows are written aside before the dates they came from are replaced.
-    """
+def publish(base_path: str, updates: DataFrame, keys: tuple[str, ...] = ("grid_id", "timestamp")) -> int:
+    """Upsert into a stored fact by date, in one commit; only the dates of ``updates`` are written again. Read by ``read_table``."""
     from cellwatch.operators.warehouse import upsert
 
-    spark = updates.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(base_path)
-    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
-        write_processed(updates, base_path)
-        return
-    dates = updates.select("date").distinct()
-    base = spark.read.parquet(base_path).withColumn("date", F.col("date").cast("string")).join(dates, "date", "left_semi")
-    aside = f"{base_path.rstrip('/')}-merge-{uuid.uuid4().hex}"
-    upsert(base, updates, keys).write.parquet(aside)
-    write_processed(spark.read.schema(updates.schema).parquet(aside), base_path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(aside)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-
-
-def refresh(df: DataFrame, path: str) -> None:
-    """Replace a derived table: written aside first, so that it may be made from the one it replaces."""
-    spark = df.sparkSession
-    aside = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
-    df.write.parquet(aside)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    store = jvm.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    store.delete(jvm.Path(path), True)
-    store.rename(jvm.Path(aside), jvm.Path(path))
+    table = VersionedTable(updates.sparkSession, base_path, ("date",))
+    if table.manifest() is None:
+        return table.commit(updates)
+    base = table.read().join(updates.select("date").distinct(), "date", "left_semi")
+    return table.commit(upsert(base, updates, keys), keep_others=True)
+
+
+def refresh(df: DataFrame, path: str) -> int:
+    """Replace a derived table, which ``df`` may read, in one commit. Read by ``read_table``."""
+    return VersionedTable(df.sparkSession, path).commit(df)

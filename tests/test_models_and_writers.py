@@ -11,6 +11,7 @@ from cellwatch.functions.expressions import FEATURES, MEASURES
 from cellwatch.operators import aggregate, clean, risk, warehouse
 from cellwatch.operators.percentiles import exact_percentiles
 from cellwatch.sources import activity
+from cellwatch.sources.versions import read_table
 from cellwatch.streaming.hourly import publish_stream
 
 T0 = dt.datetime(2020, 1, 1)
@@ -119,4 +120,4 @@ def test_published_stream_can_run_again(spark, tmp_path):
     for turn in range(2):  # a new checkpoint makes the same batch come again
         stream = spark.readStream.schema(schema).parquet(source)
         publish_stream(stream, str(tmp_path / "fact"), str(tmp_path / f"checkpoint{turn}")).trigger(availableNow=True).start().awaitTermination()
-        assert sorted((r.grid_id, r.total_activity) for r in spark.read.parquet(str(tmp_path / "fact")).collect()) == [(1, 1.0), (2, 2.0)]
+        assert sorted((r.grid_id, r.total_activity) for r in read_table(spark, str(tmp_path / "fact")).collect()) == [(1, 1.0), (2, 2.0)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cellwatch.operators.aggregate import hourly_grid_summary
 from cellwatch.operators.clean import clean
 from cellwatch.sources import activity, gate
+from cellwatch.sources.versions import read_table
 from cellwatch.streaming.hourly import read_activity_stream, stream_hourly
 
 HEAD = "datetime,CellID,countrycode,smsin,smsout,callin,callout,internet"
@@ -85,7 +86,7 @@ def test_layers(spark, tmp_path):
     changed = hourly.where("date = '2020-01-02'").withColumn("total_activity", F.lit(0.0))
     for _ in range(2):
         activity.publish(base, changed)
-    back = spark.read.parquet(base)
+    back = read_table(spark, base)
     assert back.count() == 48 and back.where("total_activity = 0").count() == 24
     with pytest.raises(FileNotFoundError):
         activity.read_activity(spark, str(tmp_path / "fact"))
@@ -98,12 +99,12 @@ def test_snapshot_and_refresh(spark, tmp_path):
     path = str(tmp_path / "risk")
     for df in (one, two, two.withColumn("risk_score", F.lit(0.9))):
         activity.replace_snapshot(df, path)
-    back = spark.read.parquet(path)
+    back = read_table(spark, path)
     assert back.count() == 4 and back.where("risk_score = 0.9").count() == 2
     table = str(tmp_path / "table")
     activity.refresh(one, table)
-    activity.refresh(spark.read.parquet(table).where("grid_id = 1"), table)
-    assert spark.read.parquet(table).count() == 1
+    activity.refresh(read_table(spark, table).where("grid_id = 1"), table)
+    assert read_table(spark, table).count() == 1
 
 
 def test_geojson(spark, tmp_path):
