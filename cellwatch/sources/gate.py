@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellwatch.functions.expressions import RAW_NAMES, TIME_FORMAT
-from cellwatch.sources.activity import FILE_GLOB
+from cellwatch.sources.activity import FILE_GLOB, RAW_SCHEMA
 
 REQUIRED = list(RAW_NAMES)
 NUMERIC = REQUIRED[3:]
@@ -63,16 +63,28 @@ def check_quality(spark: SparkSession, path: str, headers: DataFrame | None = No
     return quality_of(_lines(spark, path), check_headers(spark, path) if headers is None else headers)
 
 
+def _data_rows(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """The lines after the header of files with a sound one, with their ``cells`` by column name."""
+    first = lines.groupBy("name").agg(F.min("place").alias("top"))
+    rows = lines.join(first, "name").where(F.col("place") > F.col("top")).join(headers.where("header_reason IS NULL"), "name")
+    cells = F.map_from_arrays(_fields("header"), F.slice(F.concat(_fields("value"), F.array_repeat(F.lit(""), len(REQUIRED))), 1, len(REQUIRED)))
+    return rows.withColumn("cells", cells)
+
+
+def raw_rows(lines: DataFrame, headers: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Raw activity rows of the accepted files, by the names of their own headers."""
+    accepted = verdicts.where(F.col("status") == "accepted").select("name")
+    rows = _data_rows(lines, headers).join(accepted, "name", "left_semi")
+    return rows.select(*(F.nullif(F.element_at("cells", F.lit(f.name)), F.lit("")).try_cast(f.dataType).alias(f.name) for f in RAW_SCHEMA))
+
+
 def quality_of(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """``(name, row_count, rows_to_first_error, quality_reason)`` from the data rows; the first offence of the first bad row counts.
 
     A row's checks: time format, then for each measure in order that it is a finite number and not negative; blanks are fine.
     Columns may stand in any order.
     """
-    first = lines.groupBy("name").agg(F.min("place").alias("top"))
-    rows = lines.join(first, "name").where(F.col("place") > F.col("top")).join(headers.where("header_reason IS NULL"), "name")
-    cells = F.map_from_arrays(_fields("header"), F.slice(F.concat(_fields("value"), F.array_repeat(F.lit(""), len(REQUIRED))), 1, len(REQUIRED)))
-    rows = rows.withColumn("cells", cells)
+    rows = _data_rows(lines, headers)
     cell = lambda c: F.coalesce(F.element_at("cells", F.lit(c)), F.lit(""))
     time = cell(REQUIRED[0])
     told = [F.when(F.try_to_timestamp(time, F.lit(TIME_FORMAT)).isNull(), F.concat(F.lit("invalid timestamp: "), time))]
