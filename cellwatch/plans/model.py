@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellwatch.operators import baselines as bl, clean as cl, compare as cp, evidence as ev, features as ft, quality as ql, risk as rk, signals as sg, warehouse as wh
+from cellwatch.functions.expressions import FEATURES
 from cellwatch.plans.common import WITH, hourly, plain, raw, t
 from cellwatch.plans.signals import _ANOM, _FEAT, _dim, _features, _anomalies
 
-START, MIDDLE, END = "2024-01-03", "2024-01-20", "2024-02-05"
-
-
 def _labelled(s, sf):
     return ft.next_hour_labels(_features(s, sf), hourly(s, sf)).where("data_quality_status = 'ok'")
 
 
 def _split(s, sf):
-    return rk.chrono_split(_labelled(s, sf), START, MIDDLE, END)
+    rows = _labelled(s, sf)
+    return rk.chrono_split_at(rows, rk.split_instant(rows))
 
 
 def _test(s, sf):
@@ -29,19 +28,30 @@ def _flags(s, sf):
     h = hourly(s, sf)
     last = ft.latest_per_grid(_features(s, sf))
     model = last.select("grid_id", (F.col("avg_activity") > 500).cast("int").alias("model_flag"))
-    rules = sg.within_day_alerts(h).where("timestamp >= '2024-01-29'").select("grid_id", F.lit(1).alias("rule_flag"))
+    last_day = h.agg((F.max("timestamp") - F.expr("INTERVAL 24 HOURS")).alias("since"))
+    rules = sg.within_day_alerts(h).join(F.broadcast(last_day), F.col("timestamp") > F.col("since")).select("grid_id", F.lit(1).alias("rule_flag"))  # one row
     return cp.three_way(_anomalies(s, sf), model, rules)
 
 
-def _model(s, sf):
-    train, _ = _split(s, sf)
-    train = rk.label(train, rk.target_threshold(train)).select("avg_activity", "activity_growth", "active_hours", "peak_ratio", "variability", "internet_share", "label").cache()
+def _fitted(s, sf, then):
+    """``then(model, training rows)``; the rows are kept while the model is fitted."""
+    train = _split(s, sf)[0].select(*FEATURES, "next_hour_activity").persist()
     try:
-        return rk.fit_risk_model(train)
+        rows = rk.label(train, rk.target_threshold(train))
+        return then(rk.fit_risk_model(rows), rows)
     finally:
         train.unpersist()
 
 
+def _model(s, sf):
+    return _fitted(s, sf, lambda model, _: model)
+
+
+def _gradient(s, sf):
+    """The gradient at the fitted weights; its size is that of rounding."""
+    return _fitted(s, sf, lambda model, rows: rk.loss_gradient(rows, model)).select("feature", (F.abs("gradient") < 1e-6).alias("near_zero"))
+
+
 def _scored(s, sf):
     return rk.linear_score(_features(s, sf).where("data_quality_status = 'ok'"))
 
@@ -98,16 +108,17 @@ QUERIES = {
     "signal_combinations": lambda s, sf: plain(cp.signal_combinations(_flags(s, sf))),
     "disagreement_samples": lambda s, sf: plain(cp.disagreement_samples(_flags(s, sf))),
     "quality_check": lambda s, sf: plain(_check(s, sf).drop("latest_feature")),
-    "fit_risk_model": lambda s, sf: rk.coefficients(s, _model(s, sf)),
-    "score_latest": lambda s, sf: plain(rk.score_latest(_features(s, sf), _model(s, sf), "lr-1")),
-    "score": lambda s, sf: plain(rk.score(_features(s, sf), _model(s, sf), "lr-1").select("grid_id", "feature_timestamp", "valid", "risk_score", "risk_level")),
+    "fit_risk_model": lambda s, sf: plain(rk.coefficients(s, _model(s, sf)).withColumn("coefficient", F.round("coefficient", 6))),
+    "loss_gradient": lambda s, sf: plain(_gradient(s, sf)),
+    "score_latest": lambda s, sf: plain(rk.score_latest(_features(s, sf), _model(s, sf), "lr-1").select("grid_id", "timestamp", F.round("risk_score", 6).alias("risk_score"), "risk_level", "model_version")),
+    "score": lambda s, sf: plain(rk.score(_features(s, sf), _model(s, sf), "lr-1").select("grid_id", "feature_timestamp", "valid", F.round("risk_score", 6).alias("risk_score"), "risk_level")),
     "context_sizes": lambda s, sf: ev.context_sizes(_full(s, sf), _curated(s, sf)),
 }
 
 _G = "CAST(grid_id AS BIGINT) AS grid_id"
 _F = "feature_timestamp"
 _LAB = f"{_FEAT}, l AS (SELECT f.*, b.timestamp AS label_timestamp, CAST(b.total_activity AS DOUBLE) AS nxt FROM f JOIN h b ON f.grid_id = b.grid_id AND b.timestamp = f.{_F} + INTERVAL 1 HOUR WHERE data_quality_status = 'ok')"
-_TRAIN = f"tr AS (SELECT * FROM l WHERE label_timestamp >= '{START}' AND label_timestamp < '{MIDDLE}'), te0 AS (SELECT * FROM l WHERE label_timestamp >= '{MIDDLE}' AND label_timestamp < '{END}'), th AS (SELECT quantile_cont(nxt, 0.9) AS threshold FROM tr)"
+_TRAIN = f"mi AS (SELECT to_timestamp((a + CAST(floor((b - a) * 0.6) AS BIGINT)) // 86400 * 86400) AT TIME ZONE 'UTC' AS middle FROM (SELECT CAST(epoch(min(label_timestamp)) AS BIGINT) AS a, CAST(epoch(max(label_timestamp)) AS BIGINT) AS b FROM l)), tr AS (SELECT l.* FROM l, mi WHERE label_timestamp < middle), te0 AS (SELECT l.* FROM l, mi WHERE label_timestamp >= middle), th AS (SELECT quantile_cont(nxt, 0.9) AS threshold FROM tr)"
 _SCORE = "1 / (1 + exp(-(-1.0 + " + " + ".join(f"(coalesce(CAST({f} AS DOUBLE), {m}::DOUBLE) - {m}::DOUBLE) / {s}::DOUBLE * {w}::DOUBLE" for f, (m, s, w) in rk.LINEAR.items()) + ")))"
 _TEST = f"te AS (SELECT *, CAST(nxt > threshold AS INTEGER) AS label, CAST({_SCORE} >= 0.5 AS INTEGER) AS predicted FROM te0, th)"
 _CM = """c AS (SELECT count(*) FILTER (WHERE label = 1 AND {p}) AS tp, count(*) FILTER (WHERE label = 0 AND {p}) AS fp, count(*) FILTER (WHERE label = 1 AND NOT {p}) AS fn, count(*) FILTER (WHERE label = 0 AND NOT {p}) AS tn FROM te),
@@ -117,8 +128,22 @@ _ZS = """zx AS (SELECT grid_id, timestamp, total_activity AS x, count(*) OVER w
   zy AS (SELECT *, CAST(q * n - CAST(s AS DECIMAL(18,2)) * CAST(s AS DECIMAL(18,2)) AS DOUBLE) / nullif(CAST(n * n AS DOUBLE), 0) AS va FROM zx), zz AS (SELECT grid_id, timestamp, CASE WHEN va > 0 THEN (CAST(x AS DOUBLE) - CAST(s AS DOUBLE) / n) / sqrt(va) END AS z_score FROM zy)"""
 _DAYS = """wd AS (SELECT grid_id, timestamp, CAST(total_activity AS DOUBLE) AS current, median(CAST(total_activity AS DOUBLE)) OVER (PARTITION BY grid_id, date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS baseline,
     lag(CAST(total_activity AS DOUBLE)) OVER (PARTITION BY grid_id ORDER BY timestamp) AS previous FROM h), tot AS (SELECT grid_id, CAST(sum(total_activity) AS DOUBLE) AS total FROM h GROUP BY grid_id),
-  ru AS (SELECT DISTINCT grid_id FROM wd JOIN tot USING (grid_id) WHERE total >= (SELECT quantile_cont(total, 0.1) FROM tot) AND baseline > 0 AND timestamp >= '2024-01-29' AND (current > 1.5 * baseline OR (previous > 0 AND current > 1.5 * previous) OR current < 0.5 * baseline))"""
+  ru AS (SELECT DISTINCT grid_id FROM wd JOIN tot USING (grid_id) WHERE total >= (SELECT quantile_cont(total, 0.1) FROM tot) AND baseline > 0 AND timestamp > (SELECT max(timestamp) - INTERVAL 24 HOURS FROM h) AND (current > 1.5 * baseline OR (previous > 0 AND current > 1.5 * previous) OR current < 0.5 * baseline))"""
 _FLAGS = f"{_ANOM}, {_FEAT}, {_DAYS}, la AS (SELECT grid_id, arg_max(avg_activity, {_F}) AS av FROM f GROUP BY grid_id), fl AS (SELECT a.grid_id, CAST(is_anomaly AS BIGINT) AS anomaly_flag, CAST(coalesce(av > 500, FALSE) AS BIGINT) AS model_flag, CAST(a.grid_id IN (SELECT grid_id FROM ru) AS BIGINT) AS rule_flag FROM a LEFT JOIN la USING (grid_id))"
+_M7 = ", ".join("[" + ", ".join(f"sum(s * x[{i}] * x[{j}]){' + 1.0' if i == j > 1 else ''}" for j in range(1, 8)) + f", sum(r * x[{i}]){f' + w[{i}]' if i > 1 else ''}]" for i in range(1, 8))
+_K = "CAST(k[1][1] AS INTEGER)"
+#: Newton steps from sums of gradient and Hessian, each solved by elimination.
+_NEWTON = f"""me AS (SELECT {", ".join(f"coalesce(quantile_cont(CAST({f} AS DOUBLE), 0.5), 0.0) AS {f}" for f in FEATURES)} FROM tr),
+  fi AS (SELECT {", ".join(f"coalesce(CAST(tr.{f} AS DOUBLE), me.{f}) AS {f}" for f in FEATURES)}, CAST(nxt > threshold AS DOUBLE) AS y FROM tr, me, th),
+  sc AS (SELECT {", ".join(f"avg({f}) AS m_{f}, coalesce(nullif(stddev_pop({f}), 0), 1.0) AS s_{f}" for f in FEATURES)} FROM fi),
+  xs AS MATERIALIZED (SELECT [1.0::DOUBLE, {", ".join(f"({f} - m_{f}) / s_{f}" for f in FEATURES)}] AS x, y FROM fi, sc),
+  nw(it, w) AS (SELECT 0, [0.0 FOR i IN range(7)]::DOUBLE[] UNION ALL SELECT it + 1, [w[i] - m[i][8] FOR i IN range(1, 8)] FROM (
+    SELECT it, w, list_reduce([m0, {", ".join(f"[[{k}.0]]" for k in range(1, 8))}], lambda m, k: [CASE WHEN i = k[1][1] THEN [v / m[i][i] FOR v IN m[i]] ELSE [m[i][j] - m[i][{_K}] * m[{_K}][j] / m[{_K}][{_K}] FOR j IN range(1, 9)] END FOR i IN range(1, 8)]) AS m
+    FROM (SELECT it, w, [{_M7}] AS m0 FROM (SELECT it, w, x, p - y AS r, p * (1 - p) AS s FROM (SELECT it, w, x, y, 1 / (1 + exp(-list_dot_product(w, x))) AS p FROM nw, xs WHERE it < 20)) GROUP BY it, w))),
+  we AS (SELECT w FROM nw ORDER BY it DESC LIMIT 1),
+  ri AS (SELECT f.*, 1 / (1 + exp(-list_dot_product(w, [1.0::DOUBLE, {", ".join(f"(coalesce(CAST(f.{x} AS DOUBLE), me.{x}) - m_{x}) / s_{x}" for x in FEATURES)}]))) AS s FROM f, me, sc, we)"""
+_FIT = f"{WITH.replace('WITH', 'WITH RECURSIVE', 1)}, {_LAB}, {_TRAIN}, {_NEWTON}"
+_LEVEL = "CASE WHEN s >= 0.7 THEN 'high' WHEN s >= 0.3 THEN 'medium' WHEN s IS NOT NULL THEN 'low' END"
 _BAD = ", ".join(
     [f"CASE WHEN {f} IS NULL THEN '{f} missing' END" for f in ("avg_activity", "activity_growth", "active_hours", "peak_ratio", "variability", "share")]
     + [f"CASE WHEN {f} < 0 THEN '{f} negative' END" for f in ("avg_activity", "active_hours", "peak_ratio", "variability", "share")]
@@ -134,6 +159,10 @@ ORACLES = {
     "classification_metrics": f"{WITH}, {_LAB}, {_TRAIN}, {_TEST}, {_PRED} SELECT * FROM cm",
     "evaluate": f"{WITH}, {_LAB}, {_TRAIN}, {_TEST}, {_PRED} SELECT *, tp + fn AS positives, tn + fp AS negatives, accuracy > 0.95 AS suspicious FROM cm",
     "naive_baselines": f"{WITH}, {_LAB}, {_TRAIN}, {_TEST}, {_CM.format(p='avg_activity > 500')} SELECT (SELECT avg(CAST(label = 0 AS DOUBLE)) FROM te) AS always_normal_accuracy, (SELECT round(corr(avg_activity, nxt), 9) FROM te) AS correlation, * FROM cm",
+    "fit_risk_model": f"{_FIT}, c AS (SELECT unnest({FEATURES}) AS feature, unnest(w[2:]) AS v FROM we) SELECT row_number() OVER (ORDER BY abs(v) DESC) AS rank, feature, round(v, 6) AS coefficient FROM c",
+    "loss_gradient": f"{_FIT}, g AS (SELECT unnest({['intercept', *FEATURES]}) AS feature, unnest([{', '.join(f'sum(r * x[{i}])' + (f' + any_value(w[{i}])' if i > 1 else '') for i in range(1, 8))}]) AS v FROM (SELECT x, w, 1 / (1 + exp(-list_dot_product(w, x))) - y AS r FROM xs, we)) SELECT feature, abs(v) < 1e-6 AS near_zero FROM g",
+    "score_latest": f"{_FIT} SELECT {_G}, {t(_F)} AS timestamp, round(s, 6) AS risk_score, {_LEVEL} AS risk_level, 'lr-1' AS model_version FROM ri WHERE data_quality_status = 'ok' AND {_F} = (SELECT max({_F}) FROM f)",
+    "score": f"{_FIT}, v AS (SELECT *, internet_share AS share FROM ri), x AS (SELECT *, len([b FOR b IN [{_BAD}] IF b IS NOT NULL]) = 0 AS valid FROM v) SELECT {_G}, {t(_F)} AS {_F}, valid, CASE WHEN valid THEN round(s, 6) END AS risk_score, CASE WHEN valid THEN {_LEVEL} END AS risk_level FROM x",
     "agreement": f"{WITH}, {_LAB}, {_TRAIN}, {_TEST}, {_ZS}, x AS (SELECT predicted = 1 AS a, coalesce(z_score >= 2, FALSE) AS b FROM te LEFT JOIN zz ON te.grid_id = zz.grid_id AND te.label_timestamp = zz.timestamp) SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS first_only, count(*) FILTER (WHERE b AND NOT a) AS second_only, count(*) FILTER (WHERE NOT a AND NOT b) AS neither, count(*) FILTER (WHERE a = b)::DOUBLE / count(*) AS agreement_rate FROM x",
     "align_signals": f"{WITH}, {_LAB}, {_ZS} SELECT CAST(l.grid_id AS BIGINT) AS grid_id, {t('label_timestamp')} AS label_timestamp, CAST(coalesce(z_score >= 2, FALSE) AS BIGINT) AS rule_flag FROM l LEFT JOIN zz ON l.grid_id = zz.grid_id AND l.label_timestamp = zz.timestamp",
     "three_way": f"{WITH}, {_FLAGS} SELECT {_G}, anomaly_flag, model_flag, rule_flag FROM fl",

@@ -60,9 +60,16 @@ def test_model_is_the_optimum_of_its_loss(spark, training):
     df, rows = training
     model = risk.fit_risk_model(df, c=1.0)
     x, y = _scaled(rows), np.array([r[6] for r in rows])
-    w, b = np.array(model.stages[-1].coefficients), model.stages[-1].intercept
+    w, b = np.array(model.weights), model.intercept
     p = 1 / (1 + np.exp(-(x @ w + b)))
-    assert np.abs(x.T @ (p - y) + w).max() < 1e-3 and abs((p - y).sum()) < 1e-3  # gradient of the summed loss with its penalty
+    assert np.abs(x.T @ (p - y) + w).max() < 1e-8 and abs((p - y).sum()) < 1e-8  # gradient of the summed loss with its penalty
+    assert all(abs(r.gradient) < 1e-8 for r in risk.loss_gradient(df, model).collect())
+    again = risk.fit_risk_model(df.repartition(13), c=1.0)
+    assert np.allclose(again.weights, w, atol=1e-9) and abs(again.intercept - b) < 1e-9
+    with pytest.raises(ValueError):
+        risk.fit_risk_model(df.where("label = 1"))
+    with pytest.raises(ValueError):
+        risk.fit_risk_model(df.limit(0))
     told = risk.coefficients(spark, model).collect()
     assert [r.feature for r in told] == [FEATURES[i] for i in np.argsort(-np.abs(w), kind="stable")]
     given = df.drop("label").withColumn("row", F.monotonically_increasing_id())
