@@ -1,9 +1,9 @@
 """Collocations of two and three words, counted in tiles of directly addressed pairs.
 
-Words get ids by falling frequency, so frequent pairs lie close together in the square of ids. The square is cut into tiles of
-SIDE x SIDE pairs. Tasks sort the pair codes of some millions of words at a time and send each tile's part as one row of sorted (place, count)
-arrays; a tile sums its parts by a dense ``bincount`` over direct addresses, or by sorting while they are few. Pairs that are frequent enough are then ranked in
-their turn, and (pair, word) is counted in the same way for three words.
+Words get ids by falling frequency, so frequent pairs lie close together in the square of ids. The corner of the square is cut into small tiles, which
+are dense, and the rest into large ones, which are sparse. Tasks sort the pair codes of some millions of words at a time and send each tile's part as one row of sorted
+(place, count) arrays. A dense tile sums its parts by ``bincount`` over direct addresses, a sparse one by sorting places. Pairs that are frequent enough are
+then ranked in their turn, and (pair, word) is counted in the same way for three words.
 
 A phrase's words and its parts are at least as frequent as itself, so only words and pairs with the least count take part. The HEAD_WORDS most frequent
 words and HEAD_PAIRS most frequent pairs are sent to the tasks, which bounds what is sent whatever the input. Phrases with
@@ -25,8 +25,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cellwatch.llm.scratch import Scratch
 
-#: Bits of a place in a tile's side; a tile's dense counts take 8 bytes for each of its pairs.
-SIDE_BITS = 11
+#: Bits of a place in the side of a dense tile, and of a sparse one, which is the side of all dense tiles together. A dense tile's counts take 8 bytes for each
+#: of its pairs, a sparse tile's 12 bytes for each pair that occurs.
+SIDE_BITS, FAR_BITS = 11, 13
+DENSE_TILES = 1 << 2 * (FAR_BITS - SIDE_BITS)
+#: Places of a sparse tile that are held before equal ones are joined.
+HELD_PLACES = 1 << 22
 #: Words and pairs sent to the tasks; longer words than this are beyond the head.
 HEAD_WORDS, HEAD_PAIRS, HEAD_BYTES = 1 << 19, 1 << 21, 64
 #: Bits of the bitmap of frequent words and pairs beyond the head.
@@ -150,17 +154,25 @@ def _head(name: str, sent: Broadcast) -> Head:
 
 def _code(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """A pair's tile and its place there in one number, the tile in front."""
-    mask = (1 << SIDE_BITS) - 1
-    tile = (i >> SIDE_BITS) << (31 - SIDE_BITS) | j >> SIDE_BITS
-    return tile << 2 * SIDE_BITS | (i & mask) << SIDE_BITS | j & mask
+    dense = np.maximum(i, j) < 1 << FAR_BITS
+    bits = np.where(dense, SIDE_BITS, FAR_BITS)
+    mask = (1 << bits) - 1
+    tile = np.where(dense, (i >> SIDE_BITS) << (FAR_BITS - SIDE_BITS) | j >> SIDE_BITS, DENSE_TILES + ((i >> FAR_BITS) << (31 - FAR_BITS) | j >> FAR_BITS))
+    return tile << 2 * FAR_BITS | (i & mask) << bits | j & mask
+
+
+def _pairs_of(tile: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_code`` has put together."""
+    bits, per_row, own = (SIDE_BITS, FAR_BITS - SIDE_BITS, tile) if tile < DENSE_TILES else (FAR_BITS, 31 - FAR_BITS, tile - DENSE_TILES)
+    return (own >> per_row) << bits | place >> bits, (own & ((1 << per_row) - 1)) << bits | place & ((1 << bits) - 1)
 
 
 _PARTS = "tile bigint, neighbours int, places binary, counts binary, lang string, phrase string, n bigint"
 
 
 def _tile_rows(codes: np.ndarray, counts: np.ndarray, group: int) -> Iterator[tuple]:
-    tiles = codes >> 2 * SIDE_BITS
-    places = (codes & ((1 << 2 * SIDE_BITS) - 1)).astype("<i4")
+    tiles = codes >> 2 * FAR_BITS
+    places = (codes & ((1 << 2 * FAR_BITS) - 1)).astype("<i4")
     cuts = np.flatnonzero(np.diff(tiles, prepend=-1)) if len(tiles) else []
     for lo, hi in zip(cuts, [*cuts[1:], len(tiles)]):
         yield int(tiles[lo]), group, places[lo:hi].tobytes(), counts[lo:hi].astype("<i8").tobytes(), None, None, None
@@ -241,16 +253,20 @@ def _summed(places: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 
 
 def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Of parts sorted by tile: each tile's places and sums. Holds one tile, and no more than half a tile of places besides."""
+    """Of parts sorted by tile: each tile's places and sums. Holds one tile, and as many places again that are not yet added."""
     area = 1 << 2 * SIDE_BITS
     tile = group = None
     places: list[np.ndarray] = []
     counts: list[np.ndarray] = []
     dense = None
-    n_held = 0
+    n_held, room = 0, 0
 
     def add() -> None:
-        nonlocal dense, n_held
+        nonlocal dense, n_held, room
+        if tile >= DENSE_TILES:
+            place, n = _summed(places, counts)
+            places[:], counts[:], n_held, room = [place], [n], len(place), max(HELD_PLACES, 2 * len(place))
+            return
         # sums stay below 2 ** 53, so doubles are exact
         more = np.bincount(np.concatenate(places), np.concatenate(counts), area).astype(np.int64)
         dense = more if dense is None else dense + more
@@ -271,12 +287,12 @@ def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np
             if own != tile:
                 if tile is not None:
                     yield ended()
-                tile, group, dense, n_held = own, near, None, 0
+                tile, group, dense, n_held, room = own, near, None, 0, area >> 3 if own < DENSE_TILES else HELD_PLACES
                 places, counts = [], []
             places.append(np.frombuffer(place, "<i4"))
             counts.append(np.frombuffer(n, "<i8"))
             n_held += len(places[-1])
-            if n_held > area >> 3:
+            if n_held > room:
                 add()
     if tile is not None:
         yield ended()
@@ -285,14 +301,12 @@ def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np
 def _frequent(parts: DataFrame, least: int) -> DataFrame:
     """``(i, j, a)`` of the pairs with the least count."""
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(row for tile, group, place, n in _tile_sums(batches) for row in _tile_rows((np.int64(tile) << 2 * SIDE_BITS) | place.astype(np.int64), n, group))
+        return _batches(row for tile, group, place, n in _tile_sums(batches) for row in _tile_rows((np.int64(tile) << 2 * FAR_BITS) | place.astype(np.int64), n, group))
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = (1 << SIDE_BITS) - 1
         for tile, _, place, n in _tile_sums(batches):
-            place, n = place[n >= least].astype(np.int64), n[n >= least]
-            i = (tile >> (31 - SIDE_BITS)) << SIDE_BITS | place >> SIDE_BITS
-            j = (tile & ((1 << (31 - SIDE_BITS)) - 1)) << SIDE_BITS | place & mask
+            i, j = _pairs_of(tile, place[n >= least].astype(np.int64))
+            n = n[n >= least]
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(n, pa.int64())], ["i", "j", "a"])
 
     near = parts.repartition("tile", "neighbours").sortWithinPartitions("neighbours", "tile")
