@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from cellwatch.functions.expressions import FEATURES, WINDOW_HOURS, mean, pop_variance, ratio, square
@@ -108,5 +110,23 @@ def leakage_violations(fact: DataFrame, frame: WindowSpec | None = None, hours:
     )
 
 
+def leakage_by_change(fact: DataFrame, build: Callable[[DataFrame], DataFrame], instant, time: str = "feature_timestamp") -> DataFrame:
+    """One row ``(rows, changed)``: feature rows up to an instant, and how many of them differ once all later activity is changed.
+
+    It asks nothing of how ``build(fact)`` makes its features, so it finds windows, joins or totals over data that a row couldn't know yet.
+    """
+    at = F.lit(instant).cast("timestamp")
+    later = {c: F.when(F.col("timestamp") > at, F.coalesce(F.col(c), F.lit(0)) * 3 + 17).otherwise(F.col(c)).cast(fact.schema[c].dataType) for c in ("total_activity", "internet_activity")}
+    keys = ["grid_id", time]
+
+    def seen(df: DataFrame) -> DataFrame:
+        own = build(df)
+        rest = [c for c in own.columns if c not in keys]
+        return own.where(F.col(time) <= at).select(*keys, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("told"))
+
+    a, b = seen(fact), seen(fact.withColumns(later)).withColumnRenamed("told", "then")
+    return a.join(b, keys, "full").agg(F.count("*").alias("rows"), F.count_if(~F.col("told").eqNullSafe(F.col("then"))).alias("changed"))
+
+
 def feature_array() -> Column:
     return F.array(*(F.col(f).cast("double") for f in FEATURES))

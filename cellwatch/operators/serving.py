@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cellwatch.functions.expressions import WINDOW_HOURS
 from cellwatch.operators.baselines import Instant, as_of_row, at_as_of
 from cellwatch.operators.profile import busiest
+from cellwatch.operators.segments import expanding_sums
 
 
 def network_summary(fact: DataFrame, as_of: Instant = None) -> DataFrame:
@@ -23,6 +24,33 @@ def network_summary(fact: DataFrame, as_of: Instant = None) -> DataFrame:
     return total.crossJoin(hour).crossJoin(grid)  # one row each
 
 
+def network_history(fact: DataFrame) -> DataFrame:
+    """``network_summary`` for every hour of the data at once, ``(as_of, total_activity, active_grids, peak_hour, peak_hour_activity, top_grid, top_grid_activity)``.
+
+    Activity is never negative, so a cell's sums only grow, and the busiest cell is the running maximum of all cells' sums; a cell counts as active
+    from its first activity on; hours of the day are summed by date. Windows that see all dates or hours hold one row for each.
+    """
+    x = F.col("total_activity")
+    rows = fact.select("grid_id", "timestamp", "total_activity")
+    sums = expanding_sums(rows, {"before": F.coalesce(x, F.lit(0).cast(rows.schema["total_activity"].dataType))}).withColumn("sum", F.col("before") + x)
+    hours = sums.groupBy("timestamp").agg(F.sum(x).alias("x"), F.max(F.struct("sum", (-F.col("grid_id")).alias("g"))).alias("top"))
+    first = rows.where(x > 0).groupBy("grid_id").agg(F.min("timestamp").alias("timestamp")).groupBy("timestamp").agg(F.count("*").alias("new"))
+    upto = Window.orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
+    hours = hours.join(first, "timestamp", "left").select(
+        "timestamp", F.sum("x").over(upto).alias("total_activity"), F.coalesce(F.sum("new").over(upto), F.lit(0)).alias("active_grids"), F.max("top").over(upto).alias("top")
+    )
+    hour = F.hour("timestamp")
+    days = rows.groupBy(F.to_date("timestamp").alias("date")).agg(*(F.sum(F.when(hour == h, x)).alias(f"h{h}") for h in range(24)))
+    earlier = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("date", F.array(*(F.col(f"h{h}") for h in range(24))).alias("own"), F.array(*(F.sum(f"h{h}").over(earlier) for h in range(24))).alias("past"))
+    at = hours.withColumn("date", F.to_date("timestamp")).join(days, "date")
+    each = F.expr("transform(past, (p, h) -> struct(CASE WHEN h <= hour(timestamp) AND own[h] IS NOT NULL THEN coalesce(p, 0) + own[h] ELSE p END AS s, -h AS h))")
+    at = at.withColumn("peak", F.array_max(F.filter(each, lambda e: e["s"].isNotNull())))
+    return at.select(
+        F.col("timestamp").alias("as_of"), "total_activity", "active_grids", (-F.col("peak.h")).alias("peak_hour"), F.col("peak.s").alias("peak_hour_activity"), (-F.col("top.g")).alias("top_grid"), F.col("top.sum").alias("top_grid_activity")
+    )
+
+
 def grid_activity(fact: DataFrame, grid_id: int, date: str | None = None, hour: int | None = None, as_of: Instant = None) -> DataFrame:
     """A cell's series up to as_of: of a date, of an hour of the day, of both, or of the last 24 hours."""
     rows = fact.where(F.col("grid_id") == grid_id)

@@ -47,9 +47,10 @@ def severity(z: Column) -> Column:
     return F.when(z >= SEVERITY_HIGH, "high").when(z >= SEVERITY_MEDIUM, "medium")
 
 
-def all_alerts(fact: DataFrame, as_of: Instant = None) -> DataFrame:
-    """Cells at as_of whose z-score against all their earlier hours is medium or high."""
-    scored = score_join(snapshot(fact, as_of).select("grid_id", "timestamp", "total_activity"), baselines(fact, as_of), min_samples=1)
+def all_alerts(fact: DataFrame, as_of: Instant = None, base: DataFrame | None = None) -> DataFrame:
+    """Cells at as_of whose z-score against all their earlier hours is medium or high; ``base`` may bring the baselines, as from stored sums."""
+    base = baselines(fact, as_of) if base is None else base
+    scored = score_join(snapshot(fact, as_of).select("grid_id", "timestamp", "total_activity"), base, min_samples=1)
     out = scored.withColumn("severity", severity(F.col("z_score"))).where("severity IS NOT NULL")
     told = F.format_string("Activity %.1f is %.1f standard deviations above the earlier mean of %.1f", "current", "z_score", "baseline")
     return out.select("grid_id", "timestamp", "current", "baseline", "std", "n", "z_score", "severity", told.alias("reason"))
@@ -63,9 +64,9 @@ def alerts(fact: DataFrame, as_of: Instant = None, n: int = 20, severity: str |
     return attach_risk(found.orderBy(F.desc("z_score"), "grid_id").limit(_limit(n)), risk)
 
 
-def anomaly_scores(fact: DataFrame, as_of: Instant = None) -> DataFrame:
-    """Every cell at as_of against the same hour of its earlier days. The direction is the score's sign, whether or not the score is an anomaly."""
-    base = baselines(fact, as_of, "hour_of_day")
+def anomaly_scores(fact: DataFrame, as_of: Instant = None, base: DataFrame | None = None) -> DataFrame:
+    """Every cell at as_of against the same hour of its earlier days; ``base`` may bring these baselines. The direction is the score's sign, whether or not the score is an anomaly."""
+    base = baselines(fact, as_of, "hour_of_day") if base is None else base
     out = score_join(snapshot(fact, as_of).select("grid_id", "timestamp", "total_activity"), base, min_samples=ANOMALY_MIN_SAMPLES)
     z = F.col("z_score")
     odd = F.abs(z) >= ANOMALY_Z

@@ -5,11 +5,11 @@ Each works in a new folder under ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from cellwatch.operators import signals as sg
+from cellwatch.operators import features as ft, incremental as inc, serving as sv, signals as sg
 from cellwatch.plans.common import WITH, cleaned, d, hourly, plain, t
-from cellwatch.plans.signals import AT, _ANOM
+from cellwatch.plans.signals import AT, ORACLES as SIGNALS, _ANOM
 from cellwatch.plans.stored import _KIND, _lines
 from cellwatch.sources import activity
 from cellwatch.sources.content import content_differences
@@ -50,6 +50,33 @@ def _layers(s, sf):
     return [x.select(F.lit(n).alias("layer"), "written_rows", "read_rows", F.array_join("changed", ",").alias("changed"), "same_schema", "sound") for n, x in zip(("clean", "hourly", "damaged"), told)]
 
 
+def _incremental(s, sf):
+    """The fact and its stored sums: first the early days with wrong totals, then the rest and the late corrections."""
+    path, h = work_folder(s, "sums"), hourly(s, sf)
+    wrong = (F.col("total_activity") + F.when(F.col("hour") % 5 == 0, 3).otherwise(0)).cast(h.schema["total_activity"].dataType)
+    activity.publish(f"{path}/fact", h.where("date < '2024-01-20'").withColumn("total_activity", wrong))
+    inc.update_statistics(s, f"{path}/sums", read_table(s, f"{path}/fact"))
+    for changed in (h.where("date >= '2024-01-20'"), h.where("date < '2024-01-20' AND hour % 5 = 0")):
+        activity.publish(f"{path}/fact", changed)
+        inc.update_statistics(s, f"{path}/sums", read_table(s, f"{path}/fact"), changed)
+    return read_table(s, f"{path}/sums"), read_table(s, f"{path}/fact")
+
+
+def _scores_from_sums(s, sf):
+    sums, fact = _incremental(s, sf)
+    return sg.anomaly_scores(fact, AT, inc.baselines_from(sums, fact, AT, "hour_of_day")).drop("reason")
+
+
+def _leaks(s, sf):
+    """The sound features, and two that look ahead: by an hour, and at the cell's whole history."""
+    h = hourly(s, sf).select("grid_id", "timestamp", "total_activity", "internet_activity")
+    ahead = Window.partitionBy("grid_id").orderBy(F.unix_timestamp("timestamp")).rangeBetween(-82800, 3600)
+    timed = lambda df, w: df.select("grid_id", F.col("timestamp").alias("feature_timestamp"), F.sum("total_activity").over(w).alias("x"))
+    builds = {"sound": ft.build_features, "next hour": lambda df: timed(df, ahead), "whole history": lambda df: timed(df, Window.partitionBy("grid_id"))}
+    told = [ft.leakage_by_change(h, build, AT).select(F.lit(name).alias("features"), "rows", "changed") for name, build in builds.items()]
+    return _union(told)
+
+
 def _differences(s, sf):
     """Days of two facts of which the second lacks a cell on one day and has a day less."""
     h = hourly(s, sf).select("grid_id", "timestamp", "total_activity", "date")
@@ -83,6 +110,10 @@ QUERIES = {
     "replace_snapshot": lambda s, sf: plain(_snapshots(s, sf)),
     "verify_roundtrip": lambda s, sf: plain(_union(_layers(s, sf))),
     "content_differences": lambda s, sf: plain(_differences(s, sf)),
+    "baselines_from_sums": lambda s, sf: plain((lambda sums, fact: inc.baselines_from(sums, fact))(*_incremental(s, sf))),
+    "anomaly_scores_from_sums": lambda s, sf: plain(_scores_from_sums(s, sf)),
+    "network_history": lambda s, sf: plain(sv.network_history(hourly(s, sf))),
+    "leakage_by_change": lambda s, sf: plain(_leaks(s, sf)),
     "gated_stream": lambda s, sf: _streamed(s, sf),
 }
 
@@ -101,6 +132,17 @@ ORACLES = {
         UNION ALL SELECT 'hourly', count(*), count(*), '', TRUE, TRUE FROM h
         UNION ALL SELECT 'damaged', count(*), count(*), CASE WHEN (SELECT there FROM hit) THEN '2024-01-05' ELSE '' END, TRUE, NOT (SELECT there FROM hit) FROM h""",
     "content_differences": f"{WITH}, x AS (SELECT date, count(*) AS rows_a, count(*) FILTER (WHERE NOT (grid_id = 1 AND date = '2024-01-07') AND date <> '2024-01-09') AS rows_b FROM h GROUP BY date) SELECT date, rows_a, rows_b, rows_a = rows_b AS same FROM x",
+    "baselines_from_sums": SIGNALS["baselines"],
+    "anomaly_scores_from_sums": SIGNALS["anomaly_scores"],
+    "network_history": f"""{WITH}, ts AS (SELECT DISTINCT timestamp AS as_of FROM h), u AS (SELECT as_of, h.* FROM ts JOIN h ON h.timestamp <= ts.as_of),
+        a AS (SELECT as_of, sum(total_activity) AS s, count(DISTINCT CASE WHEN total_activity > 0 THEN grid_id END) AS n FROM u GROUP BY as_of),
+        p AS (SELECT as_of, hour, sum(total_activity) AS s FROM u GROUP BY as_of, hour QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY sum(total_activity) DESC, hour) = 1),
+        g AS (SELECT as_of, grid_id, sum(total_activity) AS s FROM u GROUP BY as_of, grid_id QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY sum(total_activity) DESC, grid_id) = 1)
+        SELECT {t('a.as_of')} AS as_of, CAST(a.s AS DOUBLE) AS total_activity, a.n AS active_grids, p.hour AS peak_hour, CAST(p.s AS DOUBLE) AS peak_hour_activity, CAST(g.grid_id AS BIGINT) AS top_grid, CAST(g.s AS DOUBLE) AS top_grid_activity FROM a JOIN p USING (as_of) JOIN g USING (as_of)""",
+    "leakage_by_change": f"""{WITH}, x AS (SELECT grid_id, timestamp AS ts, timestamp <= TIMESTAMP '{AT}' AS early FROM h), e AS (SELECT * FROM x WHERE early), l AS (SELECT * FROM x WHERE NOT early)
+        SELECT 'sound' AS features, count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM e
+        UNION ALL SELECT 'next hour', count(*), count(*) FILTER (WHERE EXISTS (SELECT 1 FROM l WHERE l.grid_id = e.grid_id AND l.ts <= e.ts + INTERVAL 1 HOUR)) FROM e
+        UNION ALL SELECT 'whole history', count(*), count(*) FILTER (WHERE grid_id IN (SELECT grid_id FROM l)) FROM e""",
     "gated_stream": f"""WITH e AS (SELECT *, day(ts) % 6 AS c, strftime(ts, '%Y-%m-%d') AS date FROM events),
         v AS (SELECT date, count(*) FILTER (WHERE {_BAD}) = 0 AS ok, count(DISTINCT user_id * 100 + hour(ts)) AS cell_hours, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 4) AS total FROM e GROUP BY date)
         SELECT 'sms-call-internet-mi-' || date || '.csv' AS name, CAST(ok AS BIGINT) AS accepted, CASE WHEN ok THEN 0 ELSE 2 END AS rejected, CAST(ok AS BIGINT) AS skipped, CASE WHEN ok THEN cell_hours ELSE 0 END AS cell_hours, CASE WHEN ok THEN total ELSE 0.0 END AS total_activity FROM v""",
