@@ -13,7 +13,7 @@ from cellwatch.plans.signals import AT, ORACLES as SIGNALS, _ANOM
 from cellwatch.plans.stored import _KIND, _lines
 from cellwatch.sources import activity
 from cellwatch.sources.content import content_differences
-from cellwatch.sources.versions import read_table, work_folder
+from cellwatch.sources.versions import VersionedTable, read_table, work_folder
 from cellwatch.streaming.gated import publish_gated_stream, read_lines_stream
 
 
@@ -77,6 +77,15 @@ def _leaks(s, sf):
     return _union(told)
 
 
+def _compacted(s, sf):
+    """A fact of many small files, compacted; rows, files and whether they keep to the target, by date."""
+    table = VersionedTable(s, work_folder(s, "compact"), ("date",))
+    table.commit(hourly(s, sf).select(*activity.HOURLY_COLUMNS).repartition(6))
+    table.compact(1 << 20)
+    files = table.layout().select(F.regexp_extract("part", "date=(.*)", 1).alias("date"), "files", (F.col("bytes") <= F.col("files") * (1 << 20)).alias("within_target"))
+    return table.read().groupBy("date").agg(F.count("*").alias("rows"), F.countDistinct("grid_id", "timestamp").alias("distinct_rows")).join(files, "date")
+
+
 def _differences(s, sf):
     """Days of two facts of which the second lacks a cell on one day and has a day less."""
     h = hourly(s, sf).select("grid_id", "timestamp", "total_activity", "date")
@@ -113,6 +122,7 @@ QUERIES = {
     "baselines_from_sums": lambda s, sf: plain((lambda sums, fact: inc.baselines_from(sums, fact))(*_incremental(s, sf))),
     "anomaly_scores_from_sums": lambda s, sf: plain(_scores_from_sums(s, sf)),
     "network_history": lambda s, sf: plain(sv.network_history(hourly(s, sf))),
+    "compact": lambda s, sf: plain(_compacted(s, sf)),
     "leakage_by_change": lambda s, sf: plain(_leaks(s, sf)),
     "gated_stream": lambda s, sf: _streamed(s, sf),
 }
@@ -139,6 +149,7 @@ ORACLES = {
         p AS (SELECT as_of, hour, sum(total_activity) AS s FROM u GROUP BY as_of, hour QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY sum(total_activity) DESC, hour) = 1),
         g AS (SELECT as_of, grid_id, sum(total_activity) AS s FROM u GROUP BY as_of, grid_id QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY sum(total_activity) DESC, grid_id) = 1)
         SELECT {t('a.as_of')} AS as_of, CAST(a.s AS DOUBLE) AS total_activity, a.n AS active_grids, p.hour AS peak_hour, CAST(p.s AS DOUBLE) AS peak_hour_activity, CAST(g.grid_id AS BIGINT) AS top_grid, CAST(g.s AS DOUBLE) AS top_grid_activity FROM a JOIN p USING (as_of) JOIN g USING (as_of)""",
+    "compact": f"{WITH} SELECT date, count(*) AS rows, count(*) AS distinct_rows, CAST(1 AS BIGINT) AS files, TRUE AS within_target FROM h GROUP BY date",
     "leakage_by_change": f"""{WITH}, x AS (SELECT grid_id, timestamp AS ts, timestamp <= TIMESTAMP '{AT}' AS early FROM h), e AS (SELECT * FROM x WHERE early), l AS (SELECT * FROM x WHERE NOT early)
         SELECT 'sound' AS features, count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM e
         UNION ALL SELECT 'next hour', count(*), count(*) FILTER (WHERE EXISTS (SELECT 1 FROM l WHERE l.grid_id = e.grid_id AND l.ts <= e.ts + INTERVAL 1 HOUR)) FROM e

@@ -6,12 +6,11 @@ ordered by their split's offset and their place in it; quoted line breaks and bl
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellwatch.functions.expressions import RAW_NAMES, TIME_FORMAT
 from cellwatch.sources.activity import FILE_GLOB, RAW_SCHEMA
+from cellwatch.sources.versions import VersionedTable
 
 REQUIRED = list(RAW_NAMES)
 NUMERIC = REQUIRED[3:]
@@ -151,13 +150,33 @@ def route(verdicts: DataFrame, accepted: str, rejected: str) -> None:
             source, path = fs.FileSystem.from_uri(r["path"])
             store, zone = fs.FileSystem.from_uri(accepted if r["status"] == "accepted" else rejected)
             store.create_dir(zone, recursive=True)
-            aside = f"{zone}/.{r['name']}.{uuid.uuid4().hex}"
+            aside = f"{zone}/.{r['name']}.part"  # the same in each attempt, so none is left behind
             fs.copy_files(path, aside, source_filesystem=source, destination_filesystem=store)
             store.move(aside, f"{zone}/{r['name']}")
 
     verdicts.where(F.col("status") != "skipped_duplicate").select("name", "path", "status").foreachPartition(copy)
 
 
+def route_once(verdicts: DataFrame, accepted: str, rejected: str, manifest: str, run: str) -> DataFrame:
+    """``route``, with a committed record ``(name, path, status, run)`` of each file; files that it names with the same path and status are not copied again.
+
+    The record is written after the copies. If the job ends in between, or in the middle of the copies, the next one copies the same files
+    to the same names again, so each is there once. Returns the records of all runs.
+    """
+    spark = verdicts.sparkSession
+    table = VersionedTable(spark, manifest, ("run",))
+    due = verdicts.where(F.col("status") != "skipped_duplicate").select("name", "path", "status")
+    if table.manifest() is not None:
+        due = due.join(table.read().select("name", "path", "status"), ["name", "path", "status"], "left_anti")
+    due = due.persist()
+    try:
+        route(due, accepted, rejected)
+        table.commit(due.withColumn("run", F.lit(run)), keep_others=True)
+    finally:
+        due.unpersist()
+    return table.read()
+
+
 def missing_dates(files: DataFrame, first: str, last: str) -> DataFrame:
     """Days of a range for which no file name has the date."""
     days = files.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date"))

@@ -78,12 +78,17 @@ class VersionedTable:
         told = self.manifest(version)
         if told is None:
             raise FileNotFoundError(f"no version of {self.path}")
-        schema = T.StructType.fromJson(told["schema"])
-        if not told["parts"]:
-            return self.spark.createDataFrame([], schema)
-        full = T.StructType([*schema.fields, T.StructField(_COLUMN, T.StringType())])
-        folders = [f"{self.path}/data/{'/'.join(filter(None, (part, f'{_COLUMN}={own}')))}" for part, own in told["parts"].items()]
-        return self.spark.read.schema(full).option("basePath", f"{self.path}/data").parquet(*folders).select(*schema.names)
+        return self._rows(told["schema"], told["parts"])
+
+    def _folder(self, part: str, own: str) -> str:
+        return f"{self.path}/data/{'/'.join(filter(None, (part, f'{_COLUMN}={own}')))}"
+
+    def _rows(self, schema: dict, parts: dict[str, str]) -> DataFrame:
+        kind = T.StructType.fromJson(schema)
+        if not parts:
+            return self.spark.createDataFrame([], kind)
+        full = T.StructType([*kind.fields, T.StructField(_COLUMN, T.StringType())])
+        return self.spark.read.schema(full).option("basePath", f"{self.path}/data").parquet(*(self._folder(*x) for x in parts.items())).select(*kind.names)
 
     def write(self, df: DataFrame) -> dict[str, str]:
         """The rows in new folders, by partition; no reader sees them before a commit."""
@@ -123,6 +128,38 @@ class VersionedTable:
         self._claim(version, {"version": version, "schema": json.loads(df.schema.json()), "parts": parts})
         return version
 
+    def layout(self) -> DataFrame:
+        """``(part, files, bytes)`` of the last version's partitions, from the files' listing; contents are not read."""
+        told = self.manifest()
+        if told is None:
+            raise FileNotFoundError(f"no version of {self.path}")
+        schema = "part string, files bigint, bytes bigint"
+        if not told["parts"]:
+            return self.spark.createDataFrame([], schema)
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load([self._folder(*x) for x in told["parts"].items()]).select("path", "length")
+        part = F.regexp_extract("path", rf"/data/(.*?)/?{_COLUMN}=[0-9a-f]+/", 1)
+        return files.groupBy(part.alias("part")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+    def compact(self, target_bytes: int = 128 << 20) -> int | None:
+        """Rewrite the partitions that have more files than their bytes need, as files of about the target size; the new version, or null if there was nothing to do.
+
+        Rows stay the same. A partition's rows are dealt by their hash to as many shares as it needs files, so no task holds a large partition.
+        """
+        need = F.greatest(F.ceil(F.col("bytes") / target_bytes), F.lit(1)).cast("int")
+        crowded = self.layout().withColumn("need", need).where("files > need").select("part", "need").collect()  # a row for each partition, as in the manifest
+        if not crowded:
+            return None
+        last = self.manifest()
+        needs = {r.part: r.need for r in crowded}
+        rows = self._rows(last["schema"], {p: last["parts"][p] for p in needs})
+        at = F.concat_ws("/", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for c in self.by)) if self.by else F.lit("")
+        shares = self.spark.createDataFrame(list(needs.items()), "_part string, _need int")
+        slot = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_need", F.lit(1)))
+        dealt = rows.withColumn("_part", at).join(F.broadcast(shares), "_part", "left").withColumn("_slot", slot)
+        parts = last["parts"] | self.write(dealt.repartition(sum(needs.values()), "_part", "_slot").select(*rows.columns))
+        self._claim(last["version"] + 1, {"version": last["version"] + 1, "schema": last["schema"], "parts": parts})
+        return last["version"] + 1
+
     def vacuum(self, keep: int = 2) -> int:
         """Delete versions but the last ``keep``, and all folders that these don't name; run it while no commit is under way."""
         found = self.versions()

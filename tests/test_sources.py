@@ -123,3 +123,19 @@ def test_stream_equals_batch(spark, tmp_path):
     closed = {r.timestamp: r.total_activity for r in spark.table("hours").collect()}
     batch = {r.timestamp: r.total_activity for r in hourly_grid_summary(clean(activity.read_activity(spark, str(source)).drop(activity.CORRUPT))).collect()}
     assert len(closed) >= 20 and all(batch[t] == x for t, x in closed.items())
+
+
+def test_routing_after_a_failure_leaves_one_copy_of_each_file(spark, landing, tmp_path):
+    zones = str(tmp_path / "yes"), str(tmp_path / "no"), str(tmp_path / "manifest")
+    verdicts = gate.gate(spark, str(landing)).where("name < '" + name(7) + "'").coalesce(1).orderBy("name").cache()
+    lost = verdicts.withColumn("path", F.when(F.col("name") == name(4), F.concat("path", F.lit("-lost"))).otherwise(F.col("path")))
+    with pytest.raises(Exception, match="lost"):
+        gate.route_once(lost, *zones, "run-1")
+    told = gate.route_once(verdicts, *zones, "run-2")
+    assert sorted((r.name, r.run) for r in told.collect()) == [(name(d), "run-2") for d in range(1, 7)]
+    files = lambda z: sorted(f for f in os.listdir(z) if not f.endswith(".crc"))
+    assert files(zones[0]) == [name(1)] and files(zones[1]) == [name(d) for d in range(2, 7)]
+    (tmp_path / "yes" / name(1)).write_text("touched")
+    again = gate.route_once(gate.gate(spark, str(landing)), *zones, "run-3")
+    assert (tmp_path / "yes" / name(1)).read_text() == "touched"  # it was not copied again
+    assert sorted(r.name for r in again.where("run = 'run-3'").collect()) == [name(d) for d in (7, 8, 9)] and len(files(zones[1])) == 8

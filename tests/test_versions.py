@@ -94,3 +94,20 @@ def test_digests_count_repeated_rows_and_tell_nulls_apart(spark):
     assert content_digest(rows(("d", 1, 1)).limit(0)).count() == 0
     with pytest.raises(ValueError):
         content_differences(rows(("d", 1, 1)), rows(("d", 1, 1)).drop("b"))
+
+
+def test_compaction_keeps_rows_and_meets_the_target(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), ("date",))
+    df = fact(spark, 3, 0.0).unionByName(fact(spark, 1, 0.0).withColumn("date", F.lit(None).cast("string")))
+    table.commit(df.repartition(6))
+    before = {r.part: r.files for r in table.layout().collect()}
+    assert len(before) == 4 and max(before.values()) > 1
+    rows = sorted(map(str, table.read().collect()))
+    assert table.compact() == 2 and table.compact() is None
+    assert {r.files for r in table.layout().collect()} == {1} and sorted(map(str, table.read().collect())) == rows
+    one = VersionedTable(spark, str(tmp_path / "u"))
+    one.commit(spark.range(20000).repartition(9))
+    size = one.layout().first().bytes
+    assert one.compact(size // 3) == 2
+    got = one.layout().first()
+    assert 2 <= got.files <= 4 and one.read().count() == 20000 and one.read().agg(F.countDistinct("id")).first()[0] == 20000
