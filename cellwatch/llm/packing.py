@@ -34,7 +34,7 @@ ROUNDS, SEEDS, STEP, RATE = 300, 256, 0.5, 0.1
 #: Long pieces are worth more for their size by up to this much, so that short ones are left to fill the last spaces.
 LONG_FIRST = 0.1
 #: Pre-tokens that a worker keeps for sure (up to twice as many in all), and the longest that it keeps.
-CACHE, CACHE_CHARS = 200_000, 48
+CACHE, CACHE_CHARS = 400_000, 48
 #: Documents whose ids are held at once.
 SLICE = 128
 
@@ -48,31 +48,40 @@ def _byte_signs() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(odd)}
 
 
+class _Known(dict):
+    """Packed ids by pre-token; one that is missing comes from the generation before, or from the tokenizer."""
+
+    def __init__(self, tokenize, signs: dict[int, int], older: dict[str, bytes]) -> None:
+        self.tokenize, self.signs, self.older = tokenize, signs, older
+
+    def __missing__(self, token: str) -> bytes:
+        ids = self.older.get(token)
+        if ids is None:
+            ids = np.array([x.id for x in self.tokenize(token.encode().decode("latin-1").translate(self.signs))], "<u4").tobytes()
+        if len(token) <= CACHE_CHARS:
+            self[token] = ids
+        return ids
+
+
 class Ids:
-    """Ids of whole texts by a byte-level tokenizer file, with each distinct pre-token encoded once."""
+    """Ids of whole texts by a byte-level tokenizer file; pre-tokens that a worker has seen lately are not encoded again."""
 
     def __init__(self, path: str, pattern: str) -> None:
         tokenizer = Tokenizer.from_file(path)
         if type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.normalizer is not None:
             raise ValueError("a byte-level tokenizer without normalizer is needed")
-        self.model, self.split, self.signs = tokenizer.model, regex.compile(pattern).findall, _byte_signs()
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tokenizer, self.split, self.signs = tokenizer, regex.compile(pattern).findall, _byte_signs()
+        self.known = _Known(tokenizer.model.tokenize, self.signs, {})
+
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        if len(self.known) >= CACHE:
+            self.known.older.clear()
+            self.known = _Known(self.known.tokenize, self.signs, self.known)
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> np.ndarray:
-        found = self.split(text)
-        known: dict[str, bytes] = {}
-        for token in set(found):
-            ids = self.kept.get(token) or self.older.get(token)
-            if ids is None:
-                written = token.encode().decode("latin-1").translate(self.signs)
-                ids = np.array([x.id for x in self.model.tokenize(written)], "<u4").tobytes()
-            if len(token) <= CACHE_CHARS:
-                self.kept[token] = ids
-            known[token] = ids
-        if len(self.kept) >= CACHE:
-            self.kept, self.older = {}, self.kept
-        return np.frombuffer(b"".join(map(known.__getitem__, found)), "<u4")
+        return np.frombuffer(self.packed(text), "<u4")
 
 
 _coders: dict[tuple[str, str], Ids] = {}
@@ -84,13 +93,14 @@ def _coder(name: str, pattern: str) -> Ids:
     return _coders[name, pattern]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32, ids binary, part, at)``: each whole text's ids and END_ID, cut where they exceed the capacity.
+def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int, with_ids: bool = False) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32, part, at)``, ``with_ids`` also ``ids binary``: each whole text's ids and END_ID, cut where they exceed the capacity.
 
     All pieces but the first have the whole capacity. ``ids`` are little-endian unsigned 32-bit numbers. ``at`` numbers the pieces of one length within the
     partition ``part``. A null or empty text is END_ID alone; repeated rows and null ids are rows like others; other columns are ignored.
     """
     name = _added(docs.sparkSession, tokenizer_path)
+    end = np.uint32(END_ID).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen, part = _coder(name, pattern), Counter(), TaskContext.get().partitionId()
@@ -99,27 +109,26 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: i
                 rows = batch.slice(lo, SLICE)
                 source, piece, start, length, check, out, at = [], [], [], [], [], [], []
                 for row, text in enumerate(rows.column("text").to_pylist()):
-                    ids = np.append(coder.encode(text or ""), np.uint32(END_ID)).astype("<u4")
-                    first = (len(ids) - 1) % capacity + 1
-                    for k, stop in enumerate(range(first, len(ids) + 1, capacity)):
+                    ids = coder.packed(text or "") + end
+                    n = len(ids) // 4
+                    for k, stop in enumerate(range((n - 1) % capacity + 1, n + 1, capacity)):
                         begin = 0 if k == 0 else stop - capacity
-                        packed = ids[begin:stop].tobytes()
+                        packed = ids[4 * begin : 4 * stop]
                         source.append(row)
                         piece.append(k)
                         start.append(begin)
                         length.append(stop - begin)
                         check.append(zlib.crc32(packed))
-                        out.append(packed)
+                        if with_ids:
+                            out.append(packed)
                         at.append(seen[stop - begin])
                         seen[stop - begin] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id").take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, check)),
-                     pa.array(out, pa.binary()), pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "at"],
-                )
+                columns = [rows.column("doc_id").take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, check))]
+                columns += [pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64())] + [pa.array(out, pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "at"] + ["ids"] * with_ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, part int, at bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, at bigint" + ", ids binary" * with_ids)
 
 
 # --- the program
@@ -278,14 +287,14 @@ def packed_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity:
     A sequence's pieces follow each other from offset 0 on without gaps. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.save(token_pieces(docs, tokenizer_path, pattern, capacity).drop("ids"), "pieces")
+    pieces = scratch.save(token_pieces(docs, tokenizer_path, pattern, capacity), "pieces")
     return place(pieces, capacity, scratch).drop("part", "at")
 
 
 def packed_sequences(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048) -> DataFrame:
     """``(sequence_id, ids array<int>)``: the sequences themselves. A sequence gathers at most ``capacity`` ids, so no group is unbounded."""
     scratch = Scratch(docs.sparkSession, "packing")
-    placed = place(scratch.save(token_pieces(docs, tokenizer_path, pattern, capacity).select("length", "part", "at", "ids"), "pieces"), capacity, scratch)
+    placed = place(scratch.save(token_pieces(docs, tokenizer_path, pattern, capacity, with_ids=True).select("length", "part", "at", "ids"), "pieces"), capacity, scratch)
     whole = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
