@@ -128,10 +128,10 @@ def fit_risk_model(train: DataFrame, c: float = 1.0) -> RiskModel:
 def _loss_sums(rows: DataFrame, weights: np.ndarray, penalty: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """The penalised loss of rows ``(x0.., y)``, its gradient and its Hessian, from one pass."""
     k = len(weights)
-    z = F.lit(0.0)
-    for i, w in enumerate(weights):
-        z = z + F.col(f"x{i}") * float(w)
-    at = rows.withColumn("z", z).withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
+    # the weights are a row and not literals, so every step runs the same compiled code
+    told = rows.sparkSession.createDataFrame([tuple(map(float, weights))], ", ".join(f"w{i} double" for i in range(k)))
+    z = sum((F.col(f"x{i}") * F.col(f"w{i}") for i in range(1, k)), F.col("x0") * F.col("w0"))
+    at = rows.crossJoin(F.broadcast(told)).withColumn("z", z).withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
     loss = F.sum(F.greatest("z", F.lit(0.0)) - F.col("z") * F.col("y") + F.log1p(F.exp(-F.abs("z"))))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     x = lambda i: F.col(f"x{i}")

@@ -101,6 +101,7 @@ def within_day_alerts(hourly: DataFrame) -> DataFrame:
 
     A row may raise several. The row before is the cell's last observed hour, across gaps and midnight.
     """
+    hourly = hourly.select("grid_id", "timestamp", "date", "total_activity")
     totals = hourly.groupBy("grid_id").agg(F.sum("total_activity").cast("double").alias("total"))
     floor = exact_percentiles(totals, ["total"], FLOOR_PERCENTILE).withColumnRenamed("total", "floor")
     busy = totals.join(F.broadcast(floor), F.col("total") >= F.col("floor")).select("grid_id")  # one row

@@ -34,13 +34,14 @@ def _flags(s, sf):
 
 
 def _fitted(s, sf, then):
-    """``then(model, training rows)``; the rows are kept while the model is fitted."""
-    train = _split(s, sf)[0].select(*FEATURES, "next_hour_activity").persist()
+    """``then(model, training rows)``; the labelled rows are kept while the model is fitted."""
+    kept = _labelled(s, sf).select(*FEATURES, "label_timestamp", "next_hour_activity").persist()
     try:
+        train = rk.chrono_split_at(kept, rk.split_instant(kept))[0]
         rows = rk.label(train, rk.target_threshold(train))
         return then(rk.fit_risk_model(rows), rows)
     finally:
-        train.unpersist()
+        kept.unpersist()
 
 
 def _model(s, sf):

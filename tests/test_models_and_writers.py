@@ -17,16 +17,16 @@ from cellwatch.streaming.hourly import publish_stream
 T0 = dt.datetime(2020, 1, 1)
 
 
-@pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 0.9, 1.0])
-def test_percentiles_equal_numpy(spark, share):
+@pytest.mark.parametrize("size", [500, 40_000])  # below and above the size from which ranks are bracketed
+@pytest.mark.parametrize("share", [0.0, 0.0005, 0.1, 0.5, 0.9, 1.0])
+def test_percentiles_equal_numpy(spark, share, size):
     rng = np.random.default_rng(7)
-    a, b = rng.lognormal(size=5000), np.repeat([3.0, 1.0, 2.0], [4000, 500, 500])  # b: ties that fill whole slices
+    a, b = rng.lognormal(size=10 * (size // 10)), np.repeat([3.0, 1.0, 2.0], [size * 8 // 10, size // 10, size // 10])  # b: ties that fill whole brackets
     rows = [(float(x), float(y), None) for x, y in zip(a, b)] + [(None, None, None)] * 10
     df = spark.createDataFrame(rows, "a double, b double, c double").repartition(7)
-    for slices in (4, 256):
-        got = exact_percentiles(df, ["a", "b", "c"], share, slices).collect()
-        assert len(got) == 1 and got[0].c is None
-        assert got[0].a == pytest.approx(np.quantile(a, share), rel=1e-12) and got[0].b == pytest.approx(np.quantile(b, share), rel=1e-12)
+    got = exact_percentiles(df, ["a", "b", "c"], share).collect()
+    assert len(got) == 1 and got[0].c is None
+    assert got[0].a == pytest.approx(np.quantile(a, share), rel=1e-12) and got[0].b == pytest.approx(np.quantile(b, share), rel=1e-12)
 
 
 def test_percentiles_of_few_rows(spark):
