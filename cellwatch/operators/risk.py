@@ -17,8 +17,8 @@ from cellwatch.operators.percentiles import exact_percentiles
 
 TARGET_PERCENTILE = 0.9
 SUSPICIOUS_ACCURACY = 0.95
-#: Newton steps at most, and the size of a step that ends them.
-NEWTON_STEPS, NEWTON_END = 50, 1e-10
+#: Newton steps at most, and the size of a step that is the last: the error after it is of the order of its square.
+NEWTON_STEPS, NEWTON_END = 50, 1e-7
 
 
 @dataclasses.dataclass(frozen=True)
@@ -115,11 +115,11 @@ def fit_risk_model(train: DataFrame, c: float = 1.0) -> RiskModel:
                 step = step / 2
                 weights = weights - step
                 continue
-            if np.abs(step).max() < NEWTON_END and loss < math.inf:
-                break
             loss = now
             step = -np.linalg.solve(hessian, gradient)
             weights = weights + step
+            if np.abs(step).max() < NEWTON_END:
+                break
         return dataclasses.replace(start, weights=tuple(map(float, weights[1:])), intercept=float(weights[0]))
     finally:
         rows.unpersist()

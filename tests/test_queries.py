@@ -8,11 +8,14 @@ import pytest
 from cellwatch.queries import ORACLES, QUERIES
 
 
-@pytest.fixture(scope="module")
-def tables(sf_dir):
+#: No hour of the smallest tables has two days of history, and a fit without rows is an error.
+NEED_ROWS = {"fit_risk_model", "loss_gradient", "score", "score_latest"}
+
+
+def tables(folder):
     con = duckdb.connect()
     for name in ("events", "documents"):
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
 
 
@@ -23,10 +26,11 @@ def told(v):
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_matches_sql(spark, sf_dir, tables, name):
-    got = QUERIES[name](spark, sf_dir)
+def test_matches_sql(spark, sf_dir, name):
+    folder = sf_dir.replace("sf0.001", "sf0.01") if name in NEED_ROWS else sf_dir
+    got = QUERIES[name](spark, folder)
     columns = sorted(got.columns)
-    want = tables.sql(ORACLES[name])
+    want = tables(folder).sql(ORACLES[name])
     assert sorted(want.columns) == columns
     order = [want.columns.index(c) for c in columns]
     ours = sorted(tuple(told(r[c]) for c in columns) for r in got.collect())
