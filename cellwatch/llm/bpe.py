@@ -260,7 +260,8 @@ def _added(spark: SparkSession, path: str) -> str:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids array<int>, n_tokens, decodes)`` of each row's whole text; ``decodes``: the ids decode to the text's bytes.
 
-    A null or empty text has no ids. Repeated rows and null ids are kept as rows; other columns are ignored.
+    A null or empty text has no ids. Repeated rows and null ids are kept as rows; other columns are ignored. A text is encoded whole whatever its length, in
+    time n log n and memory in proportion to it; an empty table gives no rows.
     """
     name = _added(docs.sparkSession, ranks_path)
 

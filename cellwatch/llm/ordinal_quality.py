@@ -154,7 +154,12 @@ def rate(docs: DataFrame, model: Model, at_least: int = 1) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, expected_grade, tail_probability, keep)`` of every row of ``docs(doc_id, text, ...)``, trained on
-    ``labels(doc_id, quality, ...)``; keep: the top half of the scale is likelier than not."""
+    ``labels(doc_id, quality, ...)``; keep: the top half of the scale is likelier than not.
+
+    A null or empty text has no tokens and gets what the thresholds alone say. Repeated rows and null ids are rows like others, a text is read whole whatever
+    its length, an empty table of documents gives no rows, and labels without rows to train on are an error. Other columns are ignored, also
+    ones named like those of the result.
+    """
     model = train(*labelled_sample(docs, labels, "quality", TRAIN_ROWS))
     rated = rate(docs.select("doc_id", "text"), model, at_least=max(1, (model.grades[-1] + 1) // 2))
     return rated.select("doc_id", held_out().alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("keep"))

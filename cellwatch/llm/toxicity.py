@@ -201,6 +201,9 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of every row of ``docs(doc_id, text, ...)``, trained on ``labels(doc_id, toxic, ...)``."""
+    """``(doc_id, held_out, score, predicted)`` of every row of ``docs(doc_id, text, ...)``, trained on ``labels(doc_id, toxic, ...)``.
+
+    Other columns are ignored, also ones named like those of the result; ``score`` tells what odd texts and rows get.
+    """
     scored = score(docs.select("doc_id", "text"), train_on(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")

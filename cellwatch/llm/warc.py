@@ -368,7 +368,7 @@ def _row(archive: str, start: int, end: int, got: Record | None, why: str | None
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True, whole: bool = False) -> DataFrame:
-    """One row for each record and each quarantined byte gap of the files named in ``archives(archive, ...)``.
+    """One row for each record and each quarantined byte gap of the files named in ``archives(archive, records, ...)``; ``records`` may be null unless ``whole``.
 
     A gap's row holds its bytes' range and the failed check in ``gap``, which is null for records. Payloads of
     responses are checked by their block digest; a revisit's length and digest are those that it names. An empty file
