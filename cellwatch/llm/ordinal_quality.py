@@ -157,7 +157,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``labels(doc_id, quality, ...)``; keep: the top half of the scale is likelier than not.
 
     A null or empty text has no tokens and gets what the thresholds alone say. Repeated rows and null ids are rows like others, a text is read whole whatever
-    its length, an empty table of documents gives no rows, and labels without rows to train on are an error. Other columns are ignored, also
+    its length, an empty table of documents gives no rows, and without rated rows every text gets grade 0. Other columns are ignored, also
     ones named like those of the result.
     """
     model = train(*labelled_sample(docs, labels, "quality", TRAIN_ROWS))
