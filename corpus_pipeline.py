@@ -24,6 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier marks. Null and empty texts, repeated rows and rows without an id are scored like others."""
     return score(docs, train_on(docs, _table(spark, sf_dir, "labels"))).where("predicted = 0").select(*COLUMNS)
 
 
@@ -34,14 +35,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the least id. Texts without words and rows without an id stay."""
     return drop_near_duplicates(docs, similar_pct=80).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark passage. Texts without words hold none."""
     return drop_contaminated(docs, _table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, one row for each row; null and empty texts have none."""
     return encode_documents(docs, RANKS, PATTERN)
 
 
