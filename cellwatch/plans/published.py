@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from cellwatch.operators import features as ft, incremental as inc, serving as sv, signals as sg
-from cellwatch.plans.common import WITH, cleaned, d, hourly, plain, t
+from cellwatch.adapters import cell_count, square_cells
+from cellwatch.operators import aggregate as agg, features as ft, incremental as inc, risk as rk, serving as sv, signals as sg
+from cellwatch.plans.batch import _audit
+from cellwatch.plans.common import CELLS, WITH, cleaned, d, hourly, plain, t
 from cellwatch.plans.signals import AT, ORACLES as SIGNALS, _ANOM
-from cellwatch.plans.stored import _KIND, _lines
+from cellwatch.plans.model import ORACLES as MODEL, _model
+from cellwatch.plans.stored import _GATE, _lines, _verdicts
 from cellwatch.sources import activity
 from cellwatch.sources.content import content_differences
+from cellwatch.sources.gate import NAME_DATE, audit_records, detect_files, gate, route_once
 from cellwatch.sources.versions import VersionedTable, read_table, work_folder
 from cellwatch.streaming.gated import publish_gated_stream, read_lines_stream
 
@@ -92,17 +96,100 @@ def _differences(s, sf):
     return content_differences(h, h.where("NOT (grid_id = 1 AND date = '2024-01-07') AND date <> '2024-01-09'"))
 
 
+def _land(s, lines, folder):
+    """Each name's lines as one file of that name in a folder."""
+    fs = s._jvm.org.apache.hadoop.fs
+    store = fs.Path(folder).getFileSystem(s._jsparkSession.sessionState().newHadoopConf())
+    lines.select("name", "value", "place").repartition("name").sortWithinPartitions("name", "place").select("name", "value").write.partitionBy("name").text(f"{folder}-aside")
+    store.mkdirs(fs.Path(folder))
+    for f in store.globStatus(fs.Path(f"{folder}-aside/name=*/part-*")) or []:  # one file a day
+        store.rename(f.getPath(), fs.Path(f"{folder}/{f.getPath().getParent().getName().partition('=')[2]}"))
+    return folder
+
+
+def _day():
+    return F.dayofmonth(F.to_date(F.regexp_extract("name", NAME_DATE, 1)))
+
+
+def _read_files(s, sf):
+    """Rows of the daily files with the required columns, by their file; a number that can't be read keeps its row's text."""
+    rows = activity.with_source_file(activity.read_activity(s, _land(s, _lines(s, sf).where(_day() % 6 < 4), f"{work_folder(s, 'files')}/in")))
+    sound = F.count_if(F.col(activity.CORRUPT).isNull())
+    return rows.groupBy("source_file").agg(F.count("*").alias("rows"), sound.alias("sound_rows"), F.round(F.sum("internet"), 4).alias("internet"), F.max("CellID").cast("bigint").alias("last_cell"))
+
+
+def _routed(s, sf):
+    """The zone of every file after two runs; the second finds all of them done."""
+    path = work_folder(s, "route")
+    verdicts = gate(s, _land(s, _lines(s, sf), f"{path}/in"), _audit(s, sf))
+    for run in ("first", "second"):
+        records = route_once(verdicts, f"{path}/accepted", f"{path}/rejected", f"{path}/manifest", run)
+    zones = [detect_files(s, f"{path}/{z}").select("name", F.lit(z).alias("zone"), (F.col("length") > 0).alias("whole")) for z in ("accepted", "rejected")]
+    return zones[0].union(zones[1]).join(records.select("name", "run"), "name")
+
+
+def _audited(s, sf):
+    """Records of two runs, appended; those of one run keep their times."""
+    path = work_folder(s, "audit")
+    for _ in range(2):
+        activity.append_audit(audit_records(_verdicts(s, sf)), path)
+    rows = s.read.schema("name string, status string, row_count bigint, reason string, processed_at timestamp").json(path)
+    return rows.groupBy("name", "status").agg(F.count("*").alias("records"), F.max("row_count").alias("row_count"), F.count("processed_at").alias("timed"))
+
+
+def _reported(s, sf):
+    """Daily figures as one CSV file and as JSON, read again."""
+    path, daily = work_folder(s, "report"), agg.daily_kpis(hourly(s, sf)).select("date", F.col("total_activity").cast("double").alias("total_activity"))
+    activity.write_report(daily, f"{path}/csv")
+    activity.write_run_metrics(daily, f"{path}/json")
+    schema = "date string, total_activity double"
+    both = {"csv": s.read.schema(schema).option("header", True).csv(f"{path}/csv"), "json": s.read.schema(schema).json(f"{path}/json")}
+    return both["csv"].withColumn("kind", F.lit("csv")).union(both["json"].withColumn("kind", F.lit("json")))
+
+
+def _united(s, sf):
+    """The fact as a folder for each of its dates, put together by hand."""
+    path, h = work_folder(s, "parts"), hourly(s, sf).select("grid_id", "timestamp", "total_activity", "date").persist()
+    try:
+        days = [r.date for r in h.select("date").distinct().collect()]  # one a day
+        h.write.partitionBy("date").parquet(path)
+    finally:
+        h.unpersist()
+    return activity.union_partitions(s, {d: f"{path}/date={d}" for d in days})
+
+
+def _refreshed(s, sf):
+    """A derived table made new twice from itself: late hours only, then doubled."""
+    path = work_folder(s, "derived")
+    activity.refresh(hourly(s, sf).select("grid_id", "timestamp", "total_activity"), path)
+    activity.refresh(read_table(s, path).where("timestamp >= '2024-01-18'"), path)
+    activity.refresh(read_table(s, path).withColumn("total_activity", F.col("total_activity") * 2), path)
+    return read_table(s, path)
+
+
+def _loaded(s, sf):
+    """A fitted model, saved and loaded."""
+    path = work_folder(s, "model")
+    rk.save_model(_model(s, sf), path, "lr-1", 1.0)
+    model, told = rk.load_model(s, path)
+    return rk.coefficients(s, model).select("rank", "feature", F.round("coefficient", 6).alias("coefficient"), F.lit(told["version"]).alias("version"))
+
+
+def _geometry(s, sf):
+    """A GeoJSON file with a square for each cell of the events, read again."""
+    path, n = work_folder(s, "geo"), cell_count(s, sf)
+    cells = square_cells(s, n).select(F.struct((F.col("grid_id") - 1).alias("id"), F.struct(F.col("grid_id").alias("cellId")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates")).alias("geometry")).alias("f"))
+    whole = cells.agg(F.sort_array(F.collect_list("f")).alias("features")).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")))  # a city's cells
+    whole.coalesce(1).write.text(path)
+    return activity.read_grid_geometry(s, path).select("grid_id", F.size("ring").alias("corners"), F.round(F.col("ring")[0][0], 9).alias("lon"), F.round(F.col("ring")[0][1], 9).alias("lat"))
+
+
 def _streamed(s, sf):
     """Each day's lines as a file that lands in a folder; accepted names come again with other rows, and leave the fact as it is."""
     path = work_folder(s, "stream")
-    fs = s._jvm.org.apache.hadoop.fs
-    store = fs.Path(path).getFileSystem(s._jsparkSession.sessionState().newHadoopConf())
 
     def land(lines, zone):
-        lines.select("name", "value", "place").repartition("name").sortWithinPartitions("name", "place").select("name", "value").write.partitionBy("name").text(f"{path}/aside-{zone}")
-        store.mkdirs(fs.Path(f"{path}/in/{zone}"))
-        for f in store.globStatus(fs.Path(f"{path}/aside-{zone}/name=*/part-*")) or []:  # one file a day
-            store.rename(f.getPath(), fs.Path(f"{path}/in/{zone}/{f.getPath().getParent().getName().partition('=')[2]}"))
+        _land(s, lines, f"{path}/in/{zone}")
         publish_gated_stream(read_lines_stream(s, f"{path}/in"), f"{path}/fact", f"{path}/audit", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
 
     lines = _lines(s, sf)
@@ -124,6 +211,15 @@ QUERIES = {
     "network_history": lambda s, sf: plain(sv.network_history(hourly(s, sf))),
     "compact": lambda s, sf: plain(_compacted(s, sf)),
     "leakage_by_change": lambda s, sf: plain(_leaks(s, sf)),
+    "read_activity": lambda s, sf: _read_files(s, sf),
+    "detect_files": lambda s, sf: detect_files(s, _land(s, _lines(s, sf), f"{work_folder(s, 'files')}/in")).select("name", (F.col("length") > 0).alias("there")),
+    "route": lambda s, sf: _routed(s, sf),
+    "append_audit": lambda s, sf: _audited(s, sf),
+    "write_report": lambda s, sf: _reported(s, sf),
+    "union_partitions": lambda s, sf: plain(_united(s, sf)),
+    "refresh": lambda s, sf: plain(_refreshed(s, sf)),
+    "save_model": lambda s, sf: plain(_loaded(s, sf)),
+    "read_grid_geometry": lambda s, sf: plain(_geometry(s, sf)),
     "gated_stream": lambda s, sf: _streamed(s, sf),
 }
 
@@ -154,6 +250,17 @@ ORACLES = {
         SELECT 'sound' AS features, count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM e
         UNION ALL SELECT 'next hour', count(*), count(*) FILTER (WHERE EXISTS (SELECT 1 FROM l WHERE l.grid_id = e.grid_id AND l.ts <= e.ts + INTERVAL 1 HOUR)) FROM e
         UNION ALL SELECT 'whole history', count(*), count(*) FILTER (WHERE grid_id IN (SELECT grid_id FROM l)) FROM e""",
+    "read_activity": """WITH e AS (SELECT *, day(ts) % 6 AS c, 'sms-call-internet-mi-' || strftime(ts, '%Y-%m-%d') || '.csv' AS source_file, CAST(value AS DECIMAL(18,2)) AS v FROM events),
+        x AS (SELECT *, c = 3 AND event_id % 97 = 0 AS odd, CASE WHEN c IN (1, 2) AND event_id % 89 = 0 THEN -v ELSE v END AS w FROM e WHERE c < 4)
+        SELECT source_file, count(*) AS rows, count(*) FILTER (WHERE NOT odd) AS sound_rows, round(CAST(sum(w) FILTER (WHERE event_type = 'purchase' AND NOT odd) AS DOUBLE), 4) AS internet, CAST(max(user_id + 1) AS BIGINT) AS last_cell FROM x GROUP BY source_file""",
+    "detect_files": "SELECT DISTINCT 'sms-call-internet-mi-' || strftime(ts, '%Y-%m-%d') || '.csv' AS name, TRUE AS there FROM events",
+    "route": f"WITH {_GATE} SELECT name, status AS zone, TRUE AS whole, 'first' AS run FROM ve WHERE status <> 'skipped_duplicate'",
+    "append_audit": f"WITH {_GATE} SELECT name, status, CAST(2 AS BIGINT) AS records, row_count, CAST(2 AS BIGINT) AS timed FROM ve",
+    "write_report": f"{WITH}, x AS (SELECT date, CAST(sum(total_activity) AS DOUBLE) AS total_activity FROM h GROUP BY date) SELECT *, 'csv' AS kind FROM x UNION ALL SELECT *, 'json' FROM x",
+    "union_partitions": f"{WITH} SELECT {_G}, {t('timestamp')} AS timestamp, {d('total_activity')}, date FROM h",
+    "refresh": f"{WITH} SELECT {_G}, {t('timestamp')} AS timestamp, CAST(2 * total_activity AS DOUBLE) AS total_activity FROM h WHERE h.timestamp >= '2024-01-18'",
+    "save_model": f"SELECT *, 'lr-1' AS version FROM ({MODEL['fit_risk_model']})",
+    "read_grid_geometry": f"SELECT g AS grid_id, CAST(5 AS BIGINT) AS corners, round(9.0::DOUBLE + ((g - 1) % 100) * 0.003::DOUBLE, 9) AS lon, round(45.35::DOUBLE + ((g - 1) // 100) * 0.003::DOUBLE, 9) AS lat FROM (SELECT unnest(range(1, {CELLS} + 1)) AS g)",
     "gated_stream": f"""WITH e AS (SELECT *, day(ts) % 6 AS c, strftime(ts, '%Y-%m-%d') AS date FROM events),
         v AS (SELECT date, count(*) FILTER (WHERE {_BAD}) = 0 AS ok, count(DISTINCT user_id * 100 + hour(ts)) AS cell_hours, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 4) AS total FROM e GROUP BY date)
         SELECT 'sms-call-internet-mi-' || date || '.csv' AS name, CAST(ok AS BIGINT) AS accepted, CASE WHEN ok THEN 0 ELSE 2 END AS rejected, CAST(ok AS BIGINT) AS skipped, CASE WHEN ok THEN cell_hours ELSE 0 END AS cell_hours, CASE WHEN ok THEN total ELSE 0.0 END AS total_activity FROM v""",

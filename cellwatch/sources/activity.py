@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cellwatch.functions.expressions import MEASURES, TOTALS
@@ -22,13 +25,18 @@ _GEOJSON = "features array<struct<id:int,properties:struct<cellId:int>,geometry:
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
     """All daily files of a folder by their declared schema; a file with other columns, or no file at all, is an error.
 
-    A row with a cell that doesn't fit its type keeps its text in ``_corrupt_record``.
+    A row with a cell that doesn't fit its type keeps its text in ``_corrupt_record``, whichever columns are used later.
     """
     names = spark.read.format("binaryFile").option("pathGlobFilter", FILE_GLOB).load(path).select("path")
     if names.isEmpty():
         raise FileNotFoundError(f"no daily activity files in {path}")
-    schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", FILE_GLOB).csv(path)
+    # read as text and cast here: Spark's reader would look only at the columns that are used later, and call a row sound by these
+    schema = T.StructType([*(T.StructField(f.name, T.StringType()) for f in RAW_SCHEMA), T.StructField(CORRUPT, T.StringType())])
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", FILE_GLOB).csv(path)
+    cast = {f.name: F.col(f.name).try_cast(f.dataType) for f in RAW_SCHEMA}
+    odd = reduce(or_, (F.col(c).isNotNull() & x.isNull() for c, x in cast.items()))
+    text = F.concat_ws(",", *(F.coalesce(c, F.lit("")) for c in RAW_SCHEMA.names))
+    return rows.select(*(x.alias(c) for c, x in cast.items()), F.coalesce(CORRUPT, F.when(odd, text)).alias(CORRUPT))
 
 
 def with_source_file(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from cellwatch.queries import ORACLES, QUERIES
 
 
 #: No hour of the smallest tables has two days of history, and a fit without rows is an error.
-NEED_ROWS = {"fit_risk_model", "loss_gradient", "score", "score_latest"}
+NEED_ROWS = {"fit_risk_model", "save_model", "loss_gradient", "score", "score_latest"}
 
 
 def tables(folder):
