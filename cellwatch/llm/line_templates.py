@@ -1,25 +1,30 @@
 """Line dedup by a log-template tree.
 
-A line falls through a tree of fixed depth: first by its number of tokens, then by its leading tokens, where a token
-with a digit stands for any such token. In a leaf that several documents reach, distinct lines are clustered into templates, commonest first: a line that is like no earlier
-template becomes one, and a line belongs to the first template that has a large enough share of its tokens. Positions where a template's lines differ
-are its variable fields; a line that has all of its constants belongs to it too, if these are a large enough part and no earlier template has the line. A template whose lines occur
+A line falls through a tree: first by its number of tokens, then by its leading tokens, where a token
+with a digit stands for any such token. In a leaf that several documents reach, the ``FULL`` commonest distinct lines are clustered into templates, commonest first: a line that is
+like no earlier template becomes one. Every line of the leaf belongs to the first template that has a large enough share of its tokens; lines that are like none go on to leaves by twice
+as many leading tokens, where the same is done, until what is left in a leaf is one document's. So the depth follows from the tokens of the longest line, not from the number of lines, and no leaf has more than
+``FULL`` templates. Positions where a template's lines differ are its variable fields; a line of its leaf that has all of its constants belongs to it too, if these are a large enough part and
+no earlier template has the line. A template whose lines occur
 in several documents is boilerplate: its lines are dropped from all of these documents but the first, so that a text that was copied whole
 keeps one home. Two documents are several, but lines of fewer than ``SHORT`` tokens need ``MIN_DOCS``.
 A document of which nothing would be left is a copy as a whole: its lines go if ``MIN_DOCS`` documents or more have them, and else
 stay for the near-duplicate operator.
 
 All of it is DataFrame operations. The first pass over the texts reads no more of a line than its number of blanks and its
-leading tokens; only lines of leaves that recur are read whole, and only leaves of several distinct lines are clustered.
+leading tokens; only lines of leaves that recur are read whole, and only leaves of several distinct lines are clustered. A leaf's commonest lines
+are picked ahead of the shuffle, and its lines meet its templates in shares of ``SHARE`` lines, so no task holds a large leaf.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellwatch.llm.scratch import Scratch
 
-#: Leading tokens that the tree branches by.
+#: Leading tokens that the tree branches by first; each further level branches by twice as many.
 LEAD = 4
 #: Lines of fewer tokens need ``MIN_DOCS`` documents.
 SHORT = 3
@@ -27,8 +32,10 @@ SHORT = 3
 SIMILAR_PCT = 70
 #: Percentage of a template's tokens that must be constants for these alone to decide.
 CONSTANT_PCT = 50
-#: Lines of a leaf that the first round looks at for templates, and the most that a later one does. Only the number of rounds depends on them.
-ROUND, MOST_ROUND = 64, 256
+#: Distinct lines of a leaf, commonest first, among which templates are looked for before the rest goes a level deeper.
+FULL = 128
+#: Distinct lines of a leaf that one task compares with its templates. Only the work depends on it.
+SHARE = 4096
 #: Documents in which a template's lines must occur for a document to lose its last words, or short lines.
 MIN_DOCS = 4
 #: Documents in which a template's lines must occur otherwise.
@@ -72,8 +79,8 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = LEAST_DOC
     open_lines = scratch.save(open_lines.withColumn("key", F.xxhash64("line")), "lines")
     lists = open_lines.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"), F.count("*").alias("c"), F.min(own).alias("lo"), F.max(own).alias("hi"))
     lists = scratch.save(lists, "lists")
-    mixed = lists.groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("leaf")
-    mixed = lists.join(mixed, "leaf", "left_semi").withColumn("tokens", F.split("line", " ")).drop("line")
+    mixed = lists.groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b"), _shares()).where("a <> b").select("leaf", "shares")
+    mixed = lists.join(_broadcast_if_small(scratch.save(mixed, "mixed")), "leaf").withColumn("tokens", F.split("line", " ")).drop("line")
     found = scratch.save(_clustered(mixed, scratch, similar_pct).where("key <> template"), "members")
     # a line of no other template is its own
     fits = open_lines.select("key", "n", "doc_id", "text_key", "at").join(_broadcast_if_small(found), "key", "left")
@@ -90,46 +97,59 @@ def _same(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
+def _shares() -> Column:
+    return F.ceil(F.count("*") / SHARE).cast("int").alias("shares")
+
+
+def _dealt(leaves: DataFrame) -> DataFrame:
+    """Rows of leaves, once for each of their shares."""
+    return leaves.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+
+
 def _clustered(rest: DataFrame, scratch: Scratch, similar_pct: int) -> DataFrame:
-    """``(key, template)`` of the lines ``rest(leaf, key, tokens, c, lo, hi)`` that belong to a template; a template is known by the key of its first line.
+    """``(key, template)`` of the lines ``rest(leaf, shares, key, tokens, c, lo, hi)`` that belong to a template; a template is known by the key of its first line.
 
-    A leaf's templates are found in rounds, a bounded number of lines at a time; rounds go on until what is left in each leaf is one document's.
+    One round of jobs for each level of the tree, so no more than the binary logarithm of the most tokens in a line; lines of which only one document is left in a leaf need no more.
     """
-    rest = scratch.save(rest, "rest-0")
+    with_share = lambda df: df.withColumn("share", F.pmod("key", F.col("shares")).cast("int"))
+    rest = scratch.save(with_share(rest), "rest-0")
     like = lambda a, b: _same(a, b) * 100 >= F.size(a) * similar_pct
     add = lambda kept, x: F.when(F.exists(kept, lambda k: like(x["tokens"], k["tokens"])), kept).otherwise(F.concat(kept, F.array(x)))
-    found, n, size = None, 0, ROUND
+    levels, depth = [], LEAD
     while not rest.isEmpty():
-        n += 1
+        n = len(levels)
+        # Spark drops all but the first FULL of a leaf ahead of the shuffle
         place = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("c"), "tokens", "key"))
-        top = rest.withColumn("place", place).where(F.col("place") <= size).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "tokens", "key"))).alias("top"))
+        top = rest.select("leaf", "shares", "c", "tokens", "key").withColumn("place", place).where(F.col("place") <= FULL)
+        top = top.groupBy("leaf").agg(F.first("shares").alias("shares"), F.array_sort(F.collect_list(F.struct("place", "tokens", "key"))).alias("top"))
         # of the commonest lines those that are like none before them
         kept = F.aggregate("top", F.array().cast("array<struct<place:int,tokens:array<string>,key:bigint>>"), add)
-        top = scratch.save(top.select("leaf", kept.alias("templates")), f"templates-{n}")
-        met = rest.join(top, "leaf")
+        top = scratch.save(top.select("leaf", "shares", kept.alias("templates")), f"templates-{n}")
+        met = rest.join(_dealt(top), ["leaf", "share"])
         met = met.withColumn("t", F.get(F.filter("templates", lambda k: like(F.col("tokens"), k["tokens"])), F.lit(0))).drop("templates")
-        met = scratch.save(met, f"met-{n}")
-        # templates count on from round to round
-        taken = met.where("t IS NOT NULL").select("leaf", "key", "tokens", (F.lit(n) * (MOST_ROUND + 1) + F.col("t.place")).alias("ix"), F.col("t.tokens").alias("model"), F.col("t.key").alias("template"))
-        found = taken if found is None else found.union(taken)
-        left = met.where("t IS NULL").drop("t")
-        open_leaves = left.groupBy("leaf").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most").select("leaf")
-        rest = scratch.save(left.join(open_leaves, "leaf", "left_semi"), f"rest-{n}")
-        size = MOST_ROUND
-    if found is None:
-        return rest.select("key", F.col("key").alias("template")).limit(0)
+        # templates count on from level to level
+        met = scratch.save(met.withColumn("ix", F.lit(n * (FULL + 1)) + F.col("t.place")), f"met-{n}")
+        levels.append(met)
+        depth *= 2
+        left = met.where("t IS NULL").select(F.xxhash64("leaf", F.array_join(F.slice("tokens", 1, depth), " ")).alias("leaf"), "key", "tokens", "c", "lo", "hi")
+        open_leaves = left.groupBy("leaf").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), _shares()).where("least <> most").select("leaf", "shares")
+        rest = scratch.save(with_share(left.join(_broadcast_if_small(scratch.save(open_leaves, f"open-{n}")), "leaf")), f"rest-{n + 1}")
+    if not levels:
+        return rest.select("key", F.col("key").alias("template"))
+    met = functools.reduce(DataFrame.unionByName, levels)
+    found = met.where("t IS NOT NULL").select("leaf", "shares", "ix", "key", "tokens", F.col("t.tokens").alias("model"), F.col("t.key").alias("template"))
     # the positions that vary: a line with all other tokens of a template belongs to it, unless it is like an earlier one
     differs = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) != F.get("model", i))
-    varies = found.select("leaf", "ix", "template", F.explode(differs).alias("i")).groupBy("leaf", "ix", "template").agg(F.collect_set("i").alias("varies"))
+    varies = found.select("leaf", "shares", "ix", "template", F.explode(differs).alias("i")).groupBy("leaf", "shares", "ix", "template").agg(F.collect_set("i").alias("varies"))
     models = found.where("key = template").select("template", "model")
     varies = varies.join(models, "template").where((F.size("model") - F.size("varies")) * 100 >= F.size("model") * CONSTANT_PCT)
     field = F.transform("model", lambda x, i: F.when(~F.array_contains("varies", i), x))
-    fields = varies.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("ix", "template", field.alias("field")))).alias("fields"))
+    fields = varies.groupBy("leaf", "shares").agg(F.array_sort(F.collect_list(F.struct("ix", "template", field.alias("field")))).alias("fields"))
     fields = scratch.save(fields, "fields")
     constant = lambda f: F.forall(F.zip_with(f["field"], "tokens", lambda x, y: x.isNull() | (x == y)), lambda x: x)
-    late = found.join(fields, "leaf").withColumn("f", F.get(F.filter("fields", constant), F.lit(0)))
-    late = late.where(F.col("f.ix") < F.col("ix")).select("key", F.col("f.template").alias("later"))
-    return found.select("key", "template").join(late, "key", "left").select("key", F.coalesce("later", "template").alias("template"))
+    late = met.join(_dealt(fields), ["leaf", "share"]).select("key", F.get(F.filter("fields", constant), F.lit(0)).alias("f")).where("f IS NOT NULL")
+    first = found.select("key", "ix", "template").union(late.select("key", "f.ix", "f.template"))
+    return first.groupBy("key").agg(F.min_by("template", "ix").alias("template"))
 
 
 def drop_recurring_lines(docs: DataFrame, scratch: Scratch | None = None, min_docs: int = LEAST_DOCS, similar_pct: int = SIMILAR_PCT) -> DataFrame:
@@ -168,25 +188,31 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 _ALIKE = "100 * len([j FOR j IN range(1, len({0}) + 1) IF {0}[j] = {1}[j]]) >= " + f"{SIMILAR_PCT} * len({{0}})"
+#: One level of the tree over ``s(r, node, leaf, tokens, c)``: ``n`` is the place of the line's template among its node's, null where it has none.
+_LEVEL = f"""
+q AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY c DESC, tokens) AS place FROM s),
+t AS (SELECT node, list_reduce(list([tokens] ORDER BY place), lambda got, x: CASE WHEN len([m FOR m IN got IF {_ALIKE.format('m', 'x[1]')}]) > 0 THEN got ELSE list_concat(got, x) END) AS leaders FROM q WHERE place <= {FULL} GROUP BY node),
+u AS (SELECT q.r, q.node, q.leaf, q.tokens, q.c, t.leaders, [i FOR i IN range(1, len(t.leaders) + 1) IF {_ALIKE.format('q.tokens', 't.leaders[i]')}][1] AS n FROM q JOIN t ON t.node = q.node)
+SELECT r, node, leaf, tokens, c, n, leaders[n] AS model FROM u
+"""
 LINES_SQL = f"""
 WITH RECURSIVE d AS (SELECT DISTINCT doc_id, text, md5(text) AS text_key FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text_key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ix FROM d),
-s AS (SELECT doc_id, text_key, ix, trim(regexp_replace(translate(line, chr(9) || chr(13), '  '), ' +', ' ', 'g'), ' ') AS line FROM l),
-k AS (SELECT doc_id, text_key, ix, line, string_split(line, ' ') AS raw, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN string_split(line, ' ')] AS masked FROM s WHERE line <> ''),
-t AS (SELECT doc_id, text_key, ix, md5(len(raw) || ' ' || array_to_string(masked[1:{LEAD}], ' ')) AS leaf, CASE WHEN len([x FOR x IN masked IF x <> '<*>']) = 0 THEN raw ELSE masked END AS tokens FROM k),
-r AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, text_key FROM t) GROUP BY leaf HAVING count(*) >= {LEAST_DOCS}),
-o AS (SELECT t.* FROM t JOIN r USING (leaf)),
-c AS (SELECT leaf, tokens, row_number() OVER (PARTITION BY leaf ORDER BY count(*) DESC, tokens) AS place FROM o GROUP BY leaf, tokens),
-g AS (SELECT leaf, CAST(1 AS BIGINT) AS i, [tokens] AS leaders FROM c WHERE place = 1
-      UNION ALL SELECT g.leaf, g.i + 1, CASE WHEN len([m FOR m IN leaders IF {_ALIKE.format('m', 'c.tokens')}]) > 0 THEN leaders ELSE list_append(leaders, c.tokens) END FROM g JOIN c ON c.leaf = g.leaf AND c.place = g.i + 1),
-h AS (SELECT leaf, unnest(leaders) AS model, generate_subscripts(leaders, 1) AS n FROM (SELECT leaf, arg_max(leaders, i) AS leaders FROM g GROUP BY leaf)),
-a AS (SELECT c.leaf, c.tokens, min(h.n) AS n FROM c JOIN h ON h.leaf = c.leaf AND {_ALIKE.format('c.tokens', 'h.model')} GROUP BY c.leaf, c.tokens),
-v AS (SELECT leaf, n, list(DISTINCT j) AS varies FROM (SELECT a.leaf, a.n, unnest([j FOR j IN range(1, len(tokens) + 1) IF tokens[j] <> model[j]]) AS j FROM a JOIN h ON h.leaf = a.leaf AND h.n = a.n) GROUP BY leaf, n),
-f AS (SELECT h.* , v.varies FROM v JOIN h ON h.leaf = v.leaf AND h.n = v.n WHERE 100 * (len(model) - len(varies)) >= {CONSTANT_PCT} * len(model)),
-b AS (SELECT a.leaf, a.tokens, least(a.n, coalesce(min(f.n), a.n)) AS n FROM a LEFT JOIN f ON f.leaf = a.leaf AND f.n < a.n AND len([j FOR j IN range(1, len(tokens) + 1) IF tokens[j] <> model[j] AND NOT list_contains(varies, j)]) = 0 GROUP BY a.leaf, a.tokens, a.n),
-p AS (SELECT o.leaf, b.n, o.doc_id, o.text_key, o.ix, len(o.tokens) AS size FROM o JOIN b ON b.leaf = o.leaf AND b.tokens = o.tokens),
-w AS (SELECT leaf, n, min(doc_id) AS home, count(*) AS docs FROM (SELECT DISTINCT leaf, n, doc_id, text_key, size FROM p) GROUP BY leaf, n, size HAVING count(*) >= CASE WHEN size < {SHORT} THEN {MIN_DOCS} ELSE {LEAST_DOCS} END),
-x AS (SELECT p.doc_id, p.text_key, list(p.ix) AS ix, coalesce(list(p.ix) FILTER (WHERE docs >= {MIN_DOCS}), []) AS often FROM p JOIN w ON w.leaf = p.leaf AND w.n = p.n WHERE p.doc_id <> w.home GROUP BY p.doc_id, p.text_key),
+w0 AS (SELECT doc_id, text_key, ix, trim(regexp_replace(translate(line, chr(9) || chr(13), '  '), ' +', ' ', 'g'), ' ') AS line FROM l),
+k AS (SELECT doc_id, text_key, ix, line, string_split(line, ' ') AS raw, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN string_split(line, ' ')] AS masked FROM w0 WHERE line <> ''),
+lt AS (SELECT doc_id, text_key, ix, md5(len(raw) || ' ' || array_to_string(masked[1:{LEAD}], ' ')) AS leaf, CASE WHEN len([x FOR x IN masked IF x <> '<*>']) = 0 THEN raw ELSE masked END AS tokens FROM k),
+lr AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, text_key FROM lt) GROUP BY leaf HAVING count(*) >= {LEAST_DOCS}),
+o AS (SELECT lt.* FROM lt JOIN lr USING (leaf)),
+g AS (WITH s AS (SELECT 0 AS r, leaf AS node, leaf, tokens, count(*) AS c FROM o GROUP BY leaf, tokens), {_LEVEL}
+      UNION ALL (WITH s AS (SELECT r + 1 AS r, md5(node || ' ' || array_to_string(tokens[1:{LEAD} * CAST(pow(2, r + 1) AS INTEGER)], ' ')) AS node, leaf, tokens, c FROM g WHERE n IS NULL), {_LEVEL})),
+v AS (SELECT r, node, n, model, list(DISTINCT j) AS varies FROM (SELECT r, node, n, model, unnest([j FOR j IN range(1, len(tokens) + 1) IF tokens[j] <> model[j]]) AS j FROM g WHERE n IS NOT NULL) GROUP BY r, node, n, model),
+f AS (SELECT * FROM v WHERE 100 * (len(model) - len(varies)) >= {CONSTANT_PCT} * len(model)),
+y AS (SELECT leaf, tokens, r, node, n FROM g WHERE n IS NOT NULL
+      UNION ALL SELECT g.leaf, g.tokens, f.r, f.node, f.n FROM g JOIN f ON f.r = g.r AND f.node = g.node AND len([j FOR j IN range(1, len(g.tokens) + 1) IF g.tokens[j] <> f.model[j] AND NOT list_contains(f.varies, j)]) = 0),
+b AS (SELECT leaf, tokens, arg_min(node, r * 1000 + n) AS node, min(r * 1000 + n) AS n FROM y GROUP BY leaf, tokens),
+p AS (SELECT b.node, b.n, o.doc_id, o.text_key, o.ix, len(o.tokens) AS size FROM o JOIN b ON b.leaf = o.leaf AND b.tokens = o.tokens),
+w AS (SELECT node, n, min(doc_id) AS home, count(*) AS docs FROM (SELECT DISTINCT node, n, doc_id, text_key, size FROM p) GROUP BY node, n, size HAVING count(*) >= CASE WHEN size < {SHORT} THEN {MIN_DOCS} ELSE {LEAST_DOCS} END),
+x AS (SELECT p.doc_id, p.text_key, list(p.ix) AS ix, coalesce(list(p.ix) FILTER (WHERE docs >= {MIN_DOCS}), []) AS often FROM p JOIN w ON w.node = p.node AND w.n = p.n WHERE p.doc_id <> w.home GROUP BY p.doc_id, p.text_key),
 e AS (SELECT m.doc_id, CASE WHEN m.text IS NULL THEN [] ELSE string_split(m.text, chr(10)) END AS lines, m.text, x.ix, x.often FROM documents m LEFT JOIN x ON m.doc_id = x.doc_id AND md5(m.text) = x.text_key),
 z AS (SELECT *, CASE WHEN ix IS NOT NULL AND NOT regexp_matches(coalesce(array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(ix, i)], chr(10)), ''), '\\S') THEN often ELSE ix END AS gone FROM e)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,

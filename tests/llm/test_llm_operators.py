@@ -8,6 +8,7 @@ import os
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -32,6 +33,13 @@ def docs_of(spark, rows):
     return df.withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
 
 
+def duckdb_rows(rows, sql):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return sorted(con.sql(f"SELECT doc_id, n_lines, n_dropped, text_md5 FROM ({sql})").fetchall())
+
+
 def empty(spark):
     return docs_of(spark, ODD).limit(0)
 
@@ -545,7 +553,7 @@ def test_fields_without_digits_vary(spark):
 
 def test_rounds_leave_no_recurring_line(spark):
     random.seed(5)
-    most = line_templates.ROUND
+    most = line_templates.FULL
     lists = [" ".join(["the same four words", *(random.choice("abcdefgh") + w for w in "rstuvwxyz")]) for _ in range(most * 6)]
     rows = [(i, f"{i} alone\n{line}") for i, line in enumerate(lists * 2)]
     out = line_templates.drop_recurring_lines(docs_of(spark, rows)).collect()
@@ -554,6 +562,30 @@ def test_rounds_leave_no_recurring_line(spark):
     assert len(left) == len(set(left)) <= len(set(lists))
 
 
+def test_levels_of_a_full_leaf_equal_sql(spark):
+    rng = random.Random(11)
+    words = lambda n, k: " ".join(rng.choice("abcdefghijklmnop"[:k]) + w for w in "qrstuvwxyz"[:n])
+    lists = [f"the same four words {words(4, 16)} {words(6, 3)}" for _ in range(500)]  # one leaf, parted by later words
+    lists += [f"the same four words then {rng.choice(['said', 'told', 'gave', 'lent'])} us {words(4, 12)} as ever was now" for _ in range(300)]
+    rows = [(i, f"{'abcdefghijklmnop'[i % 16]}{'qrstuvwxyz'[i // 160]} {i} alone\n{rng.choice(lists)}\n{rng.choice(lists)}") for i in range(1500)]
+    want = duckdb_rows(rows, line_templates.LINES_SQL)
+    got = line_templates.line_report(docs_of(spark, rows))
+    assert sorted(tuple(r) for r in got.collect()) == want and {0, 1, 2} <= {r[2] for r in want}
+
+
+def test_levels_follow_the_tokens_not_the_lines(spark, monkeypatch):
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: saved.append(name) or save(self, df, name))
+    seen = []
+    for n in (300, 6000):
+        rng = random.Random(n)
+        rows = [(i, "the same four words " + " ".join(str(rng.randrange(16**4)).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(8))) for i in range(n)]
+        saved.clear()
+        assert line_templates.drop_recurring_lines(docs_of(spark, rows)).agg(F.sum("n_dropped")).first()[0] == 0
+        seen.append(sum(x.startswith("met-") for x in saved))
+    assert seen[0] <= seen[1] <= 3  # 4, 8 and 16 tokens
+
+
 def test_short_lines_need_more_documents(spark):
     rows = [(i, f"{'abcdefghij'[i % 10]}{'klmno'[i // 10]} has some words alone\nShare this\nRead more\n{'Menu' if i < 3 else '12'}") for i in range(20)]
     by = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs_of(spark, rows)).collect()}
