@@ -136,6 +136,15 @@ def test_pattern_scores_equal_a_plain_version(spark):
     assert pii.score_patterns(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_counts_of_kinds_equal_the_plain_rules(spark):
+    texts = ["card 4111 1111 1111 1111, +1 (202) 555-0100 or a@b.cd", "10.0.0.1 and 10.0.0.2 and 10.0.0.3", "+1 (202) 555-0100 then c@d.ef, g@h.ij", "é 4111111111111111 4111-1111-1111-1111 4111 1111 1111 1111", "", None]
+    got = {r.doc_id: r for r in pii.personal_data_report(docs_of(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        spans = plain_spans(t or "")
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(k == kind for _, kind, _ in spans) for k in range(4)]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+
+
 def test_pii_takes_odd_rows(spark):
     assert pii.personal_data_report(docs_of(spark, ODD)).count() == len(ODD)
     assert pii.personal_data_report(empty(spark)).count() == 0
