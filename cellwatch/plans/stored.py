@@ -23,12 +23,12 @@ def _lines(s, sf):
     amount = F.col("value").cast("decimal(18,2)").cast("string")
     amount = F.when((case == 3) & (id_ % 97 == 0), "abc").when(case.isin(1, 2) & (id_ % 89 == 0), F.concat(F.lit("-"), amount)).otherwise(amount)
     cells = [time, (F.col("user_id") + 1).cast("string"), F.get_json_object("props", "$.k")]
-    cells += [F.when(F.col("event_type") == kind, amount).otherwise("") for kind in CHANNELS]
-    row = F.when(case == 4, F.concat_ws(",", *cells[:-1])).when(case == 5, F.concat_ws(",", *cells, F.lit("1"))).otherwise(F.concat_ws(",", *cells))
+    cells += [F.when(F.col("event_type") == kind, F.col("amount")).otherwise("") for kind in CHANNELS]
+    row = F.concat_ws(",", *cells[:-1], F.when(case == 4, None).otherwise(cells[-1]), F.when(case == 5, "1"))  # nulls are left out
     head = F.when(case == 4, ",".join(REQUIRED[:-1])).when(case == 5, ",".join([*REQUIRED, "more"])).otherwise(",".join(REQUIRED))
     place = lambda c: F.struct(F.lit(0).cast("bigint").alias("block"), c.cast("bigint").alias("id"))
-    rows = e.select(name.alias("name"), row.alias("value"), place(id_).alias("place"))
-    return rows.unionByName(e.select(name.alias("name"), head.alias("value"), place(F.lit(-1)).alias("place")).distinct())
+    rows = e.withColumn("amount", amount).select(name.alias("name"), row.alias("value"), place(id_).alias("place"))
+    return rows.unionByName(e.select(F.to_date("ts").alias("ts")).distinct().select(name.alias("name"), head.alias("value"), place(F.lit(-1)).alias("place")))
 
 
 def _headers(s, sf):

@@ -139,3 +139,23 @@ def test_routing_after_a_failure_leaves_one_copy_of_each_file(spark, landing, tm
     again = gate.route_once(gate.gate(spark, str(landing)), *zones, "run-3")
     assert (tmp_path / "yes" / name(1)).read_text() == "touched"  # it was not copied again
     assert sorted(r.name for r in again.where("run = 'run-3'").collect()) == [name(d) for d in (7, 8, 9)] and len(files(zones[1])) == 8
+
+
+def test_lines_are_judged_without_a_shuffle_or_sort_of_them(spark):
+    from cellwatch.sources.gate import REQUIRED, headers_of, quality_of, raw_rows
+
+    rows = [("a", ",".join(reversed(REQUIRED)), (0, 0)), ("a", '"4.5",,,1,,39,7,2020-01-01 00:00:00,more', (0, 1)), ("a", "0", (9, 0)), ("a", "x", (9, 1)), ("b", ",".join(REQUIRED), (0, 7)), ("b", "2020-01-01 05:00:00,3,39", (0, 9))]
+    lines = spark.createDataFrame(rows, "name string, value string, place struct<block:bigint,id:bigint>")
+    verdicts = spark.createDataFrame([("b", "accepted"), ("a", "rejected")], "name string, status string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where lines are many
+    try:
+        headers = headers_of(lines, lines.select("name").distinct())
+        made = headers, quality_of(lines, headers), raw_rows(lines, headers, verdicts)
+        for df in made:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "min_by" not in plan and "min(place" not in plan
+        assert sorted(map(tuple, made[1].collect())) == [("a", 3, 1, "invalid timestamp: "), ("b", 1, 0, None)]
+        assert [tuple(r) for r in made[2].collect()] == [("2020-01-01 05:00:00", 3, 39, None, None, None, None, None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
