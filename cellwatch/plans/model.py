@@ -7,10 +7,24 @@ from pyspark.sql import functions as F
 from cellwatch.operators import baselines as bl, clean as cl, compare as cp, evidence as ev, features as ft, quality as ql, risk as rk, signals as sg, warehouse as wh
 from cellwatch.functions.expressions import FEATURES
 from cellwatch.plans.common import WITH, hourly, plain, raw, t
+from cellwatch.sources.versions import work_folder
 from cellwatch.plans.signals import _ANOM, _FEAT, _dim, _features, _anomalies
 
-def _labelled(s, sf):
-    return ft.next_hour_labels(_features(s, sf), hourly(s, sf)).where("data_quality_status = 'ok'")
+def _stored(s, sf):
+    """The fact and its features, each worked out once and written, for queries that look at them many times."""
+    path = work_folder(s, "features")
+
+    def keep(df, name):
+        df.write.parquet(f"{path}/{name}")
+        return s.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    h = keep(hourly(s, sf), "fact")
+    return h, keep(ft.build_features(h), "features")
+
+
+def _labelled(s, sf, stored=None):
+    h, features = stored or (hourly(s, sf), _features(s, sf))
+    return ft.next_hour_labels(features, h).where("data_quality_status = 'ok'")
 
 
 def _split(s, sf):
@@ -33,9 +47,9 @@ def _flags(s, sf):
     return cp.three_way(_anomalies(s, sf), model, rules)
 
 
-def _fitted(s, sf, then):
+def _fitted(s, sf, then, stored=None):
     """``then(model, training rows)``; the labelled rows are kept while the model is fitted."""
-    kept = _labelled(s, sf).select(*FEATURES, "label_timestamp", "next_hour_activity").persist()
+    kept = _labelled(s, sf, stored).select(*FEATURES, "label_timestamp", "next_hour_activity").persist()
     try:
         train = rk.chrono_split_at(kept, rk.split_instant(kept))[0]
         rows = rk.label(train, rk.target_threshold(train))
@@ -44,8 +58,14 @@ def _fitted(s, sf, then):
         kept.unpersist()
 
 
-def _model(s, sf):
-    return _fitted(s, sf, lambda model, _: model)
+def _model(s, sf, stored=None):
+    return _fitted(s, sf, lambda model, _: model, stored)
+
+
+def _scored_by_model(s, sf, how):
+    """``how`` of the operators that score, on the features that its model was fitted to."""
+    stored = _stored(s, sf)
+    return how(stored[1], _model(s, sf, stored), "lr-1")
 
 
 def _gradient(s, sf):
@@ -111,8 +131,8 @@ QUERIES = {
     "quality_check": lambda s, sf: plain(_check(s, sf).drop("latest_feature")),
     "fit_risk_model": lambda s, sf: plain(rk.coefficients(s, _model(s, sf)).withColumn("coefficient", F.round("coefficient", 6))),
     "loss_gradient": lambda s, sf: plain(_gradient(s, sf)),
-    "score_latest": lambda s, sf: plain(rk.score_latest(_features(s, sf), _model(s, sf), "lr-1").select("grid_id", "timestamp", F.round("risk_score", 6).alias("risk_score"), "risk_level", "model_version")),
-    "score": lambda s, sf: plain(rk.score(_features(s, sf), _model(s, sf), "lr-1").select("grid_id", "feature_timestamp", "valid", F.round("risk_score", 6).alias("risk_score"), "risk_level")),
+    "score_latest": lambda s, sf: plain(_scored_by_model(s, sf, rk.score_latest).select("grid_id", "timestamp", F.round("risk_score", 6).alias("risk_score"), "risk_level", "model_version")),
+    "score": lambda s, sf: plain(_scored_by_model(s, sf, rk.score).select("grid_id", "feature_timestamp", "valid", F.round("risk_score", 6).alias("risk_score"), "risk_level")),
     "context_sizes": lambda s, sf: ev.context_sizes(_full(s, sf), _curated(s, sf)),
 }
 

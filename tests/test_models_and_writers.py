@@ -128,3 +128,12 @@ def test_published_stream_can_run_again(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(source)
         publish_stream(stream, str(tmp_path / "fact"), str(tmp_path / f"checkpoint{turn}")).trigger(availableNow=True).start().awaitTermination()
         assert sorted((r.grid_id, r.total_activity) for r in read_table(spark, str(tmp_path / "fact")).collect()) == [(1, 1.0), (2, 2.0)]
+
+
+def test_scoring_queries_work_out_the_fact_once(spark, sf_dir, monkeypatch):
+    from cellwatch.plans import model, signals
+
+    calls, real = [], model.hourly
+    for where in (model, signals):
+        monkeypatch.setattr(where, "hourly", lambda s, sf: calls.append(sf) or real(s, sf))
+    assert model.QUERIES["score_latest"](spark, sf_dir.replace("sf0.001", "sf0.01")).count() == 1 and len(calls) == 1
