@@ -8,6 +8,7 @@ line for each partition, none for files.
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 from collections.abc import Iterator
@@ -143,7 +144,8 @@ class VersionedTable:
     def compact(self, target_bytes: int = 128 << 20) -> int | None:
         """Rewrite the partitions that have more files than their bytes need, as files of about the target size; the new version, or null if there was nothing to do.
 
-        Rows stay the same. A partition's rows are dealt by their hash to as many shares as it needs files, so no task holds a large partition.
+        Rows stay the same. A partition's rows are dealt by their hash to as many shares as it needs files, so no task holds a large partition, and each share has a task
+        of its own, so no two become one file beyond the target.
         """
         need = F.greatest(F.ceil(F.col("bytes") / target_bytes), F.lit(1)).cast("int")
         crowded = self.layout().withColumn("need", need).where("files > need").select("part", "need").collect()  # a row for each partition, as in the manifest
@@ -153,10 +155,11 @@ class VersionedTable:
         needs = {r.part: r.need for r in crowded}
         rows = self._rows(last["schema"], {p: last["parts"][p] for p in needs})
         at = F.concat_ws("/", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for c in self.by)) if self.by else F.lit("")
-        shares = self.spark.createDataFrame(list(needs.items()), "_part string, _need int")
-        slot = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_need", F.lit(1)))
+        firsts = itertools.accumulate(needs.values(), initial=0)
+        shares = self.spark.createDataFrame([(*x, n) for x, n in zip(needs.items(), firsts)], "_part string, _need int, _first int")
+        slot = (F.coalesce("_first", F.lit(0)) + F.pmod(F.xxhash64(*rows.columns), F.coalesce("_need", F.lit(1)))).cast("int")
         dealt = rows.withColumn("_part", at).join(F.broadcast(shares), "_part", "left").withColumn("_slot", slot)
-        parts = last["parts"] | self.write(dealt.repartition(sum(needs.values()), "_part", "_slot").select(*rows.columns))
+        parts = last["parts"] | self.write(dealt.repartitionById(sum(needs.values()), "_slot").select(*rows.columns))
         self._claim(last["version"] + 1, {"version": last["version"] + 1, "schema": last["schema"], "parts": parts})
         return last["version"] + 1
 

@@ -111,3 +111,12 @@ def test_compaction_keeps_rows_and_meets_the_target(spark, tmp_path):
     assert one.compact(size // 3) == 2
     got = one.layout().first()
     assert 2 <= got.files <= 4 and one.read().count() == 20000 and one.read().agg(F.countDistinct("id")).first()[0] == 20000
+
+
+def test_each_share_of_a_compaction_is_a_file(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), ("date",))
+    table.commit(spark.range(24000).withColumn("date", (F.col("id") % 12).cast("string")).repartition(9))
+    target = table.layout().agg(F.max("bytes")).first()[0] // 3 + 1
+    need = {r.part: -(-r.bytes // target) for r in table.layout().collect()}
+    assert min(need.values()) > 1 and table.compact(target) == 2
+    assert {r.part: r.files for r in table.layout().collect()} == need and table.read().count() == 24000
